@@ -14,6 +14,7 @@ from ..operators.evidence import build_evidence, verify_evidence
 from ..operators.report import confirmed_findings, report_digest, run_summary, verdict_counts
 from ..operators.timeline import timeline
 from ..plans.run import count_results, run_full_audit
+from ..scale import freeze
 from ..sources.sinks import sink_evidence, sink_run_outputs
 from ..specs import AnomalySpec, FindingTemplate, RuleSpec, TimelineSpec
 from .checks import CONTRADICTION, CONTRADICTION_SQL, STEPS, contradictions
@@ -166,8 +167,8 @@ def q_dedupe(spark, sf_dir):
 
 def reviewed(spark, sf_dir):
     """Reviews where order findings of even users lost their evidence and the vocabulary is partial."""
-    candidates = event_candidates(spark, sf_dir)
-    findings, evidence = fnd.dedupe_findings(candidates), fnd.finding_evidence(candidates)
+    candidates = freeze(event_candidates(spark, sf_dir))
+    findings, evidence = freeze(fnd.dedupe_findings(candidates)), fnd.finding_evidence(candidates)
     stripped = (F.col("source_name") == "events") & (F.col("object_id").cast("long") % 2 == 0) & (
         F.col("description").contains("EVENT_ORDER")
     )
@@ -175,7 +176,8 @@ def reviewed(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     fit = rule_applicability(events, TIMELINE_RULE).select("rule_id", "status")
     places = spark.createDataFrame([("events", "events.parquet")], "source_id string, location string")
-    return findings, evidence, fnd.review_findings(findings, evidence, applicability=fit, locations=places)
+    evidence = freeze(evidence)
+    return findings, evidence, freeze(fnd.review_findings(findings, evidence, applicability=fit, locations=places))
 
 
 _REVIEW_SQL = f"""{_FINDINGS_SQL},

@@ -222,7 +222,7 @@ def q_samples(spark, sf_dir):
        "'BUSINESS_SEMANTIC_CONSTRAINT|semantic_target_mismatch|', first_id)), 1, 16))) END AS finding_id FROM h")
 def q_investigate(spark, sf_dir):
     found, minority = _hypotheses(spark, sf_dir)
-    return hyp.investigate_hypotheses(found, minority, minimum_confidence=0.93).select(
+    return hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93).select(
         "context", "attribute", "confidence", "reproduced_rows", "investigation", "object_id", "finding_id"
     )
 
@@ -231,7 +231,7 @@ def q_investigate(spark, sf_dir):
        "WHEN mismatch_rows > 3 THEN 'MISSING_REVIEW' ELSE 'REQUIRES_VALIDATION' END AS verdict FROM h WHERE confidence >= 0.8")
 def q_coverage(spark, sf_dir):
     found, minority = _hypotheses(spark, sf_dir)
-    done = hyp.investigate_hypotheses(found, minority, minimum_confidence=0.93)
+    done = hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93)
     promoted = done.where("finding_id IS NOT NULL")
     # Findings are told apart by hypothesis here, as two may share an object.
     keyed = promoted.select("hypothesis_id", F.concat_ws(":", "finding_id", "hypothesis_id").alias("finding_id"), "mismatch_rows")
@@ -245,7 +245,7 @@ def q_coverage(spark, sf_dir):
        "' comparable routes differ from the dominant value') AS rationale FROM h WHERE confidence < 0.93")
 def q_hypothesis_plan(spark, sf_dir):
     found, minority = _hypotheses(spark, sf_dir)
-    done = hyp.investigate_hypotheses(found, minority, minimum_confidence=0.93)
+    done = hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93)
     return hyp.hypothesis_plan(found, done.where("finding_id IS NOT NULL")).select("priority", "status", "title", "rationale")
 
 

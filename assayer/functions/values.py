@@ -11,31 +11,27 @@ from pyspark.sql import types as T
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 
 
-def finite(column: Column) -> Column:
-    """NaN and infinities become NULL."""
-    usable = ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))
-    return F.when(usable, column)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def normalize_value(column: Column, data_type: T.DataType) -> Column:
-    """The form in which a value leaves the engine: ISO times, doubles, no NaN."""
+def normalized_sql(name: str, data_type: T.DataType) -> str:
+    """The form in which a column leaves the engine: ISO times, doubles, no NaN or infinity."""
+    column = quoted(name)
     if isinstance(data_type, _FRACTIONAL):
-        return finite(column.cast("double"))
+        return f"if(isnan({column}) OR abs({column}) = double('inf'), NULL, double({column}))"
     if isinstance(data_type, T.DecimalType):
-        return column.cast("double")
+        return f"double({column})"
     if isinstance(data_type, T.DateType):
-        return F.date_format(column, "yyyy-MM-dd")
+        return f"date_format({column}, 'yyyy-MM-dd')"
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        base = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-        micros = F.date_format(column, "SSSSSS")
-        return F.when(micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
+        full = f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
+        return f"regexp_replace({full}, '[.]000000$', '')"
     return column
 
 
 def normalize_rows(df: DataFrame) -> DataFrame:
-    return df.select(
-        [normalize_value(df[f"`{f.name}`"], f.dataType).alias(f.name) for f in df.schema.fields]
-    )
+    return df.selectExpr(*[f"{normalized_sql(f.name, f.dataType)} AS {quoted(f.name)}" for f in df.schema.fields])
 
 
 def nan_to_null(df: DataFrame, names=None) -> DataFrame:
@@ -52,10 +48,8 @@ def nan_to_null(df: DataFrame, names=None) -> DataFrame:
 def canonical_json(df: DataFrame, names) -> Column:
     """Compact JSON of the named columns, keys sorted, NULLs kept, values normalised."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    members = [
-        normalize_value(F.col(f"`{name}`"), types[name]).alias(name) for name in sorted(names)
-    ]
-    return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
+    members = ", ".join(f"{normalized_sql(n, types[n])} AS {quoted(n)}" for n in sorted(names))
+    return F.expr(f"to_json(struct({members}), map('ignoreNullFields', 'false'))")
 
 
 def as_ntz(column: Column, data_type: T.DataType) -> Column:
@@ -67,7 +61,7 @@ def as_ntz(column: Column, data_type: T.DataType) -> Column:
 
 def clock_seconds(column: Column) -> Column:
     """Whole seconds since 1970-01-01 on the column's own clock."""
-    day = F.date_diff(F.to_date(column), F.lit("1970-01-01").cast("date")).cast("long")
+    day = F.unix_date(F.to_date(column)).cast("long")
     return day * 86_400 + F.hour(column) * 3_600 + F.minute(column) * 60 + F.second(column)
 
 
@@ -101,6 +95,11 @@ def render(template: str | None, df: DataFrame) -> Column:
             continue
         if name not in known:
             raise KeyError(f"template field {name!r} is not a result column")
-        value = F.format_string(f"%{spec}", F.col(f"`{name}`")) if spec else text_of(F.col(f"`{name}`"))
-        pieces.append(F.coalesce(value, F.lit("None")))
+        if spec:
+            value = F.format_string(f"%{spec}", F.col(quoted(name)))
+            pieces.append(F.coalesce(value, F.lit("None")))
+        else:
+            pieces.append(F.expr(f"coalesce(string({quoted(name)}), 'None')"))
+    if len(pieces) == 1:
+        return pieces[0]
     return F.concat(*pieces) if pieces else F.lit("")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.values import canonical_json, text_of
+from ..functions.values import canonical_json, quoted, text_of
 from ..scale import join_on
 from ..specs import RuleSpec
 
@@ -20,60 +20,56 @@ EVIDENCE_COLUMNS = (
 EVIDENCE_FORMAT = r"^EVD-[A-F0-9]{20}$"
 
 
-def _content(object_id: Column, result: Column, **fields: Column) -> Column:
-    """Canonical JSON text the checksum is taken over; ``result`` is JSON already."""
-    head = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], object_id.alias("object_id")))
-    return F.concat(head, F.lit("|"), result)
-
-
-def _checksum(df_columns: dict[str, Column]) -> Column:
-    return ids.sha256(
-        _content(
-            df_columns["object_id"],
-            df_columns["result"],
-            **{n: df_columns[n] for n in ("query", "rule_hash", "rule_id", "rule_kind", "rule_version", "source_ids")},
-        )
-    )
+# The checksum covers this JSON text of the rule and object, then the row itself.
+_CONTENT = (
+    "concat(to_json(struct(query, rule_hash, rule_id, rule_kind, rule_version, source_ids, object_id)), '|', result)"
+)
 
 
 def row_object_id(exceptions: DataFrame, column: str | None) -> Column:
     """The named column's text, else 20 hex digits of the row's own hash."""
     own = F.substring(ids.sha256(canonical_json(exceptions, exceptions.columns)), 1, 20)
-    return own if column is None else F.coalesce(text_of(F.col(f"`{column}`")), own)
-
-
-def build_evidence_columns(
-    exceptions: DataFrame, rule: RuleSpec, run_id: str, object_id_column: str | None = None
-) -> dict[str, Column]:
-    """Evidence fields as expressions over the exception row itself."""
-    columns = {
-        "object_id": row_object_id(exceptions, object_id_column),
-        "result": canonical_json(exceptions, exceptions.columns),
-        "query": F.lit(rule.reproduction()),
-        "rule_hash": F.lit(hashlib.sha256(rule.contract().encode()).hexdigest()),
-        "rule_id": F.lit(rule.rule_id),
-        "rule_kind": F.lit(rule.kind),
-        "rule_version": F.lit(rule.version),
-        "source_ids": F.array(*[F.lit(s) for s in rule.source_ids]),
-        "run_id": F.lit(run_id),
-    }
-    columns["checksum"] = _checksum(columns)
-    columns["evidence_id"] = ids.evidence_id(columns["run_id"], columns["checksum"])
-    return columns
+    return own if column is None else F.coalesce(text_of(F.col(quoted(column))), own)
 
 
 def build_evidence(
-    exceptions: DataFrame, rule: RuleSpec, run_id: str, object_id_column: str | None = None
+    exceptions: DataFrame,
+    rule: RuleSpec,
+    run_id: str,
+    object_id_column: str | None = None,
+    keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One evidence record per exception row; equal rows give equal ids in a run."""
-    columns = build_evidence_columns(exceptions, rule, run_id, object_id_column)
-    return exceptions.select(*[columns[name].alias(name) for name in EVIDENCE_COLUMNS])
+    """One evidence record per exception row; equal rows give equal ids in a run.
+
+    ``keep`` adds further columns computed from the exception row.  Each stage
+    builds on the one before, so no hash is computed twice.
+    """
+    sources = F.array(*[F.lit(s) for s in rule.source_ids])
+    row = exceptions.select(
+        canonical_json(exceptions, exceptions.columns).alias("result"),
+        (F.lit(None) if object_id_column is None else F.col(quoted(object_id_column))).cast("string").alias("named"),
+        *[c.alias(n) for n, c in (keep or {}).items()],
+    )
+    described = row.select(
+        "result",
+        F.expr("coalesce(named, substring(sha2(result, 256), 1, 20))").alias("object_id"),
+        F.lit(run_id).alias("run_id"),
+        F.lit(rule.reproduction()).alias("query"),
+        F.lit(hashlib.sha256(rule.contract().encode()).hexdigest()).alias("rule_hash"),
+        F.lit(rule.rule_id).alias("rule_id"),
+        F.lit(rule.kind).alias("rule_kind"),
+        F.lit(rule.version).alias("rule_version"),
+        sources.alias("source_ids"),
+        *(keep or {}),
+    )
+    summed = described.selectExpr("*", f"sha2({_CONTENT}, 256) AS checksum")
+    identified = summed.withColumn("evidence_id", ids.evidence_id(F.col("run_id"), F.col("checksum")))
+    return identified.select(*EVIDENCE_COLUMNS, *(keep or {}))
 
 
 def verify_evidence(evidence: DataFrame) -> DataFrame:
     """Records whose checksum or id does not follow from their content."""
-    names = ("object_id", "result", "query", "rule_hash", "rule_id", "rule_kind", "rule_version", "source_ids")
-    expected = _checksum({n: F.col(n) for n in names})
+    expected = F.expr(f"sha2({_CONTENT}, 256)")
     wrong = ~F.col("checksum").eqNullSafe(F.col("expected_checksum"))
     malformed = ~F.coalesce(F.col("evidence_id").rlike(EVIDENCE_FORMAT), F.lit(False))
     foreign = ~F.col("evidence_id").eqNullSafe(ids.evidence_id(F.col("run_id"), F.col("expected_checksum")))

@@ -9,7 +9,7 @@ from ..functions import ids
 from ..functions.values import render
 from ..scale import attach_small, join_on
 from ..specs import SEVERITIES, RuleSpec
-from .evidence import build_evidence_columns
+from .evidence import build_evidence
 
 TEXTS = (
     "check_id", "issue_type", "object_id", "title", "summary", "root_cause", "criterion",
@@ -19,6 +19,7 @@ REFERENCE = (
     "evidence_id", "checksum", "source_name", "object_id", "description", "fields", "query",
     "constraint_match",
 )
+RENDERED = ("title", "summary", "root_cause", "criterion", "risk", "recommendation")
 LOW_CONFIDENCE = 0.75
 
 
@@ -27,44 +28,35 @@ def rule_candidates(
 ) -> DataFrame:
     """One finding candidate with its evidence reference per exception row."""
     texts = rule.finding
-    facts = "__result"
-    # Evidence is computed from the same row, column by column: no join is needed.
-    record = build_evidence_columns(exceptions, rule, run_id, object_id_column)
-    staged = exceptions.withColumns(
-        {
-            **{f"__{n}": record[n] for n in ("object_id", "result", "checksum", "evidence_id")},
-            **{
-                f"__{name}": render(getattr(texts, name), exceptions)
-                for name in ("title", "summary", "root_cause", "criterion", "risk", "recommendation")
-            },
-        }
-    )
-    object_id = F.col("__object_id")
-    return staged.select(
-        ids.finding_id(F.lit(rule.rule_id), F.lit(texts.issue_type), object_id).alias("finding_id"),
-        F.lit(rule.rule_id).alias("check_id"),
-        F.lit(texts.issue_type).alias("issue_type"),
-        object_id.alias("object_id"),
-        *[
-            F.col(f"__{name}").alias(name)
-            for name in ("title", "summary", "root_cause", "criterion", "risk", "recommendation")
-        ],
-        F.lit(texts.severity).alias("severity"),
-        F.lit(float(texts.confidence)).alias("confidence"),
-        F.col(facts).alias("facts"),
-        F.array(*[F.lit(t) for t in (*rule.tags, *texts.tags)]).cast("array<string>").alias("tags"),
-        F.xxhash64("__evidence_id").alias("seq"),
-        F.lit(None).cast("string").alias("hypothesis_id"),
-        F.struct(
-            F.col("__evidence_id").alias("evidence_id"),
-            F.col("__checksum").alias("checksum"),
-            F.lit(", ".join(rule.source_ids)).alias("source_name"),
-            object_id.alias("object_id"),
-            F.lit(f"Rule {rule.rule_id} returned an exception row").alias("description"),
-            F.col(facts).alias("fields"),
-            F.lit(rule.reproduction()).alias("query"),
-            F.lit(False).alias("constraint_match"),
-        ).alias("evidence"),
+    # Evidence and texts come from the same row, column by column: no join is needed.
+    rendered = {name: render(getattr(texts, name), exceptions) for name in RENDERED}
+    rows = build_evidence(exceptions, rule, run_id, object_id_column, keep=rendered)
+    description = f"Rule {rule.rule_id} returned an exception row"
+    constants = {
+        "check_id": F.lit(rule.rule_id),
+        "issue_type": F.lit(texts.issue_type),
+        "severity": F.lit(texts.severity),
+        "confidence": F.lit(float(texts.confidence)),
+        "tags": F.array(*[F.lit(t) for t in (*rule.tags, *texts.tags)]).cast("array<string>"),
+        "source_name": F.lit(", ".join(rule.source_ids)),
+        "description": F.lit(description),
+    }
+    return rows.withColumns(constants).select(
+        ids.finding_id(F.col("check_id"), F.col("issue_type"), F.col("object_id")).alias("finding_id"),
+        "check_id",
+        "issue_type",
+        "object_id",
+        *RENDERED,
+        "severity",
+        "confidence",
+        F.col("result").alias("facts"),
+        "tags",
+        F.expr("xxhash64(evidence_id) AS seq"),
+        F.expr("CAST(NULL AS STRING) AS hypothesis_id"),
+        F.expr(
+            "struct(evidence_id, checksum, source_name, object_id, description, result AS fields, query, "
+            "false AS constraint_match) AS evidence"
+        ),
     )
 
 
@@ -174,29 +166,28 @@ def review_findings(
     location.  Order of precedence: no reproducible evidence, no policy for a
     semantic finding, low confidence or partial vocabulary, confirmed.
     """
-    spark = findings.sparkSession
-    if applicability is None:
-        applicability = spark.createDataFrame([], "rule_id string, status string")
-    if locations is None:
-        locations = spark.createDataFrame([], "source_id string, location string")
-    partial = applicability.where("status = 'PARTIAL'").select(
-        F.col("rule_id").alias("check_id"), F.lit(True).alias("partial_vocabulary")
-    ).distinct()
     sources = evidence_sources(evidence)
-    lists = (
-        attach_small(sources, locations.select("source_id", "location"), ["source_id"], "left")
-        .groupBy("finding_id")
-        .agg(
-            F.sort_array(F.collect_set("source_id")).alias("sources"),
-            F.sort_array(F.collect_set("location")).alias("source_locations"),
-        )
+    if locations is None:
+        placed = sources.withColumn("location", F.lit(None).cast("string"))
+    else:
+        placed = attach_small(sources, locations.select("source_id", "location"), ["source_id"], "left")
+    lists = placed.groupBy("finding_id").agg(
+        F.sort_array(F.collect_set("source_id")).alias("sources"),
+        F.sort_array(F.collect_set("location")).alias("source_locations"),
     )
     facts = join_on(evidence_facts(evidence), lists, ["finding_id"], "left")
+    joined = join_on(findings, facts, ["finding_id"], "left")
+    if applicability is None:
+        joined = joined.withColumn("partial_vocabulary", F.lit(False))
+    else:
+        partial = applicability.where("status = 'PARTIAL'").select(
+            F.col("rule_id").alias("check_id"), F.lit(True).alias("partial_vocabulary")
+        )
+        joined = attach_small(joined, partial.distinct(), ["check_id"], "left")
     empty = F.array().cast("array<string>")
     counts = {n: F.coalesce(F.col(n), F.lit(0)).cast("long") for n in ("evidence_count", "table_evidence", "policy_evidence")}
     reviewed = (
-        attach_small(join_on(findings, facts, ["finding_id"], "left"), partial, ["check_id"], "left")
-        .withColumns(
+        joined.withColumns(
             {
                 **counts,
                 "partial_vocabulary": F.coalesce("partial_vocabulary", F.lit(False)),

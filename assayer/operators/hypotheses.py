@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions.values import text_of
 from ..scale import join_on
-from .outliers import hypothesis_rows
 
 CHECK_ID = "BUSINESS_SEMANTIC_CONSTRAINT"
 ISSUE_TYPE = "semantic_target_mismatch"
@@ -21,33 +20,33 @@ TAGS = (
 
 
 def investigate_hypotheses(
-    hypotheses: DataFrame, minority: DataFrame, *, minimum_confidence: float = 0.8
+    hypotheses: DataFrame, rows: DataFrame, *, minimum_confidence: float = 0.8
 ) -> DataFrame:
     """Reproduce material hypotheses from their rows and say what became of each.
 
+    ``rows`` come from :func:`~assayer.operators.outliers.hypothesis_rows`.
     Adds ``investigation`` (status), ``reproduced_rows``, the object and sample
     of the first row, and the id of the promoted finding.
     """
     first = F.struct("row_id", "sample")
     reproduced = (
-        hypothesis_rows(hypotheses, minority)
-        .groupBy("hypothesis_id")
+        rows.groupBy("hypothesis_id")
         .agg(
             F.count("*").alias("reproduced_rows"),
             F.min_by(F.struct("object_id", "target_key", "target_value", "sample"), first).alias("first"),
         )
     )
-    rows = F.coalesce(F.col("reproduced_rows"), F.lit(0))
+    count = F.coalesce(F.col("reproduced_rows"), F.lit(0))
     status = (
         F.when(F.col("confidence") < minimum_confidence, "BELOW_MATERIALITY_THRESHOLD")
-        .when(rows == 0, "NOT_REPRODUCED")
+        .when(count == 0, "NOT_REPRODUCED")
         .otherwise("PROMOTED_TO_FINDING")
     )
     object_id = F.coalesce(F.col("first.object_id"), F.col("hypothesis_id"))
     promoted = F.col("investigation") == "PROMOTED_TO_FINDING"
     return (
         join_on(hypotheses, reproduced, ["hypothesis_id"], "left")
-        .withColumns({"reproduced_rows": rows.cast("long"), "investigation": status, "object_id": object_id})
+        .withColumns({"reproduced_rows": count.cast("long"), "investigation": status, "object_id": object_id})
         .withColumns(
             {
                 "actual_value": F.col("first.target_value"),
@@ -63,8 +62,9 @@ def hypothesis_candidates(investigated: DataFrame, run_id: str) -> DataFrame:
     """Promoted hypotheses in the shape of finding candidates."""
     h = investigated.where("investigation = 'PROMOTED_TO_FINDING'")
     attributes = F.map_keys("outlier_attributes")
+    values = F.from_json("sample", "map<string,string>")
     actual = F.map_from_arrays(
-        attributes, F.transform(attributes, lambda a: F.get_json_object("sample", F.concat(F.lit("$.target_"), a)))
+        attributes, F.transform(attributes, lambda a: F.try_element_at(values, F.concat(F.lit("target_"), a)))
     )
     facts = F.struct(
         F.col("context"),

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import Normalizer, name_similarity
-from ..scale import attach_small
 
 _WORD_BITS = 62
 
@@ -137,14 +136,14 @@ def infer_relationships(
         if mine:
             part = _uniqueness(df, table, mine)
             unique = part if unique is None else unique.unionByName(part)
-    left_unique = unique.withColumnsRenamed({"i": "li", "is_unique": "left_unique"})
-    right_unique = unique.withColumnsRenamed({"i": "ri", "is_unique": "right_unique"})
+    # One flag per column of the schemas: a map that every row may carry.
+    flags = unique.agg(F.map_from_entries(F.collect_list(F.struct("i", "is_unique"))).alias("m")).scalar()
     best = F.greatest("left_cover", "right_cover")
     confidence = F.least(F.lit(1.0), 0.65 * best + 0.35 * F.col("similarity"))
     cardinality = (
-        F.when(F.col("left_unique") & F.col("right_unique"), "one_to_one")
-        .when(F.col("left_unique"), "one_to_many")
-        .when(F.col("right_unique"), "many_to_one")
+        F.when(F.col("u")[F.col("li")] & F.col("u")[F.col("ri")], "one_to_one")
+        .when(F.col("u")[F.col("li")], "one_to_many")
+        .when(F.col("u")[F.col("ri")], "many_to_one")
         .otherwise("many_to_many")
     )
     linked = (
@@ -153,7 +152,7 @@ def infer_relationships(
         .where(best >= minimum_coverage)
     )
     return (
-        attach_small(attach_small(linked, left_unique, ["li"]), right_unique, ["ri"])
+        linked.withColumn("u", flags)
         .select(
             "left_source",
             "left_column",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 from collections.abc import Mapping, Sequence
 
@@ -37,6 +38,17 @@ def infer_format(spec: SourceSpec) -> str:
         raise ValueError(f"unsupported extension: {spec.location}") from None
 
 
+def charset(encoding: str) -> str:
+    """Java name of a Python encoding name.
+
+    Spark reads UTF-8/16/32, US-ASCII and ISO-8859-1; other names are passed on
+    and need ``spark.sql.legacy.javaCharsets`` in the session.
+    """
+    name = codecs.lookup(encoding).name
+    known = {"ascii": "us-ascii", "iso8859-1": "iso-8859-1"}
+    return known.get(name, name.replace("_", "-") if name.startswith("utf") else name.replace("cp125", "windows-125"))
+
+
 def _shape(df: DataFrame, columns: Sequence[str] | None, limit: int | None) -> DataFrame:
     if columns is not None:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
@@ -54,7 +66,7 @@ def scan_csv(
     limit: int | None = None,
 ) -> DataFrame:
     """CSV with a header. A schema saves the extra pass that inference takes."""
-    reader = spark.read.options(header=True, encoding=encoding, **dict(options or {}))
+    reader = spark.read.options(header=True, encoding=charset(encoding), **dict(options or {}))
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return _shape(reader.csv(path), columns, limit)
 
@@ -82,7 +94,7 @@ def scan_json(
     limit: int | None = None,
 ) -> DataFrame:
     """JSON lines (splittable), or with ``document=True`` one JSON value per file."""
-    reader = spark.read.options(encoding=encoding, multiLine=document, **dict(options or {}))
+    reader = spark.read.options(encoding=charset(encoding), multiLine=document, **dict(options or {}))
     if schema:
         reader = reader.schema(schema)
     return _shape(reader.json(path), columns, limit)
@@ -147,7 +159,7 @@ def scan_documents(
 ) -> DataFrame:
     """Whole files: ``path``, ``length``, ``modificationTime``, ``text``, ``error``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    body = F.decode("content", encoding)
+    body = F.decode("content", charset(encoding))
     if document_format == "html":
         pages = files.select("path", "length", "modificationTime", body.alias("html"))
         texts = extract_html_text(pages, "path")
