@@ -19,6 +19,7 @@ from ..operators.grounding import ground_findings, semantic_constraint_match
 from ..operators.relevance import keyword_relevance
 from ..operators.retrieval import HashingEmbedder, embed, latest_vectors, metadata_filter, vector_search, vector_search_batch
 from ..plans.run import search_documents
+from ..scale import freeze
 from .findings import RUN, ZSCORE_RULE
 from .registry import query, table
 
@@ -59,13 +60,13 @@ def q_chunk_ids(spark, sf_dir):
 
 @query("extract_html_text")
 def q_html(spark, sf_dir):
-    return extract_html_text(table(spark, sf_dir, "pages"), "page_id").select("page_id", "text")
+    return extract_html_text(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
 @query("document_errors", "SELECT page_id, 'TypeError' AS kind FROM pages WHERE page_id % 10 = 0")
 def q_errors(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 10 != 0, F.col("html")))
-    failed = document_errors(extract_html_text(pages, "page_id"), "page_id")
+    failed = document_errors(extract_html_text(pages), "page_id")
     return failed.select("page_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"))
 
 
@@ -188,6 +189,11 @@ def embedded_chunks(spark, sf_dir):
     return embed(chunks, "text", HashingEmbedder)
 
 
+def chunk_index(spark, sf_dir):
+    """The embedded chunks as a written table, which is what searches read."""
+    return freeze(embedded_chunks(spark, sf_dir))
+
+
 @query("embed", CHUNK_SQL + "SELECT doc_id, chunk_index, 64 AS dimension, CASE WHEN regexp_matches(text, '[\\p{L}\\p{M}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM c")
 def q_embed(spark, sf_dir):
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -198,7 +204,7 @@ def q_embed(spark, sf_dir):
 
 @query("search_documents")
 def q_search_documents(spark, sf_dir):
-    return search_documents(embedded_chunks(spark, sf_dir), "license and copyright", HashingEmbedder).select(
+    return search_documents(chunk_index(spark, sf_dir), "license and copyright", HashingEmbedder).select(
         "doc_id", "chunk_index", "rank", F.round("score", 5).alias("score")
     )
 
@@ -212,7 +218,7 @@ WHERE sd > 0 AND abs((value - m) / sd) > 4.0
 def q_ground(spark, sf_dir):
     exceptions = zscore_outliers(table(spark, sf_dir, "events"), ZSCORE_RULE.anomaly)
     findings = fnd.dedupe_findings(fnd.rule_candidates(exceptions, ZSCORE_RULE, RUN, "event_id"))
-    tagged, references = ground_findings(findings, embedded_chunks(spark, sf_dir), HashingEmbedder, request="license policy")
+    tagged, references = ground_findings(freeze(findings), chunk_index(spark, sf_dir), HashingEmbedder, request="license policy")
     counts = references.groupBy("finding_id").agg(F.count("*").alias("references"))
     return tagged.join(counts, "finding_id").select(
         "finding_id", "references", F.array_contains("tags", "rag_grounded").alias("tagged")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..scale import join_on
+from ..scale import join_on, spread
 
 # Elements whose text is never shown.
 _HIDDEN = ("script", "style", "template")
@@ -73,25 +73,31 @@ def tidy_text(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(column, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
-def extract_html_text(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """``key``, ``text`` and ``error`` per page; a page that fails is kept with its error."""
-    fields = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{html}`").alias("html"))
+def parsed_html(html: Column) -> Column:
+    """Struct of ``text`` and ``error``, parsed in Arrow batches; errors are never fatal."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("text string, error string")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, errors = [], []
-            for page in batch["html"]:
+            rows = []
+            for page in batch:
                 try:
-                    texts.append(html_text(page))
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001 - recorded, never fatal
-                    texts.append(None)
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield pd.DataFrame({"key": batch["key"], "text": texts, "error": errors})
+                    rows.append((html_text(page), None))
+                except Exception as error:  # noqa: BLE001 - recorded with the page
+                    rows.append((None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
 
-    key_type = fields.schema["key"].dataType.simpleString()
-    parsed = fields.mapInPandas(parse, f"key {key_type}, text string, error string")
-    return parsed.select(F.col("key").alias(key), tidy_text(F.col("text")).alias("text"), "error")
+    return parse(html)
+
+
+def extract_html_text(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Replace the page source by its visible ``text`` and an ``error`` column.
+
+    A page that cannot be read keeps its row.
+    """
+    keep = [F.col(f"`{c}`") for c in pages.columns if c != html]
+    parsed = spread(pages).select(*keep, parsed_html(F.col(f"`{html}`")).alias("__page"))
+    return parsed.select(*keep, tidy_text(F.col("__page.text")).alias("text"), F.col("__page.error").alias("error"))
 
 
 def document_errors(extracted: DataFrame, key: str) -> DataFrame:
@@ -145,7 +151,7 @@ def chunk_documents(
             yield pd.DataFrame(rows, columns=["key", "chunk_index", "start_char", "end_char", "text"])
 
     key_type = fields.schema["key"].dataType.simpleString()
-    chunks = fields.mapInPandas(
+    chunks = spread(fields).mapInPandas(
         split, f"key {key_type}, chunk_index int, start_char int, end_char int, text string"
     )
     return chunks.withColumnRenamed("key", key)

@@ -35,8 +35,59 @@ def _orderable(data_type: T.DataType) -> bool:
     return not isinstance(data_type, (T.VariantType, T.BinaryType))
 
 
-def _key(columns: Sequence[Column]) -> Column:
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
+def _nested(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.ArrayType, T.StructType))
+
+
+def distinct_counts(df: DataFrame, names: Sequence[str], *, one_scan: bool = False) -> DataFrame:
+    """Exact number of distinct non-NULL values per column: rows of (name, n).
+
+    Columnar sources are counted column by column: each branch reads, combines
+    and shuffles one narrow typed column, and together they read the table once.
+    With ``one_scan`` (text formats) every row is parsed once and its cells are
+    grouped as (column, text).
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    if one_scan:
+        cells = F.array(
+            *[F.struct(F.lit(n).alias("name"), _cell_text(fields[n]).alias("value")) for n in names]
+        )
+        return (
+            df.select(F.inline(cells))
+            .where("value IS NOT NULL")
+            .groupBy("name", "value")
+            .agg(F.lit(1).alias("one"))
+            .groupBy("name")
+            .agg(F.count("*").alias("n"))
+        )
+    result = None
+    for name in names:
+        values = df.select(_comparable(fields[name]).alias("v")).where("v IS NOT NULL").distinct()
+        part = values.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _cell_text(field: T.StructField) -> Column:
+    column = _comparable(field)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        column = column + F.lit(0.0)  # -0.0 and 0.0 are one value
+    return F.to_json(column) if _nested(field.dataType) and not _holds_map(field.dataType) else column.cast("string")
+
+
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits that stand for a whole row, so rows are compared without moving them.
+
+    Two differently seeded hashes over all values and, since hashing skips
+    NULLs, over the places of the NULLs.
+    """
+    fields = df.schema.fields
+    values = [F.to_json(F.col(f"`{f.name}`")) if _nested(f.dataType) else _comparable(f) for f in fields]
+    places = [
+        F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values[i : i + 200]])
+        for i in range(0, len(values), 200)
+    ]
+    return [F.xxhash64(F.lit(seed), *places, *values).alias(f"digest_{seed}") for seed in (1, 2)]
 
 
 def profile_table(
@@ -46,39 +97,58 @@ def profile_table(
     expected_fields: Sequence[str] = (),
     primary_key: Sequence[str] = (),
     approx: bool = False,
+    one_scan: bool = False,
 ) -> DataFrame:
     """One row per column, with the table's own counts repeated on each row.
 
-    All figures come from a single aggregation over one scan.  ``approx=True``
-    replaces the exact distinct counts (which shuffle every distinct value) by
-    mergeable sketches; use it for wide tables at scale.
+    Counts, NULLs and bounds come from one pass without a shuffle of rows.
+    Distinct values are exact (:func:`distinct_counts`); duplicate rows are
+    found by digest.  ``approx=True`` replaces both by mergeable sketches in
+    that same pass, for tables too wide or large for exact distinct counts.
     """
     fields = df.schema.fields
     columns = [_comparable(f) for f in fields]
-    distinct = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-
-    def row_distinct(parts: Sequence[Column]) -> Column:
-        return F.approx_count_distinct(F.xxhash64(*parts)) if approx else F.count_distinct(_key(parts))
-
-    aggregates = [F.count("*").alias("n"), row_distinct(columns).alias("rows_d")]
+    names = {f.name for f in fields}
+    keyed = bool(primary_key) and set(primary_key) <= names
+    aggregates = [F.count("*").alias("n")]
+    if approx:
+        aggregates.append(F.approx_count_distinct(row_digest(df)[0]).alias("rows_d"))
     for i, (f, c) in enumerate(zip(fields, columns)):
-        aggregates += [F.count_if(c.isNull()).alias(f"null_{i}"), distinct(c).alias(f"dist_{i}")]
+        aggregates.append(F.count_if(c.isNull()).alias(f"null_{i}"))
+        if approx:
+            aggregates.append(F.approx_count_distinct(c).alias(f"dist_{i}"))
         if _orderable(f.dataType):
             aggregates += [F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}")]
-    names = {f.name for f in fields}
-    keyed = bool(primary_key) and set(primary_key) <= names
-    if keyed:
-        by_name = dict(zip((f.name for f in fields), columns))
-        aggregates.append(row_distinct([by_name[name] for name in primary_key]).alias("keys_d"))
     totals = df.agg(*aggregates)
+    if not approx:
+        rows = df.select(*row_digest(df)).distinct().agg(F.count("*").alias("n"))
+        counts = distinct_counts(df, [f.name for f in fields], one_scan=one_scan)
+        totals = _with_counts(totals, counts.unionByName(rows.select(F.lit("").alias("name"), "n")), fields)
+    if keyed:
+        extra = check_primary_key(df, primary_key).select("duplicate_count").scalar()
+    else:
+        extra = F.lit(None).cast("long")
+    return _long_profile(totals, fields, source_id, expected_fields).withColumn("primary_key_duplicate_count", extra)
+
+
+def _with_counts(totals: DataFrame, counts: DataFrame, fields) -> DataFrame:
+    """Attach the few (name, n) rows as columns."""
+    lookup = counts.agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("m")).scalar()
+    held = totals.withColumn("counts", lookup)
+
+    def of(name: str) -> Column:
+        return F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0))
 
+    return held.withColumns({"rows_d": of(""), **{f"dist_{i}": of(f.name) for i, f in enumerate(fields)}})
+
+
+def _long_profile(totals: DataFrame, fields, source_id: str, expected_fields) -> DataFrame:
     def bound(kind: str, i: int, f: T.StructField, number: bool) -> Column:
         target = "double" if number else "string"
         if not _orderable(f.dataType) or isinstance(f.dataType, _NUMBERS) != number:
             return F.lit(None).cast(target)
         column = F.col(f"{kind}_{i}")
-        nested = isinstance(f.dataType, (T.ArrayType, T.StructType))
-        return F.to_json(column) if nested and not number else column.cast(target)
+        return F.to_json(column) if _nested(f.dataType) and not _holds_map(f.dataType) else column.cast(target)
 
     entries = [
         F.struct(
@@ -95,14 +165,13 @@ def profile_table(
         )
         for i, f in enumerate(fields)
     ]
+    names = {f.name for f in fields}
     missing = F.array(*[F.lit(n) for n in expected_fields if n not in names]).cast("array<string>")
-    keys = (F.col("n") - F.col("keys_d")) if keyed else F.lit(None).cast("long")
     return totals.select(
         F.lit(source_id).alias("source_id"),
         F.col("n").alias("row_count"),
         F.lit(len(fields)).alias("column_count"),
-        (F.greatest(F.col("n") - F.col("rows_d"), F.lit(0))).alias("duplicate_row_count"),
-        keys.alias("primary_key_duplicate_count"),
+        F.greatest(F.col("n") - F.col("rows_d"), F.lit(0)).alias("duplicate_row_count"),
         missing.alias("missing_expected_fields"),
         F.inline(F.array(*entries)),
     )

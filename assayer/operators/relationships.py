@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import Normalizer, name_similarity
+from ..functions.values import quoted
+from .profile import distinct_counts
 
 _WORD_BITS = 62
 
@@ -35,50 +38,73 @@ def _memberships(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, s
     size depends on the columns, not on the data.  No value is ever joined.
     """
     words = len(columns) // _WORD_BITS + 1
-    parts = []
+    cells = None
     for table, df in tables.items():
         mine = [(i, c) for i, (t, c) in enumerate(columns) if t == table]
         if not mine:
             continue
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"), F.trim(F.col(f"`{c}`").cast("string")).alias("value")
-                )
-                for i, c in mine
-            ]
-        )
-        parts.append(df.select(F.inline(cells)))
-    cells = parts[0]
-    for part in parts[1:]:
-        cells = cells.unionByName(part)
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        # Adding 0.0 makes -0.0 and 0.0 one value, as equality does.
+        zero = {c: " + 0.0D" if isinstance(kinds[c], (T.FloatType, T.DoubleType)) else "" for _, c in mine}
+        pairs = ", ".join(f"struct({i} AS i, trim(CAST({quoted(c)}{zero[c]} AS STRING)) AS value)" for i, c in mine)
+        part = df.selectExpr(f"inline(array({pairs}))")
+        cells = part if cells is None else cells.unionByName(part)
     masks = [
-        F.bit_or(
-            F.when(F.floor(F.col("i") / _WORD_BITS) == w, F.expr(f"shiftleft(1L, cast(i % {_WORD_BITS} as int))"))
-            .otherwise(F.lit(0).cast("long"))
-        ).alias(f"m{w}")
+        F.expr(f"bit_or(if(i div {_WORD_BITS} = {w}, shiftleft(1L, CAST(i % {_WORD_BITS} AS INT)), 0L)) AS m{w}")
         for w in range(words)
     ]
+    names = [f"m{w}" for w in range(words)]
     return (
         cells.where("value IS NOT NULL AND value <> ''")
         .groupBy("value")
         .agg(*masks)
-        .groupBy(*[f"m{w}" for w in range(words)])
+        .groupBy(*names)
         .agg(F.count("*").alias("n"))
+        .selectExpr("n", f"array({', '.join(names)}) AS mask")
     )
 
 
-def _holds(i: int) -> Column:
-    return F.col(f"m{i // _WORD_BITS}").bitwiseAND(F.lit(1 << (i % _WORD_BITS))) != 0
+def _overlaps(masks: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """Distinct values of either column and of both, per candidate pair."""
+    listed = ", ".join(f"struct({i} AS l, {j} AS r)" for i, j in pairs)
+    bit = "getbit(mask[{0} div %d], CAST({0} %% %d AS INT)) = 1" % (_WORD_BITS, _WORD_BITS)
+    return (
+        masks.selectExpr("n", "mask", f"inline(array({listed}))")
+        .selectExpr("n", "l", "r", f"{bit.format('l')} AS in_l", f"{bit.format('r')} AS in_r")
+        .where("in_l OR in_r")
+        .groupBy("l", "r")
+        .agg(
+            F.expr("sum(if(in_l, n, 0)) AS left_n"),
+            F.expr("sum(if(in_r, n, 0)) AS right_n"),
+            F.expr("sum(if(in_l AND in_r, n, 0)) AS common"),
+        )
+    )
+
 
+def _unique_columns(tables, texts: Mapping[tuple[str, str], int]) -> set[tuple[str, str]]:
+    """Columns with as many distinct values as rows, given their distinct trimmed texts.
 
-def _uniqueness(df: DataFrame, table: str, columns: Sequence[tuple[int, str]]) -> DataFrame:
-    distinct = [F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in columns]
-    row = df.agg(F.count("*").alias("rows"), *distinct)
-    flags = F.array(
-        *[F.struct(F.lit(i).alias("i"), (F.col(f"d{i}") == F.col("rows")).alias("is_unique")) for i, _ in columns]
-    )
-    return row.select(F.inline(flags))
+    Only text columns can have more distinct values than trimmed texts; those
+    short of the row count are counted again untrimmed.
+    """
+    rows = {table: tables[table].count() for table in {t for t, _ in texts}}
+    unique, doubtful = set(), {}
+    for (table, column), n in texts.items():
+        if n == rows[table]:
+            unique.add((table, column))
+        elif isinstance(tables[table].schema[column].dataType, T.StringType):
+            doubtful.setdefault(table, []).append(column)
+    for table, names in doubtful.items():
+        counted = distinct_counts(tables[table], names).collect()
+        unique |= {(table, r["name"]) for r in counted if r["n"] == rows[table]}
+    return unique
+
+
+SCHEMA = (
+    "left_source string, left_column string, right_source string, right_column string, "
+    "dependency_type string, relationship string, name_similarity double, common_values long, "
+    "left_coverage double, right_coverage double, confidence double"
+)
 
 
 def infer_relationships(
@@ -93,78 +119,33 @@ def infer_relationships(
     """Column pairs that look like links, with coverage, cardinality and confidence.
 
     Coverage is measured on the full distinct value sets, so a link between
-    large keys is found whatever their size.  ``None`` when no names are alike.
+    large keys is found whatever their size.  The result has at most one row per
+    pair of schema columns, so it is built from collected counts; the values
+    stay on the executors.  ``None`` when no names are alike.
     """
-    pairs = candidate_pairs(tables, normalize=normalize, minimum=minimum_similarity)
-    if not pairs:
+    candidates = candidate_pairs(tables, normalize=normalize, minimum=minimum_similarity)
+    if not candidates:
         return None
-    columns = sorted({(t, c) for lt, lc, rt, rc, _ in pairs for t, c in ((lt, lc), (rt, rc))})
+    columns = sorted({side for lt, lc, rt, rc, _ in candidates for side in ((lt, lc), (rt, rc))})
     index = {column: i for i, column in enumerate(columns)}
-    entries = []
-    for lt, lc, rt, rc, similarity in pairs:
-        keyed = all(name.lower().endswith(tuple(key_suffixes)) for name in (lc, rc))
-        i, j = index[lt, lc], index[rt, rc]
-        entries.append(
-            F.struct(
-                F.lit(lt).alias("left_source"),
-                F.lit(lc).alias("left_column"),
-                F.lit(rt).alias("right_source"),
-                F.lit(rc).alias("right_column"),
-                F.lit(float(similarity)).alias("similarity"),
-                F.lit("join_key_candidate" if keyed else "shared_domain_candidate").alias("dependency_type"),
-                F.lit(i).alias("li"),
-                F.lit(j).alias("ri"),
-                _holds(i).alias("in_left"),
-                _holds(j).alias("in_right"),
-            )
+    pairs = {(index[lt, lc], index[rt, rc]): similarity for lt, lc, rt, rc, similarity in candidates}
+    counts = _overlaps(_memberships(tables, columns), list(pairs)).where(F.col("common") >= max(1, minimum_common))
+    linked = counts.where("greatest(common / left_n, common / right_n) >= %r" % float(minimum_coverage)).collect()
+    texts = {columns[r[k]]: r[n] for r in linked for k, n in (("l", "left_n"), ("r", "right_n"))}
+    unique = _unique_columns(tables, texts)
+    rows = []
+    for r in linked:
+        left, right = columns[r["l"]], columns[r["r"]]
+        covers = (r["common"] / r["left_n"], r["common"] / r["right_n"])
+        similarity = pairs[r["l"], r["r"]]
+        keyed = all(side[1].lower().endswith(tuple(key_suffixes)) for side in (left, right))
+        kind = "join_key_candidate" if keyed else "shared_domain_candidate"
+        ends = ["one" if side in unique else "many" for side in (left, right)]
+        confidence = min(1.0, 0.65 * max(covers) + 0.35 * similarity)
+        rows.append(
+            (*left, *right, kind, "_to_".join(ends), round(similarity, 4), r["common"],
+             round(covers[0], 4), round(covers[1], 4), round(confidence, 4))
         )
-    names = ["left_source", "left_column", "right_source", "right_column", "similarity", "dependency_type", "li", "ri"]
-    counted = (
-        _memberships(tables, columns)
-        .select("n", F.inline(F.array(*entries)))
-        .where("in_left OR in_right")
-        .groupBy(*names)
-        .agg(
-            F.sum(F.when(F.col("in_left"), F.col("n")).otherwise(0)).alias("left_n"),
-            F.sum(F.when(F.col("in_right"), F.col("n")).otherwise(0)).alias("right_n"),
-            F.sum(F.when(F.col("in_left") & F.col("in_right"), F.col("n")).otherwise(0)).alias("common"),
-        )
-    )
-    unique = None
-    for table, df in tables.items():
-        mine = [(index[t, c], c) for t, c in columns if t == table]
-        if mine:
-            part = _uniqueness(df, table, mine)
-            unique = part if unique is None else unique.unionByName(part)
-    # One flag per column of the schemas: a map that every row may carry.
-    flags = unique.agg(F.map_from_entries(F.collect_list(F.struct("i", "is_unique"))).alias("m")).scalar()
-    best = F.greatest("left_cover", "right_cover")
-    confidence = F.least(F.lit(1.0), 0.65 * best + 0.35 * F.col("similarity"))
-    cardinality = (
-        F.when(F.col("u")[F.col("li")] & F.col("u")[F.col("ri")], "one_to_one")
-        .when(F.col("u")[F.col("li")], "one_to_many")
-        .when(F.col("u")[F.col("ri")], "many_to_one")
-        .otherwise("many_to_many")
-    )
-    linked = (
-        counted.where((F.col("common") >= minimum_common) & (F.col("common") > 0))
-        .withColumns({"left_cover": F.col("common") / F.col("left_n"), "right_cover": F.col("common") / F.col("right_n")})
-        .where(best >= minimum_coverage)
-    )
-    return (
-        linked.withColumn("u", flags)
-        .select(
-            "left_source",
-            "left_column",
-            "right_source",
-            "right_column",
-            "dependency_type",
-            cardinality.alias("relationship"),
-            F.round("similarity", 4).alias("name_similarity"),
-            F.col("common").alias("common_values"),
-            F.round("left_cover", 4).alias("left_coverage"),
-            F.round("right_cover", 4).alias("right_coverage"),
-            F.round(confidence, 4).alias("confidence"),
-        )
-        .orderBy(F.desc("confidence"), "left_source", "left_column", "right_source", "right_column")
-    )
+    rows.sort(key=lambda row: (-row[-1], *row[:4]))
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, SCHEMA)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +20,20 @@ def request_words(request: str) -> tuple[list[str], bool]:
     return sorted(w for w in found if w[:PREFIX] not in IGNORED_PREFIXES), best_only
 
 
-def text_words(column: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"(?U)[\w-]{3,}"), F.lit(0)))
+def _meets(word: str, text: Column) -> Column:
+    """Does a request word meet any word of a lower-case text?
 
-
-def _meets(word: str, candidate: Column) -> Column:
-    hit = F.contains(candidate, F.lit(word)) | F.contains(F.lit(word), candidate)
+    A word of the text is a run of three or more of ``[\\w-]``.  It contains the
+    request word exactly where the text does; it lies inside the request word
+    when it is one of its substrings; it shares the first letters when it starts
+    with them.  So one search and one pattern replace splitting the text.
+    """
+    inside = sorted({word[i:j] for i in range(len(word)) for j in range(i + 3, len(word) + 1)} - {word})
+    choices = [rf"(?:{'|'.join(map(re.escape, inside))})(?![\w-])"] if inside else []
     if len(word) >= PREFIX:
-        hit = hit | ((F.length(candidate) >= PREFIX) & candidate.startswith(word[:PREFIX]))
-    return hit
+        choices.append(re.escape(word[:PREFIX]))
+    hit = F.contains(text, F.lit(word))
+    return hit | text.rlike(rf"(?U)(?<![\w-])(?:{'|'.join(choices)})") if choices else hit
 
 
 def keyword_relevance(items: DataFrame, request: str, text: str = "text") -> DataFrame:
@@ -44,11 +48,11 @@ def keyword_relevance(items: DataFrame, request: str, text: str = "text") -> Dat
         return items.withColumn("score", F.lit(0))
     score = F.lit(0)
     for word in wanted:
-        score = score + F.exists("__words", partial(_meets, word)).cast("int")
+        score = score + _meets(word, F.col("__text")).cast("int")
     scored = (
-        items.withColumn("__words", text_words(F.col(f"`{text}`")))
+        items.withColumn("__text", F.lower(F.col(f"`{text}`")))
         .withColumn("score", F.coalesce(score, F.lit(0)))
-        .drop("__words")
+        .drop("__text")
     )
     best = scored.agg(F.max("score").alias("m")).scalar()
     threshold = best if best_only else F.least(best, F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -37,9 +38,9 @@ class HashingEmbedder:
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
         result = np.zeros((len(texts), self.dimension))
         for row, text in zip(result, texts):
-            for word in re.findall(r"\w+", text.lower()):
+            for word, times in Counter(re.findall(r"\w+", text.lower())).items():
                 code = zlib.crc32(word.encode())
-                row[code % self.dimension] += 1.0 if code & (1 << 31) else -1.0
+                row[code % self.dimension] += times if code & (1 << 31) else -times
             norm = np.linalg.norm(row)
             if norm:
                 row /= norm

@@ -6,7 +6,7 @@ import re
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..specs import SqlSpec
@@ -65,10 +65,15 @@ def bounded_result(df: DataFrame, max_rows: int, order: list[Column]) -> DataFra
     """The first ``max_rows`` rows in ``order`` and whether more existed.
 
     One row more than asked is taken (a distributed top-n), so ``truncated`` is
-    known without counting the rest.
+    known without counting the rest; only those few rows are numbered.
     """
     if not 0 < max_rows <= 10_000:
         raise ValueError("max_rows must lie in 1..10000")
     head = df.orderBy(*order).limit(max_rows + 1)
-    cut = head.agg((F.count("*") > max_rows).alias("t")).scalar()
-    return head.orderBy(*order).limit(max_rows).withColumn("truncated", cut)
+    place = F.row_number().over(Window.orderBy(*order))
+    total = F.count("*").over(Window.partitionBy())
+    return (
+        head.withColumns({"__place": place, "truncated": total > max_rows})
+        .where(F.col("__place") <= max_rows)
+        .drop("__place")
+    )

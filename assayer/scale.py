@@ -71,6 +71,16 @@ def checked_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(frozen) if measured_bytes(frozen) <= BROADCAST_BYTES else frozen
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for Python work on a small input that sits in one or two files.
+
+    A large input already arrives in many splits and is left where it is.
+    """
+    if not is_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def join_on(
     left: DataFrame,
     right: DataFrame,

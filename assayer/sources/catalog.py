@@ -13,7 +13,7 @@ from ..operators.documents import chunk_documents, chunk_id, usable_documents
 from ..operators.profile import profile_table
 from ..operators.retrieval import Embedder, embed
 from ..specs import ConnectionSpec, SourceSpec, unique_sources
-from .readers import read_documents, read_table
+from .readers import infer_format, read_documents, read_table
 
 
 def register_table(
@@ -86,6 +86,7 @@ def ingest_catalog(
                         expected_fields=source.expected_fields,
                         primary_key=source.primary_key,
                         approx=approx_profiles,
+                        one_scan=not source.is_database and infer_format(source) != "parquet",
                     )
                 )
             else:

@@ -161,9 +161,7 @@ def scan_documents(
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     body = F.decode("content", charset(encoding))
     if document_format == "html":
-        pages = files.select("path", "length", "modificationTime", body.alias("html"))
-        texts = extract_html_text(pages, "path")
-        return pages.drop("html").join(texts, "path")
+        return extract_html_text(files.select("path", "length", "modificationTime", body.alias("html")))
     return files.select(
         "path", "length", "modificationTime", tidy_text(body).alias("text"), F.lit(None).cast("string").alias("error")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.evidence import evidence_collisions, new_evidence
-from ..scale import freeze
+from ..scale import checked_broadcast, freeze, join_on
 
 
 def sink_evidence(evidence: DataFrame, path: str) -> int:
@@ -17,14 +17,13 @@ def sink_evidence(evidence: DataFrame, path: str) -> int:
     Safe to repeat: what is already there is left out.  Returns rows added.
     """
     spark = evidence.sparkSession
-    run_ids = [row[0] for row in evidence.select("run_id").distinct().limit(1000).collect()]
     incoming = freeze(evidence.dropDuplicates(["run_id", "evidence_id", "checksum"]))
     twice = incoming.groupBy("run_id", "evidence_id").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError("evidence id collision within the batch")
     stored = _stored(spark, path)
     if stored is not None:
-        mine = stored.where(F.col("run_id").isin(run_ids))
+        mine = join_on(stored, checked_broadcast(incoming.select("run_id").distinct()), ["run_id"], "left_semi")
         if not evidence_collisions(incoming, mine).isEmpty():
             raise ValueError("evidence id collision with stored records")
         incoming = freeze(new_evidence(incoming, mine))

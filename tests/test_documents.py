@@ -61,7 +61,7 @@ def test_html_text():
 
 def test_html_errors_are_kept_apart(spark):
     df = spark.createDataFrame([(1, "<p>a</p><p></p>\n<p>b</p>"), (2, None)], "page_id long, html string")
-    out = extract_html_text(df, "page_id")
+    out = extract_html_text(df)
     rows = {r["page_id"]: r for r in out.collect()}
     assert rows[1]["text"] == "a\n\nb" and rows[2]["error"].startswith("TypeError")
     assert usable_documents(out).count() == 1
