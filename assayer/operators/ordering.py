@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import clock_seconds
+from ..functions.values import clock_seconds, quoted
 from ..scale import HOT_GROUP_ROWS, attach_small, freeze, is_small
 
 # Slices per hot group: this many times more than rows / limit, because time
 # slices of equal width do not hold equal numbers of rows.
 SLICE_SPREAD = 4
+SLICE_LEVELS = 2
 
 
 def _row_order(time: str, tie_breakers: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{name}`").asc_nulls_last() for name in (time, *tie_breakers)]
+    return [F.col(quoted(name)).asc_nulls_last() for name in (time, *tie_breakers)]
 
 
 def previous_values(
@@ -33,27 +34,24 @@ def previous_values(
     A plan too small to hold a hot group is one window.  Otherwise group sizes
     are counted first (a column-pruned, map-side combined count).  Groups above
     ``max_group_rows`` are cut into time slices of equal width computed from
-    their own first and last time: the window then runs per (key, slice), and
-    the first row of a slice takes its values from a table holding the last row
-    of each slice.  No task ever sorts a whole hot group.
+    their own first and last time, and slices that are still too full are cut
+    once more.  The window then runs per (key, slice), and the first row of a
+    slice takes its values from a table holding the last row of each slice.  No
+    task sorts a whole hot group; only rows of one key and one second stay
+    together.
     """
     limit = max_group_rows or HOT_GROUP_ROWS
     if max_group_rows is None and is_small(df):
         return _lag(df, keys, time, tie_breakers, values)
-    position = "__position"
-    hot = freeze(
-        df.select(*[F.col(f"`{key}`") for key in keys], clock_seconds(F.col(f"`{time}`")).alias(position))
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("__rows"),
-            F.min(position).alias("__start"),
-            F.max(position).alias("__stop"),
-        )
-        .where(F.col("__rows") > limit)
-    )
-    if hot.isEmpty():
+    sliced, slices = df.withColumn("__second", clock_seconds(F.col(quoted(time)))), []
+    for level in range(SLICE_LEVELS):
+        crowded = _crowded_groups(sliced, [*keys, *slices], limit, only_hot=bool(slices))
+        if crowded.isEmpty():
+            break
+        sliced, slices = _cut(sliced, crowded, [*keys, *slices], level), [*slices, f"__slice_{level}"]
+    if not slices:
         return _lag(df, keys, time, tie_breakers, values)
-    return _sliced_lag(df, hot, keys, time, tie_breakers, values, limit)
+    return _sliced_lag(sliced.drop("__second"), keys, slices, time, tie_breakers, values)
 
 
 def _lag(df, keys, time, tie_breakers, values) -> DataFrame:
@@ -61,24 +59,36 @@ def _lag(df, keys, time, tie_breakers, values) -> DataFrame:
     return df.withColumns({new: F.lag(old).over(window) for new, old in values.items()})
 
 
-def _sliced_lag(df, hot, keys, time, tie_breakers, values, limit) -> DataFrame:
-    parts = F.ceil(F.col("__rows") * F.lit(SLICE_SPREAD) / F.lit(limit))
-    width = F.greatest(F.lit(1), F.ceil((F.col("__stop") - F.col("__start") + 1) / parts))
-    ranges = hot.select(*keys, F.col("__start"), width.cast("long").alias("__width"))
-    offset = clock_seconds(F.col(f"`{time}`")) - F.col("__start")
-    slice_number = (
+def _crowded_groups(rows: DataFrame, group: list[str], limit: int, only_hot: bool) -> DataFrame:
+    """Start and slice width of every group with more timed rows than ``limit``."""
+    rows = rows.where("__hot") if only_hot else rows
+    parts = F.ceil(F.col("n") * F.lit(SLICE_SPREAD) / F.lit(limit))
+    width = F.greatest(F.lit(1), F.ceil((F.col("stop") - F.col("start") + 1) / parts))
+    return freeze(
+        rows.groupBy(*group)
+        .agg(F.count("__second").alias("n"), F.min("__second").alias("start"), F.max("__second").alias("stop"))
+        .where((F.col("n") > limit) & (F.col("stop") > F.col("start")))
+        .select(*group, F.col("start").alias("__start"), width.cast("long").alias("__width"))
+    )
+
+
+def _cut(rows: DataFrame, crowded: DataFrame, group: list[str], level: int) -> DataFrame:
+    """Number the slice of every row; rows without a time come last, as in the order."""
+    number = (
         F.when(F.col("__width").isNull(), F.lit(0))
-        .when(F.col(f"`{time}`").isNull(), F.lit(2**31 - 1))
-        .otherwise(F.floor(offset / F.col("__width")))
-        .cast("long")
+        .when(F.col("__second").isNull(), F.lit(2**62))
+        .otherwise(F.floor((F.col("__second") - F.col("__start")) / F.col("__width")))
     )
-    sliced = (
-        attach_small(df, ranges, keys, "left", null_safe=True)
-        .withColumn("__slice", slice_number)
-        .withColumn("__hot", F.col("__width").isNotNull())
+    hot = F.col("__width").isNotNull() if level == 0 else F.col("__hot")
+    return (
+        attach_small(rows, crowded, group, "left", null_safe=True)
+        .withColumns({f"__slice_{level}": number.cast("long"), "__hot": hot})
         .drop("__start", "__width")
     )
-    group = [*keys, "__slice"]
+
+
+def _sliced_lag(sliced, keys, slices, time, tie_breakers, values) -> DataFrame:
+    group = [*keys, *slices]
     window = Window.partitionBy(*group).orderBy(*_row_order(time, tie_breakers))
     within = sliced.withColumns(
         {
@@ -88,17 +98,13 @@ def _sliced_lag(df, hot, keys, time, tie_breakers, values, limit) -> DataFrame:
     )
     # Last row of every slice of the hot groups, then shifted by one slice.
     names = list(values)
-    order = [
-        part
-        for name in (time, *tie_breakers)
-        for part in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))
-    ]
+    order = [part for name in (time, *tie_breakers) for part in (F.col(quoted(name)).isNull(), F.col(quoted(name)))]
     last = (
         sliced.where("__hot")
         .groupBy(*group)
         .agg(F.max_by(F.struct(*[F.col(values[n]).alias(n) for n in names]), F.struct(*order)).alias("__last"))
     )
-    by_slice = Window.partitionBy(*keys).orderBy("__slice")
+    by_slice = Window.partitionBy(*keys).orderBy(*slices)
     carried = last.select(
         *group, F.lit(True).alias("__opens"), F.lag("__last").over(by_slice).alias("__carried")
     )
@@ -106,7 +112,7 @@ def _sliced_lag(df, hot, keys, time, tie_breakers, values, limit) -> DataFrame:
     resolved = joined.withColumns(
         {n: F.when(F.col("__opens"), F.col(f"__carried.{n}")).otherwise(F.col(n)) for n in names}
     )
-    return resolved.drop("__slice", "__hot", "__opens", "__carried")
+    return resolved.drop(*slices, "__hot", "__opens", "__carried")
 
 
 def grouped_quantiles(
