@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import quoted
+
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _comparable(field: T.StructField) -> Column:
     """Maps can be neither compared nor counted: use their JSON text. NaN is missing."""
-    column = F.col(f"`{field.name}`")
+    column = F.col(quoted(field.name))
     if _holds_map(field.dataType):
         return F.to_json(column)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
@@ -82,14 +84,22 @@ def row_digest(df: DataFrame) -> list[Column]:
     NULLs, over the places of the NULLs.
     """
     fields = df.schema.fields
-    values = [F.to_json(F.col(f"`{f.name}`")) if _nested(f.dataType) else _comparable(f) for f in fields]
-    places = [
-        F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values[i : i + 200]])
-        for i in range(0, len(values), 200)
-    ]
+    values = [F.to_json(F.col(quoted(f.name))) if _nested(f.dataType) else _comparable(f) for f in fields]
+    places = []
+    for start in range(0, len(fields), 60):
+        missing = [
+            f"if({_missing_sql(f)}, {1 << i}L, 0L)" for i, f in enumerate(fields[start : start + 60])
+        ]
+        places.append(F.expr(" | ".join(missing)))
     return [F.xxhash64(F.lit(seed), *places, *values).alias(f"digest_{seed}") for seed in (1, 2)]
 
 
+def _missing_sql(field: T.StructField) -> str:
+    column = quoted(field.name)
+    fractional = isinstance(field.dataType, (T.FloatType, T.DoubleType))
+    return f"{column} IS NULL OR isnan({column})" if fractional else f"{column} IS NULL"
+
+
 def profile_table(
     df: DataFrame,
     source_id: str,
