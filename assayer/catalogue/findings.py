@@ -13,10 +13,10 @@ from ..operators.applicability import rule_applicability
 from ..operators.evidence import build_evidence, verify_evidence
 from ..operators.report import confirmed_findings, report_digest, run_summary, verdict_counts
 from ..operators.timeline import timeline
-from ..plans.run import count_results, run_full_audit
+from ..plans.run import count_results, execute_rules, rule_results, run_full_audit
 from ..scale import freeze
 from ..sources.sinks import sink_evidence, sink_run_outputs
-from ..specs import AnomalySpec, FindingTemplate, RuleSpec, TimelineSpec
+from ..specs import AnomalySpec, FindingTemplate, RuleSpec, SqlSpec, TimelineSpec
 from .checks import CONTRADICTION, CONTRADICTION_SQL, STEPS, contradictions
 from .registry import query, scratch, table
 
@@ -263,6 +263,22 @@ def q_summary(spark, sf_dir):
     return run_summary(findings, reviews, fnd.audit_plan(findings, reviews), results, evidence)
 
 
+@query("execute_rules", f"""WITH {_FINDINGS_SQL}, x AS ({CONTRADICTION_SQL}),
+k AS (SELECT 'OPEN_LINE_OF_FINISHED_ORDER' AS rule_id, (SELECT count(*) FROM x) AS n UNION ALL SELECT 'EVENT_VALUE', (SELECT count(*) FROM z)
+  UNION ALL SELECT 'EVENT_ORDER', (SELECT count(*) FROM t))
+SELECT rule_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n AS evaluated_rows, n AS findings_count, false AS truncated, false AS failed FROM k
+UNION ALL SELECT 'BROKEN', 'ERROR', 0, 0, false, true""")
+def q_execute(spark, sf_dir):
+    """A rule that cannot run becomes an error result; the others are not affected."""
+    sources = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "events")}
+    broken = RuleSpec("BROKEN", "sql", ("events",), CONTRADICTION_RULE.finding, sql=SqlSpec("SELECT no_such_column FROM {{events}}"))
+    outcomes = execute_rules(spark, [*AUDIT_RULES, broken], sources, run_id=RUN)
+    results = rule_results(spark, outcomes)
+    return results.select(
+        "rule_id", "status", "evaluated_rows", "findings_count", "truncated", F.col("error").isNotNull().alias("failed")
+    )
+
+
 AUDIT_RULES = (CONTRADICTION_RULE, ZSCORE_RULE, TIMELINE_RULE)
 _AUDIT_SQL = f"""WITH {_FINDINGS_SQL}, x AS ({CONTRADICTION_SQL}),
 k AS (SELECT (SELECT count(*) FROM z) AS nz, (SELECT count(DISTINCT user_id) FROM t) AS nu, (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM x) AS nx)

@@ -12,6 +12,7 @@ from ..operators.lineage import declared_edges, impact_paths, lineage_edges
 from ..operators.profile import profile_table
 from ..operators.relationships import candidate_pairs, infer_relationships
 from ..operators.roles import attribute_roles, infer_column_roles
+from ..plans.run import analyze_business_logic
 from ..specs import RelationshipSpec
 from .registry import query, table
 
@@ -143,32 +144,41 @@ def outlier_rows(spark, sf_dir):
     return out.minority_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ROUTE)
 
 
-_CONTEXTS = [("lang",), ("source",), ("lang", "source")]
+_LANG, _SOURCE = ("lang", "lang"), ("source", "source")
+_CONTEXTS = [(_LANG,), (_SOURCE,), (_LANG, _SOURCE)]
 
 
 def _context_json(names) -> str:
-    members = ", ',', ".join(f"'\"{n}\":\"', {n}, '\"'" for n in names)
+    members = ", ',', ".join(f"'\"{shown}\":\"', {column}, '\"'" for shown, column in names)
     return f"concat('{{', {members}, '}}')"
 
 
-MINORITY_SQL = (
-    "j AS (SELECT d.doc_id, d.lang, d.source, l.toxic, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id), v AS ("
-    + " UNION ALL ".join(
-        f"SELECT doc_id, {len(names)} AS arity, {_context_json(names)} AS context, '{target}' AS attribute, {target} AS tgt FROM j"
-        for names in _CONTEXTS
-        for target in ("toxic", "quality")
+def minority_sql(contexts, targets, confidence: str) -> str:
+    """CTEs j .. c: joined rows, contexts with a dominant value, deviating rows, candidates.
+
+    ``contexts`` are tuples of (shown name, column), ``targets`` (shown name, column).
+    """
+    views = " UNION ALL ".join(
+        f"SELECT doc_id, {len(names)} AS arity, {_context_json(names)} AS context, '{shown}' AS attribute, {column} AS tgt FROM j"
+        for names in contexts
+        for shown, column in targets
     )
-    + "), g AS (SELECT arity, context, attribute, tgt, count(*) AS n FROM v GROUP BY ALL), "
-    "t AS (SELECT *, sum(n) OVER w AS tot, count(*) OVER w AS nv, row_number() OVER (PARTITION BY context, attribute ORDER BY n DESC) AS rn "
-    "FROM g WINDOW w AS (PARTITION BY context, attribute)), "
-    "s AS (SELECT arity, context, attribute, tgt AS expected, n AS expected_rows, tot AS joined_rows FROM t "
-    "WHERE rn = 1 AND tot >= 5 AND nv >= 2 AND n::DOUBLE / tot >= 0.9), "
-    "m AS (SELECT v.doc_id, v.tgt, s.* FROM v JOIN s ON v.context = s.context AND v.attribute = s.attribute AND v.tgt IS DISTINCT FROM s.expected), "
-    "c AS (SELECT arity, context, attribute, expected, joined_rows, count(*) AS mismatch_rows, "
-    "round(count(*)::DOUBLE / max(joined_rows), 6) AS mismatch_ratio, "
-    "round(least(0.99::DOUBLE, 0.97::DOUBLE * (max(expected_rows)::DOUBLE / max(joined_rows))), 4) AS confidence, "
-    "string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, min(doc_id::VARCHAR) AS first_id FROM m GROUP BY ALL)"
-)
+    return (
+        "j AS (SELECT d.doc_id, d.lang, d.source, l.toxic, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id), "
+        f"v AS ({views}), g AS (SELECT arity, context, attribute, tgt, count(*) AS n FROM v GROUP BY ALL), "
+        "t AS (SELECT *, sum(n) OVER w AS tot, count(*) OVER w AS nv, row_number() OVER (PARTITION BY context, attribute ORDER BY n DESC) AS rn "
+        "FROM g WINDOW w AS (PARTITION BY context, attribute)), "
+        "s AS (SELECT arity, context, attribute, tgt AS expected, n AS expected_rows, tot AS joined_rows FROM t "
+        "WHERE rn = 1 AND tot >= 5 AND nv >= 2 AND n::DOUBLE / tot >= 0.9), "
+        "m AS (SELECT v.doc_id, v.tgt, s.* FROM v JOIN s ON v.context = s.context AND v.attribute = s.attribute AND v.tgt IS DISTINCT FROM s.expected), "
+        "c AS (SELECT arity, context, attribute, expected, joined_rows, count(*) AS mismatch_rows, "
+        "round(count(*)::DOUBLE / max(joined_rows), 6) AS mismatch_ratio, "
+        f"round(least(0.99::DOUBLE, {confidence}::DOUBLE * (max(expected_rows)::DOUBLE / max(joined_rows))), 4) AS confidence, "
+        "string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, min(doc_id::VARCHAR) AS first_id FROM m GROUP BY ALL)"
+    )
+
+
+MINORITY_SQL = minority_sql(_CONTEXTS, [("toxic", "toxic"), ("quality", "quality")], "0.97")
 
 _MERGED_SQL = (
     ", a AS (SELECT *, row_number() OVER (PARTITION BY ids ORDER BY arity DESC, confidence DESC, context DESC, attribute DESC) AS rn FROM c), "
@@ -284,3 +294,27 @@ def q_paths(spark, sf_dir):
     edges = lineage_edges(declared_edges(spark, DECLARED), star_links(spark, sf_dir))
     seeds = spark.createDataFrame([("region",), ("part",)], "seed string")
     return impact_paths(edges, seeds).select("seed", "depth", "target", "path")
+
+
+_ASSET, _UNIT = ("asset_class", "lang"), ("business_unit", "source")
+_LINK_CONFIDENCE = (
+    "(SELECT least(1.0::DOUBLE, 0.65::DOUBLE * greatest(k / (SELECT count(DISTINCT doc_id) FROM documents), "
+    "k / (SELECT count(DISTINCT doc_id) FROM labels)) + 0.35::DOUBLE) "
+    "FROM (SELECT count(*)::DOUBLE AS k FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)))"
+)
+_ROUTE_SQL = minority_sql([(_ASSET,), (_UNIT,), (_ASSET, _UNIT)], [("entity_class", "toxic")], _LINK_CONFIDENCE)
+
+
+@query("analyze_business_logic", f"WITH {_ROUTE_SQL}{_MERGED_SQL} SELECT 'routes' AS mapping_source, 'accounts' AS reference_source, "
+       "attribute, context, joined_rows::BIGINT AS joined_rows, mismatch_rows, mismatch_ratio, confidence FROM h")
+def q_business(spark, sf_dir):
+    """Profiles, links, roles and outliers in one go, nothing told beforehand."""
+    frames = {"routes": _routes(spark, sf_dir), "accounts": _accounts(spark, sf_dir)}
+    profiles = None
+    for name, df in frames.items():
+        part = profile_table(df, name)
+        profiles = part if profiles is None else profiles.unionByName(part)
+    analysis = analyze_business_logic(spark, frames, profiles, infer_relationships(frames))
+    return analysis.hypotheses.select(
+        "mapping_source", "reference_source", "attribute", "context", "joined_rows", "mismatch_rows", "mismatch_ratio", "confidence"
+    )

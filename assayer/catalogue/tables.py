@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.names import jaccard, meaningful_words
 from ..functions.values import normalize_rows
-from ..operators.events import redact_value
+from ..operators.events import redact_events, redact_value
 from ..operators.feedback import ingest_feedback
 from ..operators.profile import check_primary_key, profile_table
 from ..sources.catalog import ingest_catalog, query_table, register_table
 from ..sources.discovery import discover_files, list_files
 from ..sources.readers import scan_csv, scan_json, scan_parquet
+from ..sources.sinks import append_events
 from ..specs import SourceSpec
 from .registry import query, scratch, table
 
@@ -222,3 +224,39 @@ def q_feedback(spark, sf_dir):
         F.array_join("missed_categories", ",").alias("categories"),
         F.array_join("improvement_targets", ",").alias("targets"),
     )
+
+
+@query("append_events", """
+SELECT event_type AS event, 'INFO' AS level, CAST(user_id % 3 AS INTEGER) AS run_id, count(*) AS n,
+  count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY ALL
+""")
+def q_append(spark, sf_dir):
+    """Two appends of masked run events, read back by run folder."""
+    path = scratch(spark)
+    events = table(spark, sf_dir, "events")
+    details = F.create_map(F.lit("api_key"), F.col("props"), F.lit("high"), (F.col("value") > 50).cast("string"))
+    rows = events.select(
+        F.col("ts").alias("timestamp"), F.lit("INFO").alias("level"), (F.col("user_id") % 3).alias("run_id"),
+        F.col("event_type").alias("event"), details.alias("details"),
+    )
+    masked = redact_events(rows, ["details"])
+    append_events(masked.where("event = 'view'"), path)
+    append_events(masked.where("event <> 'view' OR event IS NULL"), path)
+    schema = "timestamp timestamp_ntz, level string, event string, details map<string,string>, run_id int"
+    stored = spark.read.schema(schema).json(path).where("details['api_key'] = '***REDACTED***'")
+    return stored.groupBy("event", "level", "run_id").agg(
+        F.count("*").alias("n"), F.count_if(F.col("details")["high"] == "true").alias("high")
+    )
+
+
+@query("name_similarity", """
+WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS a,
+  list_distinct(regexp_extract_all(lower(concat(p_type, ' from ', split_part(p_name, ' ', 1))), '[a-z0-9]+')) AS b FROM part),
+k AS (SELECT p_partkey, a, list_filter(b, lambda x: x NOT IN ('from', 'left', 'right', 'source', 'target', 'to')) AS b FROM w)
+SELECT p_partkey, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM k
+""")
+def q_similarity(spark, sf_dir):
+    name = F.col("p_name")
+    other = F.concat_ws(" from ", "p_type", F.split_part(name, F.lit(" "), F.lit(1)))
+    similarity = jaccard(meaningful_words(name), meaningful_words(other))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(similarity, 6).alias("similarity"))
