@@ -123,20 +123,30 @@ def _unit(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
 class _Best:
     """Keeps the k best (score, id) per query while blocks of scores pass by."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, k: int) -> None:
         self.k = k
-        self.scores = np.full((queries, 0), 0.0)
+        self.scores: np.ndarray | None = None
         self.ids: np.ndarray | None = None
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         wide = np.broadcast_to(ids, scores.shape)
-        if self.ids is not None:
+        if self.scores is not None:
             scores = np.concatenate([self.scores, scores], axis=1)
             wide = np.concatenate([self.ids, wide], axis=1)
-        # Best score first, smaller id first among equals.
-        order = np.lexsort((wide, -scores), axis=1)[:, : self.k]
-        self.scores = np.take_along_axis(scores, order, axis=1)
-        self.ids = np.take_along_axis(wide, order, axis=1)
+        if scores.shape[1] > self.k:
+            chosen = self._choose(scores, wide)
+            scores, wide = (np.take_along_axis(m, chosen, axis=1) for m in (scores, wide))
+        self.scores, self.ids = scores, wide
+
+    def _choose(self, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Columns of the k best scores per row; among equals the smaller ids."""
+        chosen = np.argpartition(-scores, self.k - 1, axis=1)[:, : self.k]
+        worst = np.take_along_axis(scores, chosen, axis=1).min(axis=1, keepdims=True)
+        # Only rows whose last place is shared by more columns than fit need the ids.
+        for row in np.flatnonzero((scores >= worst).sum(axis=1) > self.k):
+            able = np.flatnonzero(scores[row] >= worst[row])
+            chosen[row] = sorted(able, key=lambda c: (-scores[row, c], ids[row, c]))[: self.k]
+        return chosen
 
 
 def _emit(best: _Best, queries: np.ndarray, schema: pa.Schema) -> pa.RecordBatch | None:
@@ -197,7 +207,7 @@ def _shipped(rows, wanted, k, schema, arrow) -> DataFrame:
     matrix = _unit(table.column("v"), dimension)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(names), k)
+        best = _Best(k)
         for batch in batches:
             if batch.num_rows:
                 ids = np.array(batch.column("i").to_pylist(), dtype=object)
@@ -227,7 +237,7 @@ def _blocked(rows, wanted, k, schema, arrow) -> DataFrame:
         if not a.num_rows or not b.num_rows:
             return arrow.empty_table()
         dimension = len(b.column("v")[0])
-        best = _Best(b.num_rows, k)
+        best = _Best(k)
         ids = np.array(a.column("i").to_pylist(), dtype=object)
         best.add(_unit(b.column("v"), dimension) @ _unit(a.column("v"), dimension).T, ids)
         names = np.array(b.column("q").to_pylist(), dtype=object)
