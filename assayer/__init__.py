@@ -1,5 +1,9 @@
 """Audit analytics on Spark DataFrames."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .plans.run import (
     AuditRun,
     build_findings,
@@ -22,6 +26,10 @@ from .specs import (
     TimelineSpec,
 )
 
+# Functions of this package travel to the Python workers by value, so executors
+# need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "AnomalySpec",
     "AuditRun",
