@@ -122,11 +122,12 @@ def order_lines(spark, sf_dir):
     )
 
 
+# Six decimals are exact here, so rounding never meets a tie.
 @query("reconcile", """
 WITH l AS (SELECT o_orderkey AS k, sum(o_totalprice) AS lv FROM orders GROUP BY 1),
      r AS (SELECT l_orderkey AS k, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS rv FROM lineitem GROUP BY 1)
-SELECT CAST(coalesce(l.k, r.k) AS VARCHAR) AS object_id, coalesce(l.k, r.k) AS key_0, round(lv, 4) AS left_value,
-       round(rv, 4) AS right_value, round(coalesce(lv, 0) - coalesce(rv, 0), 4) AS difference
+SELECT CAST(coalesce(l.k, r.k) AS VARCHAR) AS object_id, coalesce(l.k, r.k) AS key_0, round(lv, 6) AS left_value,
+       round(rv, 6) AS right_value, round(coalesce(lv, 0) - coalesce(rv, 0), 6) AS difference
 FROM l FULL OUTER JOIN r ON l.k IS NOT DISTINCT FROM r.k
 WHERE abs(coalesce(lv, 0) - coalesce(rv, 0)) > 0.01
 """)
@@ -137,7 +138,7 @@ def q_reconcile(spark, sf_dir):
         ORDER_TOTALS,
         ReconcileSpec("order_to_lines", "o_totalprice", "charge", "sum", 0.01),
     )
-    return found.select("object_id", "key_0", *[F.round(n, 4).alias(n) for n in ("left_value", "right_value", "difference")])
+    return found.select("object_id", "key_0", *[F.round(n, 6).alias(n) for n in ("left_value", "right_value", "difference")])
 
 
 @query("reconcile_null_keys", """
@@ -165,8 +166,8 @@ for _kind in ("avg", "min", "max"):
     @query(f"reconcile_{_kind}", f"""
     WITH l AS (SELECT o_custkey AS k, {_kind}(o_totalprice) AS lv FROM orders GROUP BY 1),
          r AS (SELECT c_custkey AS k, {_kind}(c_acctbal) AS rv FROM customer GROUP BY 1)
-    SELECT coalesce(l.k, r.k) AS key_0, round(lv, 4) AS left_value, round(rv, 4) AS right_value,
-           round(coalesce(lv, 0) - coalesce(rv, 0), 4) AS difference
+    SELECT coalesce(l.k, r.k) AS key_0, round(lv, 7) AS left_value, round(rv, 7) AS right_value,
+           round(coalesce(lv, 0) - coalesce(rv, 0), 7) AS difference
     FROM l FULL OUTER JOIN r ON l.k IS NOT DISTINCT FROM r.k
     WHERE abs(coalesce(lv, 0) - coalesce(rv, 0)) > 50000.5
     """)
@@ -177,7 +178,7 @@ for _kind in ("avg", "min", "max"):
             RelationshipSpec("c", "orders", "customer", (("o_custkey", "c_custkey"),)),
             ReconcileSpec("c", "o_totalprice", "c_acctbal", kind, 50000.5),
         )
-        return found.select("key_0", *[F.round(n, 4).alias(n) for n in ("left_value", "right_value", "difference")])
+        return found.select("key_0", *[F.round(n, 7).alias(n) for n in ("left_value", "right_value", "difference")])
 
 
 @query("rule_sql", """
