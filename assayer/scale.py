@@ -23,12 +23,47 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_GROUP_ROWS = 4_000_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a session inside one process (``local[n]``) may do without it and gets a
+    temporary folder; on a cluster a missing setting is an error, as files in a
+    machine's own folder would be lost to the other machines.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names; make one only where none is set."""
+    """Point ``checkpoint()`` at the shared folder unless that was done before."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="assayer-checkpoint-"))
+        folder = shared_folder(spark)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/assayer-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back as a plain table.
+
+    Later plans start from files that outlive any executor, are computed once, and
+    carry no partitioning, so both sides of a later join are exchanged and adaptive
+    execution can split a hot key.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def freeze(df: DataFrame) -> DataFrame:
