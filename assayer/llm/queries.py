@@ -7,6 +7,7 @@ from . import oracles
 from .exact_dedup import DigestIndex
 from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
+from .simhash import near_duplicates
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -19,3 +20,8 @@ def op1(spark, sf_dir):
 @query("op5_quality_rules", oracles.QUALITY)
 def op5(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
