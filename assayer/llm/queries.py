@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..scale import scratch_path
 from . import oracles
 from .exact_dedup import DigestIndex
+from .mixing import Mix
 from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
@@ -25,3 +26,8 @@ def op5(spark, sf_dir):
 @query("op8_simhash_near_dedup")
 def op8(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_mixing")
+def op9(spark, sf_dir):
+    return Mix(table(spark, sf_dir, "documents")).taken()
