@@ -145,8 +145,8 @@ class Mix:
         drawn = spark.range(-(-slots // shard_slots)).mapInPandas(
             _draw(share, slots, shard_slots, seed), "shard long, source_index long, n long")
         start = F.sum("n").over(Window.partitionBy("source_index").orderBy("shard")) - F.col("n")
-        self.slots = drawn.withColumn("start", start).mapInPandas(
-            _slots(blocks, max_repeats, seed), "shard long, source_index long, block long, slot long")
+        self.slots = stored(drawn.withColumn("start", start).mapInPandas(
+            _slots(blocks, max_repeats, seed), "shard long, source_index long, block long, slot long"))
 
     def pieces(self) -> DataFrame:
         """Per document and block of its source that it reaches into: the words ``low`` to ``high`` of the document."""
