@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ..scale import scratch_path
 from . import oracles
 from .exact_dedup import DigestIndex
 from .mixing import Mix
+from .packing import pack
 from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
@@ -31,3 +34,8 @@ def op8(spark, sf_dir):
 @query("op9_mixing")
 def op9(spark, sf_dir):
     return Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
