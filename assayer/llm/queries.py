@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
 from .simhash import near_duplicates
+from .suffix_dedup import cut_repeats
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -39,3 +40,8 @@ def op9(spark, sf_dir):
 @query("op7_packing")
 def op7(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    return cut_repeats(table(spark, sf_dir, "documents"), digests=True)
