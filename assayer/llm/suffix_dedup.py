@@ -33,7 +33,7 @@ from ..scale import scratch_path, stored
 
 WINDOW = 50
 GRAM = 20
-SLICE = 1 << 20
+SLICE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 FACTOR = 0x9E3779B97F4A7C15
@@ -288,7 +288,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def cut_repeats(docs: DataFrame, digests: bool = False, unit_bytes: int = 1 << 22, part_bytes: int = 1 << 24) -> DataFrame:
+def cut_repeats(docs: DataFrame, digests: bool = False, unit_bytes: int = 1 << 21, part_bytes: int = 1 << 23) -> DataFrame:
     """Remove every byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
     One row per row of ``docs`` (integer doc_id, text): doc_id, n_bytes, n_removed, n_spans and
