@@ -145,7 +145,10 @@ class Mix:
         drawn = spark.range(-(-slots // shard_slots)).mapInPandas(
             _draw(share, slots, shard_slots, seed), "shard long, source_index long, n long")
         start = F.sum("n").over(Window.partitionBy("source_index").orderBy("shard")) - F.col("n")
-        self.slots = stored(drawn.withColumn("start", start).mapInPandas(
+        # A source with many slots is spread over tasks again before its slots are written out one by one.
+        spread = drawn.withColumn("start", start).repartition(
+            int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_index")
+        self.slots = stored(spread.mapInPandas(
             _slots(blocks, max_repeats, seed), "shard long, source_index long, block long, slot long"))
 
     def pieces(self) -> DataFrame:
