@@ -71,3 +71,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(source IN (SELECT source FROM rejected), false) AS kept
 FROM flagged
 """
+
+URL_FILTER = r"""
+WITH rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+),
+parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+)
+SELECT page_id, host, path,
+       (SELECT rule_host || rule_path FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ORDER BY length(rule_host || rule_path) DESC LIMIT 1) AS rule,
+       coalesce((SELECT verdict FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        ORDER BY length(rule_host || rule_path) DESC LIMIT 1), 'allow') AS verdict
+FROM parts
+"""

@@ -11,8 +11,10 @@ from .mixing import Mix
 from .packing import pack
 from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
+from .sharding import assign_shards
 from .simhash import near_duplicates
 from .suffix_dedup import cut_repeats
+from .url_filter import RULE_SCHEMA, judge_urls
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -22,6 +24,19 @@ def op1(spark, sf_dir):
     return DigestIndex(spark, scratch_path(spark)).add(table(spark, sf_dir, "documents"), "documents")
 
 
+@query("op3_sharding")
+def op3(spark, sf_dir):
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op4_url_filter", oracles.URL_FILTER)
+def op4(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA))
+
+
 @query("op5_quality_rules", oracles.QUALITY)
 def op5(spark, sf_dir):
     return judge_quality(table(spark, sf_dir, "documents"))
