@@ -7,6 +7,8 @@ import public_tokenizers
 from ..scale import scratch_path
 from . import oracles
 from .exact_dedup import DigestIndex
+from .html_extraction import extract_main_text
+from .licenses import scan_licences
 from .mixing import Mix
 from .packing import pack
 from .quality import judge_quality
@@ -24,6 +26,11 @@ def op1(spark, sf_dir):
     return DigestIndex(spark, scratch_path(spark)).add(table(spark, sf_dir, "documents"), "documents")
 
 
+@query("op2_license_scan")
+def op2(spark, sf_dir):
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query("op3_sharding")
 def op3(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
@@ -52,6 +59,11 @@ def op9(spark, sf_dir):
     return Mix(table(spark, sf_dir, "documents")).taken()
 
 
+@query("op6_html_extraction")
+def op6(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op7_packing")
 def op7(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
