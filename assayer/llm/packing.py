@@ -140,8 +140,8 @@ def fractional_patterns(demand: np.ndarray, capacity: int, gap: float, rounds: i
     inverse = np.linalg.inv(patterns.T.astype(float))
     used, cost = inverse @ demand, np.ones(n)
     volume = float((np.arange(1, n + 1) * demand).sum()) / capacity
+    dual = cost @ inverse
     for _ in range(rounds):
-        dual = cost @ inverse
         if dual.min() < -1e-9:
             price, column = 0.0, np.zeros(n, np.int64)
             column[dual.argmin()] = -1
@@ -150,15 +150,17 @@ def fractional_patterns(demand: np.ndarray, capacity: int, gap: float, rounds: i
             price = 1.0
             if worth <= 1 + gap or cost @ used <= volume * (1 + gap):
                 break
-        step = inverse @ column
+        some = np.flatnonzero(column)
+        step = (inverse[:, some] * column[some]).sum(axis=1)
         ratio = np.full(n, np.inf)
         np.divide(used, step, out=ratio, where=step > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         row, amount = inverse[out] / step[out], ratio[out]
+        dual = dual + (price - (dual[some] * column[some]).sum()) * row
         used = np.maximum(used - amount * step, 0)
-        inverse -= np.outer(step, row)
+        inverse -= step[:, None] * row
         used[out], inverse[out], cost[out], patterns[out] = amount, row, price, column
     return patterns[cost > 0], used[cost > 0]
 
