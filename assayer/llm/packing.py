@@ -116,16 +116,23 @@ def best_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
-def first_patterns(demand: np.ndarray, capacity: int) -> np.ndarray:
-    """A basis to start from: a length with the one that fills it up, as far as there are enough; else copies of itself."""
+def first_patterns(demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to start from, and its inverse.
+
+    A length goes with the one that fills it up, as far as there are enough of both; the rest goes with
+    copies of itself.
+    """
     n = len(demand)
-    patterns = np.diag(capacity // np.arange(1, n + 1))
+    copies = capacity // np.arange(1, n + 1)
+    patterns, inverse = np.diag(copies), np.diag(1.0 / copies)
     for large in range(capacity // 2 + 1, n + 1):
-        small = capacity - large
-        rare = large if demand[small - 1] >= demand[large - 1] else small
-        patterns[rare - 1] = 0
-        patterns[rare - 1, [large - 1, small - 1]] = 1
-    return patterns
+        rare, other = large - 1, capacity - large - 1
+        if demand[rare] > demand[other]:
+            rare, other = other, rare
+        patterns[rare] = 0
+        patterns[rare, [rare, other]] = 1
+        inverse[rare, rare], inverse[other, rare] = 1, -inverse[other, other]
+    return patterns, inverse
 
 
 def fractional_patterns(demand: np.ndarray, capacity: int, gap: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +143,11 @@ def fractional_patterns(demand: np.ndarray, capacity: int, gap: float, rounds: i
     the demand as well.  A column without pieces to place costs nothing and gives up places.
     """
     n = len(demand)
-    patterns = first_patterns(demand, capacity)
-    inverse = np.linalg.inv(patterns.T.astype(float))
-    used, cost = inverse @ demand, np.ones(n)
+    # Plain sums instead of matrix products: BLAS threads have been seen to hang in a process with a JVM.
+    patterns, inverse = first_patterns(demand, capacity)
+    used, cost = (inverse * demand).sum(axis=1), np.ones(n)
     volume = float((np.arange(1, n + 1) * demand).sum()) / capacity
-    dual = cost @ inverse
+    dual = inverse.sum(axis=0)
     for _ in range(rounds):
         if dual.min() < -1e-9:
             price, column = 0.0, np.zeros(n, np.int64)
@@ -148,7 +155,7 @@ def fractional_patterns(demand: np.ndarray, capacity: int, gap: float, rounds: i
         else:
             worth, column = best_pattern(dual, capacity)
             price = 1.0
-            if worth <= 1 + gap or cost @ used <= volume * (1 + gap):
+            if worth <= 1 + gap or (cost * used).sum() <= volume * (1 + gap):
                 break
         some = np.flatnonzero(column)
         step = (inverse[:, some] * column[some]).sum(axis=1)
