@@ -95,14 +95,15 @@ def _softmax(raw: Column, temperature: float) -> Column:
 def training_rows(docs: DataFrame) -> DataFrame:
     """(grams, label, held_out): templates with words left out and foreign words around, and other text.
 
-    The other text is the ``SAMPLE_ROWS`` documents with the least hash of doc_id among those without licence language.
+    The other text is the first words of the ``SAMPLE_ROWS`` documents with the least hash of doc_id among those without licence language.
     """
     spark = docs.sparkSession
     families = [NONE, *TEMPLATES]
     rows = [(float(families.index(f)), t) for f, ts in TEMPLATES.items() for t in ts]
     templates = spark.createDataFrame(rows, "label double, text string")
-    sample = docs.where(~F.col("text").rlike(CUE)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = sample.select(F.lit(0.0).alias("label"), F.slice(words(F.col("text")), 1, 40).alias("tokens"), F.xxhash64("text").alias("v"))
+    sample = docs.where(~F.col("text").rlike(CUE)).select(
+        "doc_id", F.slice(words(F.substring("text", 1, 1000)), 1, 40).alias("tokens"), F.xxhash64("text").alias("v"))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(F.lit(0.0).alias("label"), "tokens", "v")
     kept = F.expr(f"filter(tokens, (w, i) -> v = 0 OR pmod(xxhash64(w, i, v), 100) >= 12)")
     spare = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.md5(F.concat_ws(" ", i, "v", "text")), 1, 5))
     varied = templates.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).withColumn("tokens", words(F.col("text")))
