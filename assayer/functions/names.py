@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,24 +13,13 @@ GENERIC_NAME_PARTS = ("from", "left", "right", "source", "target", "to")
 Normalizer = Callable[[str], str]
 
 
-def name_parts(name: str, normalize: Normalizer | None = None) -> frozenset[str]:
-    """Lower-case words of a name without side words (unless nothing else is left)."""
-    words = set(re.findall("[a-z0-9]+", (normalize or str)(name).lower()))
-    return frozenset(words.difference(GENERIC_NAME_PARTS) or words)
-
-
-def name_similarity(left: str, right: str, normalize: Normalizer | None = None) -> float:
-    """Jaccard similarity of the two word sets (schema names live on the driver)."""
-    a, b = name_parts(left, normalize), name_parts(right, normalize)
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
 def words(column: Column) -> Column:
     """``[a-z0-9]+`` words of a name column."""
     return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def meaningful_words(column: Column) -> Column:
+    """Words without side words, unless nothing else is left."""
     every = words(column)
     kept = F.array_except(every, literal_array(GENERIC_NAME_PARTS))
     return F.when(F.size(kept) > 0, kept).otherwise(every)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +18,7 @@ from ..scale import join_on, spread
 # Elements whose text is never shown.
 _HIDDEN = ("script", "style", "template")
 _VERBATIM = ("pre", "textarea")
+BLANK = re.compile("[ \n]")
 
 
 class _TextNodes(HTMLParser):
@@ -113,19 +117,21 @@ def usable_documents(extracted: DataFrame) -> DataFrame:
 
 
 def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """(start, end, trimmed fragment) of overlapping windows ending at white space."""
-    start, total = 0, len(text)
-    while start < total:
-        end = min(start + size, total)
-        if end < total:
-            space = max(text.rfind(c, start, end) for c in "\n ")
-            if space - start > size // 2:
-                end = space
-        fragment = text[start:end].strip()
-        if fragment:
+    """(start, end, trimmed fragment) of overlapping windows ending at white space.
+
+    A window ends at the last blank or line feed of its second half, if there is one.
+    """
+    blanks = array("q", (found.start() for found in BLANK.finditer(text)))
+
+    def reach(start: int) -> int:
+        last = blanks[max(bisect_left(blanks, start + size) - 1, 0)] if blanks else -1
+        return last if start + size // 2 < last < start + size else start + size
+
+    start, end = 0, 0
+    while end < len(text):
+        end = reach(start) if start + size < len(text) else len(text)
+        if fragment := text[start:end].strip():
             yield start, end, fragment
-        if end == total:
-            return
         start = max(start + 1, end - overlap)
 
 

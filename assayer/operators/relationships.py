@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import Normalizer, name_similarity
+from ..functions.names import Normalizer, meaningful_words
 from ..functions.values import quoted
 from .profile import distinct_counts
 
@@ -19,15 +18,31 @@ _WORD_BITS = 62
 def candidate_pairs(
     tables: Mapping[str, DataFrame], *, normalize: Normalizer | None = None, minimum: float = 0.5
 ) -> list[tuple[str, str, str, str, float]]:
-    """Column pairs of different tables whose names are alike (schemas only)."""
-    pairs = []
-    for (left, a), (right, b) in combinations(tables.items(), 2):
-        for left_column in a.columns:
-            for right_column in b.columns:
-                similarity = name_similarity(left_column, right_column, normalize)
-                if similarity >= minimum:
-                    pairs.append((left, left_column, right, right_column, similarity))
-    return pairs
+    """Column pairs of different tables whose names are alike (schemas only), in table and column order.
+
+    Names that share no word have similarity 0, so pairs come from a join on
+    words and ``minimum`` must be above 0.
+    """
+    if minimum <= 0:
+        raise ValueError("minimum must be above 0")
+    schema = [
+        (t, c, table, column, normalize(column) if normalize else column)
+        for t, (table, df) in enumerate(tables.items())
+        for c, column in enumerate(df.columns)
+    ]
+    if not schema:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    named = spark.createDataFrame(schema, "t int, c int, source string, name string, plain string")
+    words = named.withColumn("words", meaningful_words(F.col("plain"))).select(
+        F.struct("t", "c", "source", "name", F.size("words").alias("n")).alias("end"), F.explode("words").alias("word"))
+    left, right = (words.withColumnRenamed("end", side) for side in ("l", "r"))
+    shared = left.join(right, "word").where("l.t < r.t").groupBy("l", "r").agg(F.count("*").alias("common"))
+    similarity = F.col("common") / (F.col("l.n") + F.col("r.n") - F.col("common"))
+    alike = shared.withColumn("similarity", similarity).where(F.col("similarity") >= minimum)
+    found = alike.orderBy("l.t", "r.t", "l.c", "r.c").select(
+        F.col("l.source"), F.col("l.name"), F.col("r.source"), F.col("r.name"), "similarity")
+    return [tuple(row) for row in found.collect()]
 
 
 def _memberships(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]]) -> DataFrame:

@@ -12,8 +12,8 @@ from assayer.operators.applicability import rule_applicability, vocabulary_cover
 from assayer.operators.events import MASK, redact_events, redact_json, run_events
 from assayer.operators.feedback import ingest_feedback
 from assayer.operators.profile import check_primary_key, profile_table
-from assayer.operators.relationships import infer_relationships
-from assayer.functions.names import jaccard, meaningful_words, name_similarity
+from assayer.operators.relationships import candidate_pairs, infer_relationships
+from assayer.functions.names import jaccard, meaningful_words
 from assayer.functions.values import normalize_rows, render
 from assayer.sources.catalog import ingest_catalog, register_table
 from assayer.sources.discovery import discover_files, list_files, new_files
@@ -87,10 +87,22 @@ def test_relationships_of_large_keys_and_many_columns(spark):
 
 
 def test_name_similarity(spark):
-    assert name_similarity("target_account_id", "Account-ID") == 1.0
-    assert name_similarity("from_to", "x") == 0.0
-    df = spark.createDataFrame([("target_account_id", "account_name")], "a string, b string")
-    assert df.select(jaccard(meaningful_words(F.col("a")), meaningful_words(F.col("b")))).first()[0] == pytest.approx(1 / 3)
+    names = [("target_account_id", "Account-ID"), ("from_to", "x"), ("target_account_id", "account_name"), ("", "")]
+    df = spark.createDataFrame(names, "a string, b string").coalesce(1)
+    found = [row[0] for row in df.select(jaccard(meaningful_words(F.col("a")), meaningful_words(F.col("b")))).collect()]
+    assert found == [1.0, 0.0, pytest.approx(1 / 3), 0.0]
+
+
+def test_candidate_pairs_compare_tables_in_order(spark):
+    a = spark.createDataFrame([], "target_account_id int, note string, from_to int")
+    b = spark.createDataFrame([], "`Account-ID` int, account_name string, to_from int, note string")
+    pairs = candidate_pairs({"a": a, "b": b, "c": spark.createDataFrame([], "note string")})
+    assert pairs == [
+        ("a", "target_account_id", "b", "Account-ID", 1.0), ("a", "note", "b", "note", 1.0), ("a", "from_to", "b", "to_from", 1.0),
+        ("a", "note", "c", "note", 1.0), ("b", "note", "c", "note", 1.0),
+    ]
+    assert candidate_pairs({}) == [] and candidate_pairs({"a": a}) == []
+    assert ("a", "target_account_id", "b", "account_name", pytest.approx(1 / 3)) in candidate_pairs({"a": a, "b": b}, minimum=0.3)
 
 
 def test_templates(spark):
@@ -190,7 +202,10 @@ def test_redaction(spark):
     df = spark.createDataFrame([(json.dumps(details),)], "details string")
     out = json.loads(df.select(redact_json(F.col("details"))).first()[0])
     assert out["api_key"] == MASK and out["nested"] == {"password": MASK, "value": 42} and out["list"] == [{"Secret_x": MASK}]
-    assert out["long"].endswith("…[truncated]") and len(out["long"]) == 4012
+    assert out["long"] == details["long"]
+    assert df.select(redact_json(F.lit(None).cast("string"))).first()[0] is None
+    cut = redact_events(df.select(F.lit("x" * 4001).alias("t")), ["t"], max_text=4000).first()["t"]
+    assert cut.endswith("…[truncated]") and len(cut) == 4012
     typed = spark.sql("SELECT named_struct('token', 1, 'in', map('password', 'p', 'v', 'q'), 'l', array(named_struct('a', 'b'))) AS d")
     row = redact_events(typed, ["d"]).first()["d"]
     assert row["token"] == MASK and row["in"] == {"password": MASK, "v": "q"} and row["l"][0]["a"] == "b"
@@ -219,9 +234,12 @@ def test_feedback(spark):
     rows = [
         ("RUN-1", json.dumps(record)), ("RUN-2", json.dumps(record)), ("RUN-1", "[]"), ("RUN-1", json.dumps({**record, "score": 101})),
         ("RUN-1", json.dumps({**record, "source": "x"})), ("RUN-1", json.dumps({**record, "pad": "p" * 70_000})),
+        ("RUN-1", json.dumps({**record, "missed_categories": ["ROOT_CAUSE"] * 21})),
+        ("RUN-1", json.dumps({**record, "missed_categories": ["x" * 1001]})),
     ]
     out = ingest_feedback(spark.createDataFrame(rows, "run_id string, feedback string")).collect()
-    assert [r["error"] for r in out] == [None, "wrong_run", "not_an_object", "score_out_of_range", "unknown_source", "too_large"]
+    assert [r["error"] for r in out] == [None, "wrong_run", "not_an_object", "score_out_of_range", "unknown_source", "too_large",
+                                         "too_many_items", "item_too_long"]
     first = out[0]
     assert (first["case_name"], first["evaluation_run_id"], first["status"], first["score"]) == ("", "EVAL-1", "PARTIAL", 42.0)
     assert first["missed_categories"] == ["ROOT_CAUSE"] and first["improvement_targets"] == ["findings"]
