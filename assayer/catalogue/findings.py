@@ -246,10 +246,10 @@ def _rule_rows(spark, sf_dir):
 @query("rule_results", f"""WITH {_FINDINGS_SQL}, x AS ({CONTRADICTION_SQL}),
 k AS (SELECT 'ZSCORE' AS rule_id, (SELECT count(*) FROM z) AS n UNION ALL SELECT 'ORDER', (SELECT count(*) FROM t)
   UNION ALL SELECT 'CONTRADICTION', (SELECT count(*) FROM x) UNION ALL SELECT 'NO_ID', (SELECT count(*) FROM events WHERE event_id IS NULL))
-SELECT rule_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, least(n, 1000) AS evaluated_rows, least(n, 1000) AS findings_count, n > 1000 AS truncated FROM k""")
+SELECT rule_id, CASE WHEN n > 0 THEN 'FAIL' ELSE 'PASS' END AS status, n AS evaluated_rows, n AS findings_count, false AS truncated FROM k""")
 def q_rule_results(spark, sf_dir):
     exceptions, rules = _rule_rows(spark, sf_dir)
-    return count_results(exceptions, rules, 1000)
+    return count_results(exceptions, rules)
 
 
 @query("run_summary", f"""WITH {_REVIEW_SQL} SELECT (SELECT count(*) FROM f) AS findings_count,

@@ -128,8 +128,8 @@ def q_roles(spark, sf_dir):
 
 
 @query("attribute_roles", """
-SELECT 'routes' AS source_id, 'asset_class' AS column_name, 1 AS place WHERE (SELECT count(DISTINCT lang) FROM documents) BETWEEN 1 AND 500
-UNION ALL SELECT 'routes', 'business_unit', 2 WHERE (SELECT count(DISTINCT source) FROM documents) BETWEEN 1 AND 500
+SELECT 'routes' AS source_id, 'asset_class' AS column_name, 1 AS place WHERE (SELECT count(DISTINCT lang) FROM documents) >= 1
+UNION ALL SELECT 'routes', 'business_unit', 2 WHERE (SELECT count(DISTINCT source) FROM documents) >= 1
 """)
 def q_attribute_roles(spark, sf_dir):
     return attribute_roles(profile_table(_routes(spark, sf_dir), "routes"))
@@ -285,7 +285,7 @@ def q_edges(spark, sf_dir):
 s AS (SELECT DISTINCT left_source AS f, right_source AS t FROM e UNION SELECT DISTINCT right_source, left_source FROM e),
 p AS (SELECT r AS seed, r AS node, [r] AS nodes, 0 AS depth FROM (SELECT 'region' AS r UNION ALL SELECT 'part')
       UNION ALL SELECT p.seed, s.t, list_append(p.nodes, s.t), p.depth + 1 FROM p JOIN s ON p.node = s.f
-      WHERE p.depth < 4 AND NOT list_contains(p.nodes, s.t)),
+      WHERE NOT list_contains(p.nodes, s.t)),
 short AS (SELECT seed, node, min(depth) AS d FROM p GROUP BY 1, 2)
 SELECT p.seed, p.depth, p.node AS target, array_to_string(p.nodes, '>') AS path
 FROM p JOIN short ON p.seed = short.seed AND p.node = short.node AND p.depth = short.d WHERE p.depth > 0

@@ -50,17 +50,17 @@ def ingest_feedback(
     raw = F.col(f"`{json}`")
     parsed = F.from_json(raw, SCHEMA, {"mode": "PERMISSIVE"})
     score = F.coalesce(F.col("f.score"), F.lit(0.0))
+    items = F.coalesce("f.missed_categories", F.array().cast("array<string>"))
     error = (
         F.when(F.octet_length(raw) > MAX_BYTES, "too_large")
         .when(F.col("f").isNull() | ~F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False)), "not_an_object")
         .when(~F.col("f.source").eqNullSafe(F.lit(SOURCE)), "unknown_source")
         .when(~F.col("f.source_run_id").eqNullSafe(F.col(f"`{expected_run}`").cast("string")), "wrong_run")
         .when(~score.between(0, 100) | F.isnan(score), "score_out_of_range")
+        .when(F.size(items) > MAX_ITEMS, "too_many_items")
+        .when(F.exists(items, lambda c: F.length(F.trim(c)) > MAX_ITEM_CHARS), "item_too_long")
     )
-    items = F.slice(F.coalesce("f.missed_categories", F.array().cast("array<string>")), 1, MAX_ITEMS)
-    kept = F.filter(
-        F.transform(items, lambda c: F.substring(F.trim(c), 1, MAX_ITEM_CHARS)), lambda c: c.isin(*CATEGORIES)
-    )
+    kept = F.filter(F.transform(items, lambda c: F.trim(c)), lambda c: c.isin(*CATEGORIES))
     lookup = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
     status = F.when(F.col("f.status").isin(*STATUSES), F.col("f.status")).otherwise("UNKNOWN")
     return (

@@ -16,7 +16,6 @@ NORMATIVE_MARKERS = (
     "должен", "должна", "должно", "требуется", "не допускается", "запрещ",
     "must", "required", "shall", "not allowed", "prohibited",
 )
-QUERY_CHARS = 4000
 
 
 def plain_text(column: Column) -> Column:
@@ -67,7 +66,7 @@ def grounding_queries(findings: DataFrame, request: str) -> DataFrame:
             F.min_by(first, F.struct(-F.col("confidence"), "finding_id")).alias("first"),
             F.bool_or(_is_semantic()).alias("semantic"),
         )
-        .select("group_id", "semantic", F.substring(query, 1, QUERY_CHARS).alias("query"), F.col("first.facts").alias("facts"))
+        .select("group_id", "semantic", query.alias("query"), F.col("first.facts").alias("facts"))
     )
 
 
@@ -112,7 +111,7 @@ def ground_findings(
         sha256(F.concat_ws(":", "chunk_id", "chunk_text")).alias("checksum"),
         F.col("source_id").alias("source_name"),
         F.col("chunk_id").cast("string").alias("object_id"),
-        F.substring("chunk_text", 1, 1000).alias("description"),
+        F.col("chunk_text").alias("description"),
         F.to_json(F.struct(F.round("score", 6).alias("score"), "rank")).alias("fields"),
         "query",
         "constraint_match",

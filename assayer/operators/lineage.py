@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,9 @@ def _steps(edges: DataFrame) -> DataFrame:
 
 
 def impact_paths(
-    edges: DataFrame, seeds: DataFrame, *, max_depth: int = 4, max_paths: int | None = None
+    edges: DataFrame, seeds: DataFrame, *, max_depth: int | None = None, max_paths: int | None = None
 ) -> DataFrame:
-    """Simple paths from each seed, at most ``max_depth`` edges long.
+    """Simple paths from each seed to all it reaches, or to what ``max_depth`` edges reach.
 
     A node counts only at its own shortest distance from the seed; all equally
     short alternatives are kept.  Search runs level by level: one join grows the
@@ -83,7 +84,7 @@ def impact_paths(
     )
     reached = frontier.select("seed", "node").distinct()
     found: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         grown = frontier.join(steps, frontier["node"] == steps["from"]).select(
             "seed",
             F.col("to").alias("node"),
@@ -95,6 +96,8 @@ def impact_paths(
         reached = reached.unionByName(frontier.select("seed", "node").distinct())
         level = frontier.withColumn("depth", F.lit(depth))
         found = level if found is None else found.unionByName(level)
+        if frontier.isEmpty():
+            break
     paths = found.select(
         "seed",
         "depth",

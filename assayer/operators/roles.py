@@ -25,29 +25,29 @@ def is_target_key(name: Column) -> Column:
     return F.lower(name).endswith("_id") & has_any(words(name), TARGET_PARTS)
 
 
-def is_semantic_attribute(name: Column, distinct_count: Column, max_distinct: int = 500) -> Column:
+def is_semantic_attribute(name: Column, distinct_count: Column, max_distinct: int | None = None) -> Column:
     parts = words(name)
     return (
         ~F.lower(name).endswith("_id")
         & ~has_any(parts, NON_SEMANTIC_PARTS)
         & has_any(parts, SEMANTIC_PARTS)
-        & distinct_count.between(1, max_distinct)
+        & (distinct_count >= 1)
+        & (F.lit(True) if max_distinct is None else distinct_count <= max_distinct)
     )
 
 
-def attribute_roles(columns: DataFrame, *, max_per_table: int = 8) -> DataFrame:
-    """Attributes worth comparing: the first few per table, in column order.
+def attribute_roles(
+    columns: DataFrame, *, max_per_table: int | None = None, max_distinct: int | None = None
+) -> DataFrame:
+    """Attributes worth comparing, in column order; the bounds are for callers that want fewer.
 
     ``columns`` is a column profile (source_id, column_index, column_name,
     distinct_count).
     """
-    chosen = columns.where(is_semantic_attribute(F.col("column_name"), F.col("distinct_count")))
+    chosen = columns.where(is_semantic_attribute(F.col("column_name"), F.col("distinct_count"), max_distinct))
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("column_index"))
-    return (
-        chosen.select("source_id", "column_name", "column_index", place.alias("place"))
-        .where(F.col("place") <= max_per_table)
-        .select("source_id", "column_name", "place")
-    )
+    placed = chosen.select("source_id", "column_name", place.alias("place"))
+    return placed if max_per_table is None else placed.where(F.col("place") <= max_per_table)
 
 
 def mapping_tables(columns: DataFrame) -> DataFrame:

@@ -175,8 +175,8 @@ class AnomalySpec:
 class RuleSpec:
     """One declarative check; the specification must match ``kind``.
 
-    ``max_findings`` bounds the materialised exceptions of one rule and reports
-    ``truncated``; ``None`` keeps them all.
+    All exceptions become findings unless ``max_findings`` bounds them; the
+    result then says ``truncated`` and still counts every exception.
     """
 
     rule_id: str
@@ -187,7 +187,7 @@ class RuleSpec:
     description: str = ""
     tags: tuple[str, ...] = ()
     enabled: bool = True
-    max_findings: int | None = 100
+    max_findings: int | None = None
     sql: SqlSpec | None = None
     reconciliation: ReconcileSpec | None = None
     timeline: TimelineSpec | None = None
@@ -198,8 +198,8 @@ class RuleSpec:
         _check(self.kind in RULE_KINDS, f"unknown rule kind {self.kind!r}")
         _check(len(self.source_ids) >= 1, f"rule {self.rule_id} needs a source")
         _check(
-            self.max_findings is None or 0 < self.max_findings <= 10_000,
-            "max_findings must lie in 1..10000",
+            self.max_findings is None or self.max_findings > 0,
+            "max_findings must be positive",
         )
         given = [s for s in (self.sql, self.reconciliation, self.timeline, self.anomaly) if s is not None]
         _check(

@@ -46,6 +46,8 @@ def test_windows_cover_the_text(text, size, data):
     covered = set()
     for start, end, fragment in parts:
         assert 0 < end - start <= size and fragment == text[start:end].strip() and fragment
+        late = [i for i in range(start + size // 2 + 1, start + size) if text[i:i + 1] in ("\n", " ")]
+        assert end == (len(text) if start + size >= len(text) else max(late, default=start + size))
         covered |= set(range(start, end))
     assert all(i in covered for i, c in enumerate(text) if not c.isspace())
     assert [p[0] for p in parts] == sorted({p[0] for p in parts})
@@ -103,7 +105,9 @@ def test_search_with_a_metadata_filter(spark):
     best = search_documents(metadata_filter(chunks, {"kind": "policy"}), "audit policy", Toy, limit=1).collect()
     assert [r["chunk_id"] for r in best] == ["c1"] and best[0]["score"] == pytest.approx(1.0)
     assert chunks.select(cosine(F.col("embedding"), F.col("embedding"))).collect()[2][0] == 0.0
-    for bad in ("", "x" * 4001):
+    long = search_documents(chunks, "audit policy " + "and more " * 1000, Toy, limit=3)
+    assert long.count() == 3
+    for bad in ("", " \n"):
         with pytest.raises(ValueError):
             search_documents(chunks, bad, Toy)
     with pytest.raises(ValueError):
