@@ -46,8 +46,9 @@ AROUND = 16
 PASSAGE = rf"(?i)((?:\S+\s+){{0,{AROUND}}}\S*(?:licen[cs]|copyright|permission|redistribut|public\s+domain|rights\s+reserved|\bGPL\b|\bCC0\b)\S*(?:\s+\S+){{0,{AROUND}}})"
 FEATURES = 1 << 14
 VARIANTS = 24
-# Paragraphs of the corpus without licence language that stand for other text in training.
+# Documents without licence language that stand for other text in training, and how many are drawn to find them.
 SAMPLE_ROWS = 400
+DRAWN_ROWS = 8 * SAMPLE_ROWS
 CONFIRMING_SHARE = 0.6
 TEMPERATURES = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
@@ -95,13 +96,16 @@ def _softmax(raw: Column, temperature: float) -> Column:
 def training_rows(docs: DataFrame) -> DataFrame:
     """(grams, label, held_out): templates with words left out and foreign words around, and other text.
 
-    The other text is the first words of the ``SAMPLE_ROWS`` documents with the least hash of doc_id among those without licence language.
+    The other text is the first words of at most ``SAMPLE_ROWS`` documents without licence language, those with the least hash of
+    doc_id.  They are looked for among some ``DRAWN_ROWS`` documents with the least hash, so that the last step orders
+    no more rows in a corpus of more files.
     """
     spark = docs.sparkSession
     families = [NONE, *TEMPLATES]
     rows = [(float(families.index(f)), t) for f, ts in TEMPLATES.items() for t in ts]
     templates = spark.createDataFrame(rows, "label double, text string")
-    sample = docs.where(~F.col("text").rlike(CUE)).select(
+    drawn = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= int(2 ** 63 * min(1, DRAWN_ROWS / max(1, docs.count()))) - 1)
+    sample = drawn.where(~F.col("text").rlike(CUE)).select(
         "doc_id", F.slice(words(F.substring("text", 1, 1000)), 1, 40).alias("tokens"), F.xxhash64("text").alias("v"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(F.lit(0.0).alias("label"), "tokens", "v")
     kept = F.expr(f"filter(tokens, (w, i) -> v = 0 OR pmod(xxhash64(w, i, v), 100) >= 12)")
