@@ -58,7 +58,18 @@ def q_chunk_ids(spark, sf_dir):
     return chunks.select("doc_id", "chunk_index", chunk_id(F.col("doc_id")).alias("chunk_id"))
 
 
-@query("extract_html_text")
+# Hidden elements and comments end a run of text, so does any run of tags; blank runs between tags shrink.
+HTML_SQL = r"""WITH m AS (SELECT page_id, regexp_replace(html,
+  '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->', '<x>', 'g') AS h FROM pages),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
+  '(?s)>[ \t\r\f]+<', '> <', 'g'), '(?s)>[ \t\r\n\f]*\n[ \t\r\n\f]*<', concat('>', chr(10), '<'), 'g'),
+  '(?s)(?:<(?:"[^"]*"|''[^'']*''|[^''">])*>)+', chr(10), 'g'), '&quot;', '"', 'g') AS t FROM m)
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'),
+  '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\n{3,}', concat(chr(10), chr(10)), 'g'),
+  concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13), chr(160))) AS text FROM t"""
+
+
+@query("extract_html_text", HTML_SQL)
 def q_html(spark, sf_dir):
     return extract_html_text(table(spark, sf_dir, "pages")).select("page_id", "text")
 

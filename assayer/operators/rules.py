@@ -6,24 +6,26 @@ import re
 import uuid
 from collections.abc import Mapping
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..specs import SqlSpec
 
 _PLACEHOLDER = re.compile(r"\{\{\s*([\w.-]+)\s*\}\}", re.ASCII)
-# Functions that call arbitrary JVM methods have no place in a check.
-_REFUSED = re.compile(r"\b(java_method|reflect|try_reflect)\s*\(", re.IGNORECASE)
+# Functions that call arbitrary JVM methods have no place in a check; nor has a relation that is not a given source.
+_REFUSED = {"CallMethodViaReflection", "TryReflect"}
+_CONSTANTS = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+_SUBQUERY = "org.apache.spark.sql.catalyst.expressions.SubqueryExpression"
 
 
 def rule_sql(spark: SparkSession, spec: SqlSpec, sources: Mapping[str, DataFrame]) -> DataFrame:
     """Run a SELECT over ``{{source_id}}`` placeholders; each row is an exception.
 
     The text is always a subquery, so Spark's own parser refuses anything that
-    is not a query.  Sources are bound to names made for this one call.
+    is not a query.  Sources are bound to names made for this one call, and the analysed plan may read nothing else,
+    however the text spells it.
     """
-    if _REFUSED.search(spec.query):
-        raise ValueError("check SQL must not call JVM methods")
     used = set(_PLACEHOLDER.findall(spec.query))
     if not used:
         raise ValueError("check SQL must name a {{source_id}}")
@@ -37,12 +39,37 @@ def rule_sql(spark: SparkSession, spec: SqlSpec, sources: Mapping[str, DataFrame
         text = _PLACEHOLDER.sub(lambda match: views[match.group(1)], spec.query)
         if "{{" in text or "}}" in text:
             raise ValueError("malformed source placeholder")
-        return spark.sql(f"SELECT * FROM (\n{text}\n) AS exceptions")
+        result = spark.sql(f"SELECT * FROM (\n{text}\n) AS exceptions")
+        _refuse_foreign(result, set(views.values()))
+        return result
     finally:
         for view in views.values():
             spark.catalog.dropTempView(view)
 
 
+def _each(sequence):
+    return (sequence.apply(i) for i in range(sequence.size()))
+
+
+def _refuse_foreign(result: DataFrame, views: set[str]) -> None:
+    """Raise if the analysed plan calls JVM methods or reads anything but ``views``; the plans of the sources are not entered."""
+    todo = [(result._jdf.queryExecution().analyzed(), True)]
+    while todo:
+        node, is_plan = todo.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind in _REFUSED:
+            raise ValueError("check SQL must not call JVM methods")
+        if is_plan:
+            if kind == "SubqueryAlias" and node.alias() in views:
+                continue
+            if node.children().isEmpty() and kind not in _CONSTANTS:
+                raise ValueError("check SQL must read its sources only")
+            todo += [(e, False) for e in _each(node.expressions())]
+        elif is_instance_of(result.sparkSession.sparkContext._gateway, node, _SUBQUERY):
+            todo.append((node.plan(), True))
+        todo += [(child, is_plan) for child in _each(node.children())]
+
+
 def rule_contradiction(spark: SparkSession, spec: SqlSpec, sources: Mapping[str, DataFrame]) -> DataFrame:
     """Mutually exclusive facts: the same execution as :func:`rule_sql`."""
     return rule_sql(spark, spec, sources)

@@ -123,9 +123,31 @@ def test_rule_sql_is_a_query_only(spark):
     for text in bad:
         with pytest.raises(Exception):
             rule_sql(spark, SqlSpec(text), sources)
+    good = [
+        "WITH a AS (SELECT id FROM {{t.x}}) SELECT id FROM a WHERE id IN (SELECT id FROM a) AND EXISTS (SELECT 1 FROM {{t.x}} y WHERE y.id = a.id)",
+        "SELECT id, (SELECT max(v) FROM {{t.x}}) AS m FROM {{t.x}} JOIN VALUES (1), (2) AS k(id) USING (id)",
+    ]
+    assert [rule_sql(spark, SqlSpec(text), sources).count() for text in good] == [2, 2]
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("assayer_") and t.isTemporary and len(t.name) > 40]
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT `java_method`('java.lang.System', 'currentTimeMillis') FROM {{t}}",
+    "SELECT java_method/**/('java.lang.System', 'currentTimeMillis') FROM {{t}}",
+    "SELECT try_reflect('java.lang.System', 'currentTimeMillis') FROM {{t}}",
+    "SELECT id FROM {{t}} WHERE id IN (SELECT length(reflect('java.lang.System', 'lineSeparator')) FROM {{t}})",
+    "SELECT (SELECT `reflect`('java.lang.System', 'lineSeparator') FROM {{t}} LIMIT 1) AS x FROM {{t}}",
+    "SELECT t.id FROM {{t}} t, parquet.`FILE`",
+    "SELECT id FROM {{t}} WHERE EXISTS (SELECT 1 FROM parquet.`FILE`)",
+    "WITH f AS (SELECT count(*) AS n FROM parquet.`FILE`) SELECT id FROM {{t}} JOIN f ON id < n",
+    "SELECT t.id FROM {{t}} t JOIN foreign_view f ON t.id = f.id",
+])
+def test_rule_sql_reads_its_sources_only(spark, sf_dir, text):
+    spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey AS id").createOrReplaceTempView("foreign_view")
+    with pytest.raises(ValueError, match="check SQL must"):
+        rule_sql(spark, SqlSpec(text.replace("FILE", f"{sf_dir}/region.parquet")), {"t": spark.range(3)})
+
+
 def test_robot_order_over_limit(spark):
     orders = spark.createDataFrame(
         [("ORD-1001", "R1", 10, 10_000, "ACCEPTED"), ("ORD-1002", "R1", 50, 25_000, "ACCEPTED"), ("ORD-1003", "R1", 50, 25_000, "REJECTED")],
