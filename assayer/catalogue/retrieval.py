@@ -205,15 +205,39 @@ def chunk_index(spark, sf_dir):
     return freeze(embedded_chunks(spark, sf_dir))
 
 
-@query("embed", CHUNK_SQL + "SELECT doc_id, chunk_index, 64 AS dimension, CASE WHEN regexp_matches(text, '[\\p{L}\\p{M}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM c")
+# Sums of signed words per place of the vectors, as the hashing embedder makes them.
+VECTOR_SQL = CHUNK_SQL + """, k AS (SELECT doc_id, chunk_index, ('0x' || substr(md5(word), 1, 8))::BIGINT AS code
+  FROM (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM c)),
+v AS (SELECT doc_id, chunk_index, code % 64 AS place, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS x FROM k GROUP BY ALL),
+p AS (SELECT doc_id, chunk_index, count(*) FILTER (x > 0) AS n_positive, count(*) FILTER (x < 0) AS n_negative, sqrt(sum(x * x)) AS norm,
+  CASE WHEN max(x) > 0 THEN arg_max(place, x * 100 - place) END AS heaviest FROM v GROUP BY ALL)
+"""
+
+
+@query("embed", VECTOR_SQL + """SELECT c.doc_id, c.chunk_index, 64 AS dimension, CASE WHEN coalesce(norm, 0) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+  coalesce(n_positive, 0)::INTEGER AS n_positive, coalesce(n_negative, 0)::INTEGER AS n_negative, heaviest::BIGINT AS heaviest
+FROM c LEFT JOIN p USING (doc_id, chunk_index)""")
 def q_embed(spark, sf_dir):
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    most = F.array_max("embedding")
     return embedded_chunks(spark, sf_dir).select(
-        "doc_id", "chunk_index", F.size("embedding").alias("dimension"), F.round(F.sqrt(square), 4).alias("norm")
+        "doc_id", "chunk_index", F.size("embedding").alias("dimension"), F.round(F.sqrt(square), 4).alias("norm"),
+        F.size(F.filter("embedding", lambda x: x > 0)).alias("n_positive"),
+        F.size(F.filter("embedding", lambda x: x < 0)).alias("n_negative"),
+        F.when(most > 0, F.array_position("embedding", most) - 1).alias("heaviest"),
     )
 
 
-@query("search_documents")
+@query("search_documents", VECTOR_SQL + """, q AS (SELECT code % 64 AS place, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS y FROM (
+  SELECT ('0x' || substr(md5(word), 1, 8))::BIGINT AS code FROM (VALUES ('license'), ('and'), ('copyright')) AS words(word)) GROUP BY ALL),
+s AS (SELECT p.doc_id, p.chunk_index, coalesce(sum(x * y), 0) / (any_value(norm) * (SELECT sqrt(sum(y * y)) FROM q)) AS score
+  FROM p JOIN v USING (doc_id, chunk_index) LEFT JOIN q USING (place) WHERE norm > 0 GROUP BY ALL),
+h AS (SELECT doc_id, chunk_index, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') ||
+  encode(concat(doc_id, ':', chunk_index, ':', start_char, ':', end_char, ':', text))) AS h FROM c),
+i AS (SELECT doc_id, chunk_index, concat(substr(h, 1, 8), substr(h, 9, 4), '5', substr(h, 14, 3),
+  substr('89ab', 1 + (('0x' || substr(h, 17, 1))::INTEGER % 4), 1)) AS id FROM h)
+SELECT doc_id, chunk_index, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 5) AS score
+FROM s JOIN i USING (doc_id, chunk_index) QUALIFY rank <= 5""")
 def q_search_documents(spark, sf_dir):
     return search_documents(chunk_index(spark, sf_dir), "license and copyright", HashingEmbedder).select(
         "doc_id", "chunk_index", "rank", F.round("score", 5).alias("score")

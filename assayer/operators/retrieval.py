@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -29,8 +30,16 @@ class Embedder(Protocol):
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_code(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big")
+
+
 class HashingEmbedder:
-    """Deterministic bag-of-words vectors of unit length; needs no model files."""
+    """Deterministic bag-of-words vectors of unit length; needs no model files.
+
+    The first 32 bits of a word's MD5 say its place; their highest one is the sign.
+    """
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
@@ -39,7 +48,7 @@ class HashingEmbedder:
         result = np.zeros((len(texts), self.dimension))
         for row, text in zip(result, texts):
             for word, times in Counter(re.findall(r"\w+", text.lower())).items():
-                code = zlib.crc32(word.encode())
+                code = _word_code(word)
                 row[code % self.dimension] += times if code & (1 << 31) else -times
             norm = np.linalg.norm(row)
             if norm:
