@@ -14,8 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..scale import freeze, is_small, measured_bytes
+from ..scale import freeze, measured_bytes
 from .ordering import top_per_group
 
 EMBED_BATCH = 16
@@ -168,9 +169,6 @@ def _emit(best: _Best, queries: np.ndarray, schema: pa.Schema) -> pa.RecordBatch
     )
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def vector_search_batch(
     index: DataFrame,
     queries: DataFrame,
@@ -194,13 +192,13 @@ def vector_search_batch(
         raise ValueError("index and query keys need different names")
     wanted = queries.select(F.col(f"`{query_key}`").alias("q"), F.col(f"`{vector}`").alias("v")).where("v IS NOT NULL")
     rows = index.select(F.col(f"`{index_key}`").alias("i"), F.col(f"`{vector}`").alias("v")).where("v IS NOT NULL")
-    q_type, i_type = (d.schema[0].dataType.simpleString() for d in (wanted, rows))
-    schema = f"q {q_type}, i {i_type}, score double"
-    arrow = pa.schema([("q", _ARROW[q_type]), ("i", _ARROW[i_type]), ("score", pa.float64())])
+    q_type, i_type = (d.schema[0].dataType for d in (wanted, rows))
+    schema = f"q {q_type.simpleString()}, i {i_type.simpleString()}, score double"
+    arrow = pa.schema([("q", to_arrow_type(q_type)), ("i", to_arrow_type(i_type)), ("score", pa.float64())])
     if blocked is None:
-        if not is_small(wanted, MAX_SHIPPED_BYTES):
-            wanted = freeze(wanted)
-        blocked = not is_small(wanted, MAX_SHIPPED_BYTES) and measured_bytes(wanted) > MAX_SHIPPED_BYTES
+        # An estimate counts an array as one value, so only what was written and measured is shipped.
+        wanted = freeze(wanted)
+        blocked = measured_bytes(wanted) > MAX_SHIPPED_BYTES
     parts = _blocked(rows, wanted, k, schema, arrow) if blocked else _shipped(rows, wanted, k, schema, arrow)
     best = top_per_group(parts, ["q"], [F.desc("score"), F.asc("i")], k)
     return best.select(F.col("q").alias(query_key), F.col("i").alias(index_key), "score", "rank")

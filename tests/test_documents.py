@@ -154,3 +154,10 @@ def test_relevance(spark):
     assert scores("only limit hedging") == {1: 2}
     assert scores("валюты") == {5: 1}
     assert set(scores("zzzzz")) == {1, 2, 3, 4, 5} and set(scores("check")) == {1, 2, 3, 4, 5}
+
+
+def test_vector_keys_of_other_types(spark):
+    rows = spark.sql("SELECT date'2024-01-01' AS day, array(1f, 0f) AS embedding UNION ALL SELECT date'2024-01-02', array(0f, 1f)")
+    wanted = spark.sql("SELECT 1.50BD AS price, array(0f, 2f) AS embedding")
+    found = vector_search_batch(rows, wanted, 1, index_key="day", query_key="price").collect()
+    assert [(str(r["price"]), str(r["day"]), r["rank"]) for r in found] == [("1.50", "2024-01-02", 1)]
