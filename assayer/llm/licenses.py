@@ -1,19 +1,21 @@
-"""Licence notices in documents: a trained paragraph classifier confirmed by templates.
-
-Paragraphs that hold a word of licence language are cut to the passage around it and
-classified by a multinomial logistic regression on sparse word n-grams; its
-probabilities are calibrated on held-out rows, and what is too uncertain is
-``unknown``.  A family is confirmed when the passage holds most word pairs of one of
-its templates.  Everything runs as DataFrame operations and Spark's own ML
-stages.
+"""Licence notices in documents: a trained classifier of all text, confirmed by templates.
+
+Texts are split into paragraphs (at blank lines; wrapped lines belong together) and these into overlapping
+windows of words.  Every window is classified by a multinomial logistic regression on sparse
+word n-grams, whose ``none`` class does the rejecting; its probabilities are calibrated on held-out
+rows, and what is too uncertain is ``unknown``.  The windows that remain are classified once more in narrower ones, so that
+notices side by side are told apart.  A family is confirmed when the words around hold most word pairs of one of its
+templates.  Everything runs as DataFrame operations and Spark's own ML stages.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,17 +41,35 @@ TEMPLATES = {
     "ISC": ("Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose"),
     "proprietary": ("Copyright, all rights reserved", "All rights reserved. No part of this publication may be reproduced without written permission"),
 }
+# Short names, which stand after ``LEADS``.
+SHORT = {
+    "MIT": ("MIT", "MIT-Lizenz"), "Apache-2.0": ("Apache-2.0", "Apache 2.0", "Apache-Lizenz"),
+    "GPL": ("GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GPL 3.0"), "LGPL": ("LGPL", "LGPLv3", "LGPL 2.1", "LGPL-2.1", "LGPL-3.0"),
+    "AGPL": ("AGPL", "AGPLv3", "AGPL-3.0"), "BSD": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "BSD-Lizenz"), "MPL-2.0": ("MPL", "MPL-2.0", "MPL 2.0"),
+    "CC-BY-NC": ("CC BY-NC", "CC-BY-NC-4.0"), "CC-BY-SA": ("CC BY-SA", "CC-BY-SA-4.0"), "CC-BY": ("CC BY", "CC-BY-4.0"),
+    "CC0": ("CC0", "CC0-1.0"), "ISC": ("ISC", "ISC-Lizenz"),
+}
+LEADS = ("under", "under the", "unter", "unter der", "SPDX", "SPDX-License-Identifier", "license")
+NAMED = {family: tuple(f"{lead} {name}" for name in names for lead in LEADS) for family, names in SHORT.items()}
 NONE = "none"
 UNKNOWN = "unknown"
-CUE = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|rights reserved|\bGPL\b|\bCC0\b"
-AROUND = 16
-PASSAGE = rf"(?i)((?:\S+\s+){{0,{AROUND}}}\S*(?:licen[cs]|copyright|permission|redistribut|public\s+domain|rights\s+reserved|\bGPL\b|\bCC0\b)\S*(?:\s+\S+){{0,{AROUND}}})"
-FEATURES = 1 << 14
+# Words that make a window licence language even if the regression rejects it, and keep a document out of the ``none`` sample.
+CUE = (r"(?i)licen[cs]|lizenz|copyright|permission|redistribut|public domain|rights reserved|GPL(?:\b|v?[23])|\bCC0\b|\bCC[ -]BY\b|\bSPDX\b"
+       r"|\bApache[ -]2|under (?:the )?(?:MIT|BSD|ISC)\b")
+# Words of a window, between the starts of two windows, and around a window in which templates are looked for.
+WINDOW, STEP, AROUND = 16, 8, 16
+NARROW, NARROW_STEP, NARROW_AROUND = 8, 4, 4
+PARAGRAPH = r"\r?\n[ \t\r\f]*\n\s*"
+# N-grams in so many training rows at least are features.
+MIN_ROWS = 2
 VARIANTS = 24
+NAMED_VARIANTS = 6
 # Documents without licence language that stand for other text in training, and how many are drawn to find them.
 SAMPLE_ROWS = 400
 DRAWN_ROWS = 8 * SAMPLE_ROWS
 CONFIRMING_SHARE = 0.6
+# Without a cue word or a confirmed family, ``none`` must be less probable than this in licence language.
+NONE_AT_MOST = 0.1
 TEMPERATURES = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 PRECISION = 0.99
@@ -72,19 +92,21 @@ def _grams(tokens: Column) -> Column:
 
 @dataclass(frozen=True)
 class LicenceModel:
+    vectorizer: CountVectorizerModel
     regression: LogisticRegressionModel
     families: list[str]
     temperature: float
     threshold: float
 
-    def probabilities(self, grams: DataFrame) -> DataFrame:
-        """Adds ``family`` and its calibrated ``probability``."""
-        counted = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="__features").transform(grams)
-        raw = vector_to_array(F.col("__raw"))
-        scored = self.regression.transform(counted).withColumn("__p", _softmax(raw, self.temperature))
-        best = F.array_max("__p")
-        family = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("__p", best).cast("int"))
-        return scored.withColumn("probability", best).withColumn("family", family).drop("__features", "__raw", "__p")
+    def scored(self, windows: DataFrame) -> DataFrame:
+        """Adds ``raw``, the scores of the families for ``tokens``, and the best ``family``."""
+        grams = windows.withColumn("__grams", _grams(F.col("tokens")))
+        counted = self.vectorizer.transform(grams)
+        scored = self.regression.transform(counted.drop("__grams"))
+        # Not deterministic by name only, so that a filter above isn't moved below and the scores computed once more for it.
+        scored = scored.withColumn("raw", F.when(F.spark_partition_id() >= 0, vector_to_array(F.col("__raw")))).drop("__features", "__raw")
+        family = F.element_at(F.array(*map(F.lit, self.families)), F.array_position("raw", F.array_max("raw")).cast("int"))
+        return scored.withColumn("family", family)
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -93,8 +115,12 @@ def _softmax(raw: Column, temperature: float) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
+def _hash(*parts) -> int:
+    return zlib.crc32("\0".join(map(str, parts)).encode())
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(grams, label, held_out): templates with words left out and foreign words around, and other text.
+    """(tokens, label, held_out): templates with words left out and foreign words around, cut to windows, and other text.
 
     The other text is the first words of at most ``SAMPLE_ROWS`` documents without licence language, those with the least hash of
     doc_id.  They are looked for among some ``DRAWN_ROWS`` documents with the least hash, so that the last step orders
@@ -102,24 +128,38 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     families = [NONE, *TEMPLATES]
-    rows = [(float(families.index(f)), t) for f, ts in TEMPLATES.items() for t in ts]
-    templates = spark.createDataFrame(rows, "label double, text string")
     drawn = docs.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= int(2 ** 63 * min(1, DRAWN_ROWS / max(1, docs.count()))) - 1)
     sample = drawn.where(~F.col("text").rlike(CUE)).select(
-        "doc_id", F.slice(words(F.substring("text", 1, 1000)), 1, 40).alias("tokens"), F.xxhash64("text").alias("v"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(F.lit(0.0).alias("label"), "tokens", "v")
-    kept = F.expr(f"filter(tokens, (w, i) -> v = 0 OR pmod(xxhash64(w, i, v), 100) >= 12)")
-    spare = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.substring(F.md5(F.concat_ws(" ", i, "v", "text")), 1, 5))
-    varied = templates.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1)))).withColumn("tokens", words(F.col("text")))
-    varied = varied.select("label", F.concat(F.slice(spare, F.lit(1), F.col("v") % 5), kept, F.slice(spare, F.lit(5), F.col("v") % 4)).alias("tokens"), "v")
-    both = varied.select("label", "tokens", F.col("v").cast("long").alias("v")).unionByName(sample)
-    return both.select("label", _grams(F.col("tokens")).alias("grams"), (F.pmod(F.xxhash64("v"), F.lit(4)) == 0).alias("held_out"))
+        "doc_id", F.slice(words(F.substring("text", 1, 1000)), 1, 40).alias("tokens"))
+    sample = [r["tokens"] for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id", "tokens").limit(SAMPLE_ROWS).collect() if r["tokens"]]
+    listed = [(f, t, VARIANTS) for f, ts in TEMPLATES.items() for t in ts] + [(f, t, NAMED_VARIANTS) for f, ts in NAMED.items() for t in ts]
+    texts = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(listed)], "i int, text string").select("i", words(F.col("text")).alias("tokens"))
+    rows = []
+    for i, tokens in sorted(map(tuple, texts.collect())):
+        family, text, variants = listed[i]
+        for v in range(variants):
+            kept = [w for k, w in enumerate(tokens) if v == 0 or variants == NAMED_VARIANTS or _hash(w, k, v) % 100 >= 12]
+            first = _hash("first", text, v) % (len(kept) - WINDOW + 1) if len(kept) > WINDOW else 0
+            kept = kept[first:first + WINDOW]
+            # Foreign words: of other text in every second variant, else words never seen.
+            spare = sample[_hash("spare", text, v) % len(sample)] if sample and v % 2 else [
+                hashlib.md5(f"{k} {v} {text}".encode()).hexdigest()[:5] for k in range(8)]
+            before, after = spare[:v % 5], spare[5:5 + v % 4]
+            rows.append((before + kept + after, float(families.index(family)), _hash("held", v) % 4 == 0))
+    for tokens in sample:
+        held = _hash("held", *tokens) % 4 == 0
+        rows += [(tokens[k:k + WINDOW], 0.0, held) for k in range(0, max(1, len(tokens) - STEP), WINDOW)]
+        rows.append((tokens[:1 + _hash(*tokens) % NARROW], 0.0, held))
+    return spark.createDataFrame(rows, "tokens array<string>, label double, held_out boolean")
 
 
 def train(docs: DataFrame) -> LicenceModel:
     """Fit on three quarters of the training rows; calibrate temperature and threshold on the rest."""
     families = [NONE, *TEMPLATES]
-    rows = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="__features").transform(training_rows(docs)).cache()
+    grams = training_rows(docs).withColumn("__grams", _grams(F.col("tokens"))).cache()
+    # Known n-grams instead of hashed ones: words never seen say nothing, and the coefficients stay a dense matrix.
+    vectorizer = CountVectorizer(binary=True, minDF=MIN_ROWS, vocabSize=1 << 20, inputCol="__grams", outputCol="__features").fit(grams)
+    rows = vectorizer.transform(grams).cache()
     regression = LogisticRegression(featuresCol="__features", labelCol="label", rawPredictionCol="__raw", probabilityCol="",
                                     predictionCol="", family="multinomial", regParam=0.002, maxIter=40)
     fitted = regression.fit(rows.where("NOT held_out").select("__features", "label"))
@@ -133,17 +173,39 @@ def train(docs: DataFrame) -> LicenceModel:
     precision = judged.agg(*[F.avg(F.when(best >= t, right)).alias(str(i)) for i, t in enumerate(THRESHOLDS)]).first()
     threshold = next((t for i, t in enumerate(THRESHOLDS) if (precision[i] or 0) >= PRECISION), THRESHOLDS[-1])
     rows.unpersist()
-    return LicenceModel(fitted, families, temperature, threshold)
+    grams.unpersist()
+    return LicenceModel(vectorizer, fitted, families, temperature, threshold)
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, cue, around, at): every window of every paragraph, as the words around it and where among them it starts.
+
+    ``cue`` says that its paragraph has a word of licence language.
+    """
+    paragraphs = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", PARAGRAPH)).alias("paragraph"))
+    tokens = paragraphs.select("doc_id", F.col("paragraph").rlike(CUE).alias("cue"), words(F.col("paragraph")).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - STEP - 1), F.lit(STEP))
+    return tokens.where(F.size("words") > 0).select("doc_id", "cue", F.explode(F.transform(starts, lambda i: F.struct(
+        F.slice("words", F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)) + WINDOW + AROUND).alias("around"),
+        F.least(i, F.lit(AROUND)).alias("at")))).alias("w")).select("doc_id", "cue", "w.*")
+
+
+def _narrower() -> Column:
+    """The window itself and the narrower ones within it, each with the words around."""
+    last = F.greatest(F.lit(0), F.size("tokens") - NARROW_STEP - 1)
 
+    def narrow(k: Column) -> Column:
+        first = F.col("at") + k
+        before = F.least(first, F.lit(NARROW_AROUND))
+        return F.struct(F.slice("tokens", k + 1, NARROW).alias("tokens"),
+                        F.slice("around", first - before + 1, before + NARROW + NARROW_AROUND).alias("around"), F.lit(False).alias("whole"))
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, passage): the words around every sign of licence language, paragraph by paragraph."""
-    lines = docs.where(F.col("text").rlike(CUE)).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(CUE))
-    return lines.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(PASSAGE), F.lit(1))).alias("passage"))
+    itself = F.struct(F.col("tokens"), F.col("around"), F.lit(True).alias("whole"))
+    return F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), last, F.lit(NARROW_STEP)), narrow))
 
 
 def _template_pairs(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, text string")
+    rows = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in (*ts, *NAMED.get(f, ()))], "family string, text string")
     return rows.groupBy("family").agg(F.collect_list(pairs(words(F.col("text")))).alias("__templates"))
 
 
@@ -152,22 +214,36 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
 
     ``licence`` is the confirmed family of the highest probability; ``unknown`` where there is
     licence language but no confirmed family; ``none`` without any.  ``families`` lists all confirmed
-    ones.  Rows that share a doc_id are judged together; NULL and empty texts have none; other
+    ones.  ``n_passages`` counts the (overlapping) windows with licence language: those of which the regression
+    is certain enough that they aren't ``none``, or that hold a word of ``CUE``.  Rows that share a doc_id are judged together; NULL and empty texts have none; other
     columns are ignored.  The model is fitted to ``docs`` unless one is given.
     """
     docs = docs.select("doc_id", "text")
     model = model or train(docs)
-    found = model.probabilities(passages(docs).withColumn("__tokens", words(F.col("passage"))).withColumn("grams", _grams(F.col("__tokens"))))
-    # One row per family of the fixed list above.
-    compared = found.join(F.broadcast(_template_pairs(docs.sparkSession)), "family", "left").withColumn("__pairs", pairs(F.col("__tokens")))
-    share = F.array_max(F.transform("__templates", lambda t: F.size(F.array_intersect(t, F.col("__pairs"))) / F.size(F.array_distinct(t))))
-    confirmed = F.coalesce((F.col("probability") >= model.threshold) & (F.col("family") != NONE) & (share >= CONFIRMING_SHARE), F.lit(False))
-    judged = compared.select("doc_id", confirmed.alias("ok"), "family", "probability").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max_by("family", F.when(F.col("ok"), F.col("probability"))).alias("best"),
+    seen = model.scored(windows(docs).withColumn("tokens", F.slice("around", F.col("at") + 1, WINDOW)))
+    found = seen.where((F.col("family") != NONE) | (F.col("cue") & F.concat_ws(" ", "tokens").rlike(CUE)))
+    units = model.scored(found.select("doc_id", F.explode(_narrower()).alias("u")).select("doc_id", "u.*"))
+    calibrated = _softmax(F.col("raw"), model.temperature)
+    units = units.withColumns({"probability": F.array_max(calibrated), "none": F.element_at(calibrated, 1)})
+    # One row per family of the fixed list above, and one row of all.
+    templates = _template_pairs(docs.sparkSession)
+    every = templates.agg(F.flatten(F.collect_list("__templates")).alias("__every"))
+    compared = units.join(F.broadcast(templates), "family", "left").crossJoin(F.broadcast(every)).withColumn("__pairs", pairs(F.col("around")))
+
+    def best_share(lists: str) -> Column:
+        return F.array_max(F.transform(lists, lambda t: F.size(F.array_intersect(t, F.col("__pairs"))) / F.size(F.array_distinct(t))))
+
+    share = best_share("__templates")
+    able = (F.col("probability") >= model.threshold) & (F.col("family") != NONE) & (share >= CONFIRMING_SHARE)
+    # A narrow window may lack the word that tells two families apart: no other template may fit its surroundings better.
+    confirmed = F.coalesce(F.when(able, F.col("whole") | (share >= best_share("__every"))), F.lit(False))
+    sure = (F.col("none") < NONE_AT_MOST) | F.concat_ws(" ", "tokens").rlike(CUE)
+    judged = compared.select("doc_id", (F.col("whole") & sure | confirmed).alias("language"), confirmed.alias("ok"), "family", "probability").groupBy("doc_id").agg(
+        F.count_if("language").alias("n"), F.max_by("family", F.when(F.col("ok"), F.col("probability"))).alias("best"),
         F.max(F.when(F.col("ok"), F.col("probability"))).alias("p"),
         F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))).alias("all"))
     everyone = docs.select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
     return everyone.join(judged, everyone["__id"].eqNullSafe(judged["doc_id"]), "left").select(
         F.col("__id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n_passages"),
-        F.when(F.col("n").isNull(), NONE).when(F.col("p").isNull(), UNKNOWN).otherwise(F.col("best")).alias("licence"),
+        F.when(F.coalesce("n", F.lit(0)) == 0, NONE).when(F.col("p").isNull(), UNKNOWN).otherwise(F.col("best")).alias("licence"),
         F.concat_ws(",", "all").alias("families"), F.col("p").alias("probability"), F.col("p").isNotNull().alias("confirmed"))

@@ -292,3 +292,18 @@ def test_licences(spark, sf_dir):
     assert [got[i].licence for i in range(6)] == ["MIT", "Apache-2.0", "unknown", "none", "none", "none"]
     assert got[6].families == "CC-BY-NC,GPL" and got[6].n_passages >= 1
     assert licenses.scan_licences(table.where("false"), model).count() == 0
+
+
+def test_licences_without_cue_words_or_in_wrapped_lines(spark, sf_dir):
+    corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = licenses.train(corpus)
+    header = ("This program is free software: you can redistribute\nit and/or modify it under the terms of the GNU\n"
+              "General Public License as published by the Free\nSoftware Foundation.")
+    texts = {"Released under GPLv3.": "GPL", "Distributed under LGPL 2.1": "LGPL", "Released under CC BY-SA 4.0.": "CC-BY-SA",
+             "Released under the Apache 2.0 terms.": "Apache-2.0", "SPDX: Apache-2.0": "Apache-2.0", "Veröffentlicht unter der MIT-Lizenz.": "MIT",
+             header: "GPL", f"{PROSE}\n\n{header}\n\n{PROSE}": "GPL", PROSE * 3: "none"}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licenses.scan_licences(table, model).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    side_by_side = spark.createDataFrame([(1, f"{PROSE} Released under the MIT License. Licensed under the Apache License, Version 2.0. {PROSE}")], "doc_id long, text string")
+    assert licenses.scan_licences(side_by_side, model).first().families == "Apache-2.0,MIT"
