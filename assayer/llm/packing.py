@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,12 +36,19 @@ WORDS_KEPT = 400_000
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
+def _plain(token: dict) -> dict:
+    """An added token that matches as it is written; those that take in white space or look at words aren't built."""
+    if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"]:
+        raise ValueError(f"added token {token['content']!r} has matching rules that aren't supported")
+    return token
+
+
 class Encoder:
     """Ids of whole texts, looking up words (a space and what follows up to the next one) seen before.
 
     The vocabulary is that of a byte-level BPE file of ranks; the ids are those that
-    ``tokenizers`` gives with the JSON file of the same vocabulary, but new words take an eighth
-    of the time.  No token holds both what comes before a space and what comes after it, unless
+    ``tokenizers`` gives with the JSON file of the same name and vocabulary, but new words take an eighth
+    of the time.  Texts are split at the added tokens of that file first, as ``tokenizers`` does.  No token holds both what comes before a space and what comes after it, unless
     the space stands within a run of white space; texts with such a run are encoded as they are.
     """
 
@@ -52,9 +60,23 @@ class Encoder:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        with open(re.sub(r"\.tiktoken$", ".json", ranks_path), encoding="utf-8") as described:
+            self.added = {t["content"]: _plain(t)["id"] for t in json.load(described)["added_tokens"]}
+        # The first one that begins at a place wins, and of these the longest.
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str) -> list[int]:
+        if self.split is None or not self.split.search(text):
+            return self._between(text)
+        ids, at = [], 0
+        for found in self.split.finditer(text):
+            ids += [*self._between(text[at:found.start()]), self.added[found.group()]]
+            at = found.end()
+        return ids + self._between(text[at:])
+
+    def _between(self, text: str) -> list[int]:
+        """Ids of a text without added tokens."""
         if INNER_SPACE.search(text):
             return self.encode(text)
         first, *words = text.split(" ")

@@ -307,3 +307,19 @@ def test_licences_without_cue_words_or_in_wrapped_lines(spark, sf_dir):
     assert [got[i] for i in range(len(texts))] == list(texts.values())
     side_by_side = spark.createDataFrame([(1, f"{PROSE} Released under the MIT License. Licensed under the Apache License, Version 2.0. {PROSE}")], "doc_id long, text string")
     assert licenses.scan_licences(side_by_side, model).first().families == "Apache-2.0,MIT"
+
+
+def test_packing_keeps_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    end = "<|endoftext|>"
+    assert list(encoder(f"a {end} b")) == [64, 220, 50256, 275]
+    texts = [end, end * 2, f"a{end}", f"{end} b", f"x  {end}  y", f"a \n{end}\n b c", f" {end} ", "<|endoftext", f"{end}|>", f"<|{end}", "<|ENDOFTEXT|>"]
+    for text in texts:
+        assert list(encoder(text)) == tokenizer.encode(text, add_special_tokens=False).ids
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    for p in pieces:
+        ids = [*tokenizer.encode(texts[p.doc_id], add_special_tokens=False).ids, 0]
+        assert (p.doc_tokens, p.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
