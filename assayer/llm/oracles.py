@@ -92,3 +92,29 @@ SELECT page_id, host, path,
         ORDER BY length(rule_host || rule_path) DESC LIMIT 1), 'allow') AS verdict
 FROM parts
 """
+
+HARD_NEGATIVES = r"""
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       (row_number() OVER w)::INTEGER AS rank,
+       n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n USING (anchor_id)
+WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 5
+"""

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..scale import scratch_path
 from . import oracles
+from .conversations import Repair, damaged, repaired_digests
 from .exact_dedup import DigestIndex
+from .hard_negatives import mine_hard_negatives
 from .html_extraction import extract_main_text
 from .licenses import scan_licences
 from .mixing import Mix
@@ -15,6 +18,7 @@ from .quality import judge_quality
 from .registry import ORACLES, QUERIES, query, table
 from .sharding import assign_shards
 from .simhash import near_duplicates
+from .substring_dedup import cut_shared_passages
 from .suffix_dedup import cut_repeats
 from .url_filter import RULE_SCHEMA, judge_urls
 
@@ -72,3 +76,21 @@ def op7(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10(spark, sf_dir):
     return cut_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op11_substring_dedup")
+def op11(spark, sf_dir):
+    return cut_shared_passages(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op12_hard_negatives", oracles.HARD_NEGATIVES)
+def op12(spark, sf_dir):
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_conversation_repair")
+def op13(spark, sf_dir):
+    return repaired_digests(Repair(damaged(table(spark, sf_dir, "conversations"))))
