@@ -38,7 +38,7 @@ def q_timeline(spark, sf_dir):
 
 @query("timeline_split_entities", TIMELINE_SQL)
 def q_timeline_split(spark, sf_dir):
-    """The form used for hot entities: every entity above 40 rows is cut into time slices."""
+    """The form used for hot entities: the rows of every entity above 40 lie in several ranges."""
     events = table(spark, sf_dir, "events")
     return timeline(events, TIMELINE, max_group_rows=40).select(*_TIMELINE_COLUMNS)
 
@@ -94,8 +94,8 @@ def q_iqr(spark, sf_dir):
 
 @query("anomaly_iqr_bracketed", IQR_SQL)
 def q_iqr_bracketed(spark, sf_dir):
-    """The form used at scale: sketched brackets, exact ranks."""
-    found = iqr_outliers(table(spark, sf_dir, "events"), IQR, exact_in_one_pass=False)
+    """The form used at scale: brackets that narrow to the wanted ranks."""
+    found = iqr_outliers(table(spark, sf_dir, "events"), IQR, gathered_rows=50)
     return _rounded(found, "event_id", "event_type", "value", numbers=("q1", "q3", "anomaly_score"))
 
 

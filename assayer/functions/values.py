@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .formats import formatted
+
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 
 
@@ -82,21 +84,22 @@ def joined_text(columns) -> Column:
 def render(template: str | None, df: DataFrame) -> Column:
     """Compile ``"... {field} ..."`` to a concat; an unknown field raises.
 
-    NULL prints as ``None``; ``{x:.2f}`` and similar numeric formats are allowed.
+    NULL prints as ``None``, whatever its format.  ``{x:spec}`` follows the format mini-language (see
+    :func:`~assayer.functions.formats.formatted`); ``{x!s}`` is the text and ``{x!r}`` the quoted text.
     """
     if template is None:
         return F.lit(None).cast("string")
-    known = set(df.columns)
+    types = {f.name: f.dataType for f in df.schema.fields}
     pieces: list[Column] = []
-    for text, name, spec, _ in Formatter().parse(template):
+    for text, name, spec, conversion in Formatter().parse(template):
         if text:
             pieces.append(F.lit(text))
         if name is None:
             continue
-        if name not in known:
+        if name not in types:
             raise KeyError(f"template field {name!r} is not a result column")
-        if spec:
-            value = F.format_string(f"%{spec}", F.col(quoted(name)))
+        if spec or conversion:
+            value = formatted(F.col(quoted(name)), types[name], spec or "", conversion)
             pieces.append(F.coalesce(value, F.lit("None")))
         else:
             pieces.append(F.expr(f"coalesce(string({quoted(name)}), 'None')"))

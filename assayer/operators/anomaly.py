@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..scale import attach_small
 from ..specs import AnomalySpec
-from .ordering import grouped_quantiles
+from .ordering import GATHERED_ROWS, grouped_quantiles
 
 
 def _with_number(df: DataFrame, name: str) -> DataFrame:
@@ -48,15 +48,11 @@ def zscore_outliers(df: DataFrame, spec: AnomalySpec) -> DataFrame:
     )
 
 
-def iqr_outliers(
-    df: DataFrame, spec: AnomalySpec, *, exact_in_one_pass: bool | None = None
-) -> DataFrame:
+def iqr_outliers(df: DataFrame, spec: AnomalySpec, *, gathered_rows: int = GATHERED_ROWS) -> DataFrame:
     """Rows outside ``[q1 - t*iqr, q3 + t*iqr]``; the score is 0 where iqr is 0."""
     groups = list(spec.group_by)
     rows = _with_number(df, spec.field)
-    stats = grouped_quantiles(
-        rows, groups, "__x", {"q1": 0.25, "q3": 0.75}, exact_in_one_pass=exact_in_one_pass
-    )
+    stats = grouped_quantiles(rows, groups, "__x", {"q1": 0.25, "q3": 0.75}, gathered_rows=gathered_rows)
     spread = F.col("q3") - F.col("q1")
     reach = F.lit(float(spec.threshold)) * spread
     middle = (F.col("q1") + F.col("q3")) / 2

@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import clock_seconds, quoted
-from ..scale import HOT_GROUP_ROWS, attach_small, freeze, is_small
+from ..functions.values import quoted
+from ..scale import HOT_GROUP_ROWS, checked_broadcast, freeze, join_on, stored
 
-# Slices per hot group: this many times more than rows / limit, because time
-# slices of equal width do not hold equal numbers of rows.
-SLICE_SPREAD = 4
-SLICE_LEVELS = 2
-
-
-def _row_order(time: str, tie_breakers: Sequence[str]) -> list[Column]:
-    return [F.col(quoted(name)).asc_nulls_last() for name in (time, *tie_breakers)]
+# Rounds of narrowing stop where a bracket holds at most this many rows.
+GATHERED_ROWS = 1_000_000
+# Cells of the histogram that narrows a bracket, and accuracy of its sketch.
+CELLS = 256
+SKETCH_ACCURACY = 20 * CELLS
 
 
 def previous_values(
@@ -27,31 +25,30 @@ def previous_values(
     tie_breakers: Sequence[str],
     values: dict[str, str],
     *,
-    max_group_rows: int | None = None,
+    max_group_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``values[new] = old``: the value of ``old`` in the row before, per ``keys``.
 
-    A plan too small to hold a hot group is one window.  Otherwise group sizes
-    are counted first (a column-pruned, map-side combined count).  Groups above
-    ``max_group_rows`` are cut into time slices of equal width computed from
-    their own first and last time, and slices that are still too full are cut
-    once more.  The window then runs per (key, slice), and the first row of a
-    slice takes its values from a table holding the last row of each slice.  No
-    task sorts a whole hot group; only rows of one key and one second stay
-    together.
+    Rows are ordered by time (NULL last), then by the tie-breakers.  Group sizes are counted first
+    (column-pruned and combined before the shuffle).  Groups of at most ``max_group_rows`` are one
+    window.  The rows of larger ones are dealt by ranges of (keys, time, tie-breakers, row), so the
+    rows of a group, of a second or without a time lie in as many tasks as they need; the window then
+    runs per range, and the first row of a range takes its values from the last row of the range before.
     """
-    limit = max_group_rows or HOT_GROUP_ROWS
-    if max_group_rows is None and is_small(df):
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    hot = freeze(groups.where(F.col("__rows") > max_group_rows))
+    total = hot.agg(F.sum("__rows")).first()[0]
+    if total is None:
         return _lag(df, keys, time, tie_breakers, values)
-    sliced, slices = df.withColumn("__second", clock_seconds(F.col(quoted(time)))), []
-    for level in range(SLICE_LEVELS):
-        crowded = _crowded_groups(sliced, [*keys, *slices], limit, only_hot=bool(slices))
-        if crowded.isEmpty():
-            break
-        sliced, slices = _cut(sliced, crowded, [*keys, *slices], level), [*slices, f"__slice_{level}"]
-    if not slices:
-        return _lag(df, keys, time, tie_breakers, values)
-    return _sliced_lag(sliced.drop("__second"), keys, slices, time, tie_breakers, values)
+    large = checked_broadcast(hot.drop("__rows"))
+    usual = _lag(join_on(df, large, keys, "left_anti", null_safe=True), keys, time, tie_breakers, values)
+    ranges = max(2, -(-2 * total // max_group_rows))
+    crowded = join_on(df, large, keys, "left_semi", null_safe=True)
+    return usual.unionByName(_lag_over_ranges(crowded, keys, time, tie_breakers, values, ranges))
+
+
+def _row_order(time: str, tie_breakers: Sequence[str]) -> list[Column]:
+    return [F.col(quoted(name)).asc_nulls_last() for name in (time, *tie_breakers)]
 
 
 def _lag(df, keys, time, tie_breakers, values) -> DataFrame:
@@ -59,60 +56,36 @@ def _lag(df, keys, time, tie_breakers, values) -> DataFrame:
     return df.withColumns({new: F.lag(old).over(window) for new, old in values.items()})
 
 
-def _crowded_groups(rows: DataFrame, group: list[str], limit: int, only_hot: bool) -> DataFrame:
-    """Start and slice width of every group with more timed rows than ``limit``."""
-    rows = rows.where("__hot") if only_hot else rows
-    parts = F.ceil(F.col("n") * F.lit(SLICE_SPREAD) / F.lit(limit))
-    width = F.greatest(F.lit(1), F.ceil((F.col("stop") - F.col("start") + 1) / parts))
-    return freeze(
-        rows.groupBy(*group)
-        .agg(F.count("__second").alias("n"), F.min("__second").alias("start"), F.max("__second").alias("stop"))
-        .where((F.col("n") > limit) & (F.col("stop") > F.col("start")))
-        .select(*group, F.col("start").alias("__start"), width.cast("long").alias("__width"))
-    )
-
-
-def _cut(rows: DataFrame, crowded: DataFrame, group: list[str], level: int) -> DataFrame:
-    """Number the slice of every row; rows without a time come last, as in the order."""
-    number = (
-        F.when(F.col("__width").isNull(), F.lit(0))
-        .when(F.col("__second").isNull(), F.lit(2**62))
-        .otherwise(F.floor((F.col("__second") - F.col("__start")) / F.col("__width")))
-    )
-    hot = F.col("__width").isNotNull() if level == 0 else F.col("__hot")
-    return (
-        attach_small(rows, crowded, group, "left", null_safe=True)
-        .withColumns({f"__slice_{level}": number.cast("long"), "__hot": hot})
-        .drop("__start", "__width")
-    )
-
-
-def _sliced_lag(sliced, keys, slices, time, tie_breakers, values) -> DataFrame:
-    group = [*keys, *slices]
-    window = Window.partitionBy(*group).orderBy(*_row_order(time, tie_breakers))
-    within = sliced.withColumns(
-        {
-            "__opens": F.lag(F.lit(1)).over(window).isNull() & F.col("__hot"),
-            **{new: F.lag(old).over(window) for new, old in values.items()},
-        }
-    )
-    # Last row of every slice of the hot groups, then shifted by one slice.
-    names = list(values)
-    order = [part for name in (time, *tie_breakers) for part in (F.col(quoted(name)).isNull(), F.col(quoted(name)))]
-    last = (
-        sliced.where("__hot")
-        .groupBy(*group)
-        .agg(F.max_by(F.struct(*[F.col(values[n]).alias(n) for n in names]), F.struct(*order)).alias("__last"))
-    )
-    by_slice = Window.partitionBy(*keys).orderBy(*slices)
-    carried = last.select(
-        *group, F.lit(True).alias("__opens"), F.lag("__last").over(by_slice).alias("__carried")
-    )
-    joined = attach_small(within, carried, [*group, "__opens"], "left", null_safe=True)
-    resolved = joined.withColumns(
-        {n: F.when(F.col("__opens"), F.col(f"__carried.{n}")).otherwise(F.col(n)) for n in names}
-    )
-    return resolved.drop(*slices, "__hot", "__opens", "__carried")
+def _lag_over_ranges(rows, keys, time, tie_breakers, values, ranges: int) -> DataFrame:
+    """Windows over contiguous ranges of one order; the last row of each is carried into the next.
+
+    Rows that tie in everything are told apart by a number of their own, so no set of equal rows has to
+    stay together.  The ranges are written down: their bounds are drawn once, and every later reader sees them.
+    """
+    names, order = list(values), _row_order(time, tie_breakers)
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(
+        ranges, *[F.col(quoted(k)) for k in keys], *order, F.col("__row"))
+    ranged = stored(dealt.withColumn("__range", F.spark_partition_id()))
+    window = Window.partitionBy(*keys, "__range").orderBy(*order, "__row")
+    within = ranged.withColumns({
+        "__opens": F.lag(F.lit(1)).over(window).isNull(),
+        "__closes": F.lead(F.lit(1)).over(window).isNull(),
+        **{new: F.lag(old).over(window) for new, old in values.items()},
+    })
+    # One row per group and range: as many as there are ranges, and one more for each group.
+    last = within.where("__closes").select(*keys, "__range", F.struct(*[F.col(values[n]).alias(n) for n in names]).alias("__last"))
+    by_range = Window.partitionBy(*keys).orderBy("__range")
+    carried = stored(last.select(*keys, "__range", F.lit(True).alias("__opens"), F.lag("__last").over(by_range).alias("__carried")))
+    joined = join_on(within, checked_broadcast(carried), [*keys, "__range", "__opens"], "left", null_safe=True)
+    resolved = joined.withColumns({n: F.when(F.col("__opens"), F.col(f"__carried.{n}")).otherwise(F.col(n)) for n in names})
+    return resolved.drop("__row", "__range", "__opens", "__closes", "__carried")
+
+
+def _at_rank(low: Column, high: Column, position: Column) -> Column:
+    """Between two neighbouring values, in the arithmetic of the built-in exact percentile."""
+    below, above = F.floor(position), F.ceil(position)
+    mixed = low * (above - position) + high * (position - below)
+    return F.when((below == above) | (low == high), low).otherwise(mixed)
 
 
 def grouped_quantiles(
@@ -121,82 +94,131 @@ def grouped_quantiles(
     value: str,
     quantiles: dict[str, float],
     *,
-    exact_in_one_pass: bool | None = None,
-    accuracy: int = 100_000,
+    gathered_rows: int = GATHERED_ROWS,
 ) -> DataFrame:
     """Exact continuous quantiles (linear interpolation) per group.
 
-    Small plans use the built-in exact percentile, which holds a group's values
-    in one task.  Larger ones never do: a mergeable sketch brackets each wanted
-    rank to a few hundred-thousandths of the group, one pass counts the rows
-    below the bracket and groups those inside it by value, and the ranks are
-    read off the running count of that remainder.  The sketch's error bound is
-    what makes the bracket safe; a bracket that misses raises instead of
-    answering wrongly.
+    A group of at most ``gathered_rows`` values is left to the built-in exact percentile, which holds a
+    group's values in one task.  In larger groups the value at each wanted rank is selected by
+    narrowing: a histogram of the bracket that holds the rank proposes a middle value and two
+    bounds around it, one pass counts what lies on each side, and the side that holds the rank is
+    the next bracket.  All groups and ranks narrow in the same pass; every round leaves out at least the middle value, so none
+    can fail, and what remains is gathered once it is small.  Both ways give the same digits.
     """
-    single = is_small(df) if exact_in_one_pass is None else exact_in_one_pass
-    data = df.select(*groups, F.col(f"`{value}`").cast("double").alias("__v")).where("__v IS NOT NULL")
-    if single:
-        columns = [F.percentile("__v", p).alias(name) for name, p in quantiles.items()]
-        return data.groupBy(*groups).agg(*columns)
-
-    margin = 2.5 / accuracy
-    wanted = list(quantiles.items())
-    probes = [p for _, q in wanted for p in (max(0.0, q - margin), min(1.0, q + margin))]
-    sketch = data.groupBy(*groups).agg(
-        F.count("*").alias("__n"),
-        F.min("__v").alias("__min"),
-        F.max("__v").alias("__max"),
-        F.percentile_approx("__v", probes, accuracy).alias("__probe"),
-    )
-    brackets = []
-    for i, (_, q) in enumerate(wanted):
-        rank = (F.col("__n") - 1) * F.lit(float(q))
-        # The margin spans whole ranks only in groups larger than the accuracy;
-        # smaller groups keep all their values.
-        few = F.col("__n") <= accuracy
-        low = few | F.lit(q - margin <= 0.0)
-        high = few | F.lit(q + margin >= 1.0)
-        brackets.append(
-            F.struct(
-                F.lit(i).alias("q"),
-                rank.alias("rank"),
-                F.when(low, F.col("__min")).otherwise(F.col("__probe")[2 * i]).alias("lo"),
-                F.when(high, F.col("__max")).otherwise(F.col("__probe")[2 * i + 1]).alias("hi"),
-            )
-        )
-    bounds = sketch.select(*groups, F.array(*brackets).alias("__bounds"))
-    # One branch reads the bracket, so both counts always refer to the same one.
-    inside = F.col("__v") >= F.col("__b.lo")
-    counted = (
-        attach_small(data, bounds, groups, null_safe=True)
-        if groups
-        else data.withColumn("__bounds", freeze(bounds).select("__bounds").scalar())
-    )
-    counted = (
-        counted.select(*groups, "__v", F.explode("__bounds").alias("__b"))
-        .where(F.col("__v") <= F.col("__b.hi"))
-        .groupBy(*groups, "__b", F.when(inside, F.col("__v")).alias("__v"))
-        .agg(F.count("*").alias("__c"))
-    )
-    running = Window.partitionBy(*groups, "__b").orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.withColumn("__end", F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-    floor, ceiling = F.floor("__b.rank"), F.ceil("__b.rank")
-
-    def at(position: Column) -> Column:
-        covers = (F.col("__end") - F.col("__c") <= position) & (position < F.col("__end"))
-        found = F.max(F.when(covers & F.col("__v").isNotNull(), F.col("__v")))
-        return F.coalesce(found, F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-
-    picked = ranked.groupBy(*groups, "__b").agg(at(floor).alias("__lo"), at(ceiling).alias("__hi"))
-    weight = F.col("__b.rank") - F.floor("__b.rank")
-    interpolated = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * weight
-    return picked.groupBy(*groups).agg(
-        *[
-            F.max(F.when(F.col("__b.q") == i, interpolated)).alias(name)
-            for i, (name, _) in enumerate(wanted)
-        ]
-    )
+    keys = list(groups)
+    data = df.select(*keys, F.col(quoted(value)).cast("double").alias("__v")).where("__v IS NOT NULL")
+    counts = freeze(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+                    .where(F.col("__n") > gathered_rows))
+    builtin = [F.percentile("__v", q).alias(name) for name, q in quantiles.items()]
+    if counts.isEmpty():
+        return data.groupBy(*keys).agg(*builtin)
+    if not keys:
+        return _selected(data, counts, keys, quantiles, gathered_rows)
+    large = checked_broadcast(counts.select(*keys))
+    usual = join_on(data, large, keys, "left_anti", null_safe=True).groupBy(*keys).agg(*builtin)
+    crowded = stored(join_on(data, large, keys, "left_semi", null_safe=True))
+    return usual.unionByName(_selected(crowded, counts, keys, quantiles, gathered_rows))
+
+
+class _Target:
+    """One wanted rank of every group: columns of its bracket in the state table."""
+
+    def __init__(self, number: int):
+        self.rank, self.low, self.high, self.below, self.inside = (
+            f"__{name}{number}" for name in ("rank", "low", "high", "below", "inside"))
+        self.number = number
+
+    def columns(self) -> list[str]:
+        return [self.rank, self.low, self.high, self.below, self.inside]
+
+    def holds(self) -> Column:
+        return (F.col("__v") >= F.col(self.low)) & (F.col("__v") <= F.col(self.high))
+
+    def open(self, limit: int) -> Column:
+        return (F.col(self.low) < F.col(self.high)) & (F.col(self.inside) > limit)
+
+
+def _with_state(data: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    if keys:
+        return join_on(data, checked_broadcast(state), keys, null_safe=True)
+    one = state.select(F.struct("*").alias("s")).scalar()
+    return data.withColumn("__s", one).select("__v", "__s.*")
+
+
+def _selected(data: DataFrame, counts: DataFrame, keys: list[str], quantiles: dict[str, float], limit: int) -> DataFrame:
+    targets, positions = [], {}
+    for i, (name, q) in enumerate(quantiles.items()):
+        positions[name] = (F.col("__n") - 1) * F.lit(float(q))
+        targets += [_Target(2 * i), _Target(2 * i + 1)]
+    ranks = [f(p).cast("long") for p in positions.values() for f in (F.floor, F.ceil)]
+    state = counts.select(*keys, "__n", *[
+        column for target, rank in zip(targets, ranks) for column in (
+            rank.alias(target.rank), F.col("__min").alias(target.low), F.col("__max").alias(target.high),
+            F.lit(0).cast("long").alias(target.below), F.col("__n").alias(target.inside))])
+    while True:
+        state = freeze(state)
+        open_ = state.agg(*[F.count_if(t.open(limit)) for t in targets]).first()
+        still = [t for t, n in zip(targets, open_) if n]
+        if not still:
+            break
+        state = _narrowed(data, state, keys, still, limit)
+    rows = _with_state(data, state, keys)
+    held = {f"__held{t.number}": F.sort_array(F.collect_list(F.when(t.holds() & (F.col(t.low) < F.col(t.high)), F.col("__v")))) for t in targets}
+    gathered = rows.groupBy(*keys, "__n", *[c for t in targets for c in t.columns()]).agg(*[c.alias(n) for n, c in held.items()])
+
+    def found(t: _Target) -> Column:
+        place = (F.col(t.rank) - F.col(t.below) + 1).cast("int")
+        return F.when(F.col(t.low) == F.col(t.high), F.col(t.low)).otherwise(F.try_element_at(f"__held{t.number}", place))
+
+    return gathered.select(*keys, *[
+        _at_rank(found(targets[2 * i]), found(targets[2 * i + 1]), position).alias(name)
+        for i, (name, position) in enumerate(positions.items())])
+
+
+def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], targets: list[_Target], limit: int) -> DataFrame:
+    """One round: the bracket of every open rank shrinks to the part that holds the rank."""
+    grid = [i / CELLS for i in range(CELLS + 1)]
+    rows = _with_state(data, state, keys)
+    inside = {t: F.when(t.holds() & t.open(limit), F.col("__v")) for t in targets}
+    sketch = rows.groupBy(*keys).agg(*[
+        F.percentile_approx(inside[t], grid, SKETCH_ACCURACY).alias(f"__grid{t.number}") for t in targets])
+    cuts = []
+    for t in targets:
+        cell = F.floor((F.col(t.rank) - F.col(t.below)) * CELLS / F.col(t.inside)).cast("int")
+        for name, shift in (("left", -1), ("middle", 0), ("right", 2)):
+            place = F.greatest(F.lit(1), F.least(F.lit(CELLS + 1), cell + 1 + shift))
+            cuts.append(F.try_element_at(f"__grid{t.number}", place).alias(f"__{name}{t.number}"))
+    if keys:
+        bounds = freeze(join_on(state, sketch, keys, null_safe=True).select(*state.columns, *cuts))
+    else:
+        one = state.select(F.struct("*").alias("s")).scalar()
+        bounds = freeze(sketch.withColumn("__s", one).select("__s.*", *sketch.columns).select(*state.columns, *cuts))
+    rows, v, counted = _with_state(data, bounds, keys), F.col("__v"), []
+    for t in targets:
+        left, middle, right = (F.col(f"__{name}{t.number}") for name in ("left", "middle", "right"))
+        mine = t.holds() & t.open(limit)
+        parts = {"a": v < left, "b": (v >= left) & (v < middle), "c": v == middle, "d": (v > middle) & (v <= right), "e": v > right}
+        for name, part in parts.items():
+            counted += [F.count_if(mine & part).alias(f"__{name}{t.number}"),
+                        F.min(F.when(mine & part, v)).alias(f"__{name}_low{t.number}"),
+                        F.max(F.when(mine & part, v)).alias(f"__{name}_high{t.number}")]
+    columns = [c for c in bounds.columns if c not in keys]
+    sums = rows.groupBy(*keys, *columns).agg(*counted)
+    updated = {}
+    for t in targets:
+        rest, before, options = F.col(t.rank) - F.col(t.below), F.lit(0).cast("long"), []
+        for name in "abcde":
+            n = F.col(f"__{name}{t.number}")
+            bracket = F.struct(F.col(f"__{name}_low{t.number}").alias("low"), F.col(f"__{name}_high{t.number}").alias("high"),
+                               (F.col(t.below) + before).alias("below"), n.alias("inside"))
+            options.append((rest < before + n, bracket))
+            before = before + n
+        updated[t] = reduce(lambda chain, option: chain.when(*option), options[1:], F.when(*options[0]))
+    chosen = sums.select(*state.columns, *[updated[t].alias(f"__next{t.number}") for t in targets])
+    settled = {
+        name: F.when(t.open(limit), F.col(f"__next{t.number}.{field}")).otherwise(F.col(name))
+        for t in targets for field, name in (("low", t.low), ("high", t.high), ("below", t.below), ("inside", t.inside))}
+    return chosen.select(*[settled[c].alias(c) if c in settled else F.col(quoted(c)) for c in state.columns])
 
 
 def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

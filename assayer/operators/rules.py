@@ -23,8 +23,9 @@ def rule_sql(spark: SparkSession, spec: SqlSpec, sources: Mapping[str, DataFrame
     """Run a SELECT over ``{{source_id}}`` placeholders; each row is an exception.
 
     The text is always a subquery, so Spark's own parser refuses anything that
-    is not a query.  Sources are bound to names made for this one call, and the analysed plan may read nothing else,
-    however the text spells it.
+    is not a query.  Sources are bound to temporary views made for this one call.  The analysed plan may read
+    nothing but these very views, however the text spells it, and must read each one that it names:
+    a placeholder used as an alias, in a comment or as a column is refused.
     """
     used = set(_PLACEHOLDER.findall(spec.query))
     if not used:
@@ -52,22 +53,30 @@ def _each(sequence):
 
 
 def _refuse_foreign(result: DataFrame, views: set[str]) -> None:
-    """Raise if the analysed plan calls JVM methods or reads anything but ``views``; the plans of the sources are not entered."""
-    todo = [(result._jdf.queryExecution().analyzed(), True)]
+    """Raise if the analysed plan calls JVM methods, reads anything but ``views``, or leaves one of them out.
+
+    A source is known by the view that the session's catalog resolved, never by an alias, as the text can give
+    any name to any relation.  The plans behind the views belong to the caller and are not entered.
+    """
+    todo, read = [(result._jdf.queryExecution().analyzed(), True)], set()
+    gateway = result.sparkSession.sparkContext._gateway
     while todo:
         node, is_plan = todo.pop()
         kind = node.getClass().getSimpleName().rstrip("$")
         if kind in _REFUSED:
             raise ValueError("check SQL must not call JVM methods")
         if is_plan:
-            if kind == "SubqueryAlias" and node.alias() in views:
+            if kind == "View" and node.isTempView() and node.desc().identifier().table() in views:
+                read.add(node.desc().identifier().table())
                 continue
-            if node.children().isEmpty() and kind not in _CONSTANTS:
+            if kind == "View" or (node.children().isEmpty() and kind not in _CONSTANTS):
                 raise ValueError("check SQL must read its sources only")
             todo += [(e, False) for e in _each(node.expressions())]
-        elif is_instance_of(result.sparkSession.sparkContext._gateway, node, _SUBQUERY):
+        elif is_instance_of(gateway, node, _SUBQUERY):
             todo.append((node.plan(), True))
         todo += [(child, is_plan) for child in _each(node.children())]
+    if read != views:
+        raise ValueError("check SQL must read the sources that it names")
 
 
 def rule_contradiction(spark: SparkSession, spec: SqlSpec, sources: Mapping[str, DataFrame]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import as_ntz, joined_text, seconds_between, text_of
+from ..scale import HOT_GROUP_ROWS
 from ..specs import TimelineSpec
 from .ordering import previous_values
 
@@ -18,7 +19,7 @@ def step_number(event: Column, expected_order) -> Column:
     return result
 
 
-def timeline(df: DataFrame, spec: TimelineSpec, *, max_group_rows: int | None = None) -> DataFrame:
+def timeline(df: DataFrame, spec: TimelineSpec, *, max_group_rows: int = HOT_GROUP_ROWS) -> DataFrame:
     """Rows that break the expected order, or follow the row before too late.
 
     Breaks are: an event without a place, a first event (or one after an event

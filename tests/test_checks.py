@@ -68,6 +68,27 @@ def test_split_lag_equals_brute_force(spark, limit):
     assert {r["id"]: r["before"] for r in found.collect()} == _brute_previous(rows)
 
 
+@pytest.mark.parametrize("times", ["one second", "none", "any"])
+def test_a_third_of_all_rows_in_one_entity(spark, times):
+    rng = random.Random(times)
+    rows = []
+    for i in range(1500):
+        entity = "hot" if i % 3 == 0 else f"e{rng.randrange(60)}"
+        second = {"one second": T0, "none": None, "any": T0 + timedelta(seconds=rng.randrange(40))}[times if entity == "hot" else "any"]
+        rows.append((i, entity, second, rng.choice("ABC?")))
+    df = spark.createDataFrame(rows, "id long, entity string, ts timestamp_ntz, kind string").repartition(4)
+    found = previous_values(df, ["entity"], "ts", ["id"], {"before": "kind", "earlier": "id"}, max_group_rows=30).collect()
+    assert {r["id"]: r["before"] for r in found} == _brute_previous(rows)
+    # Without tie-breakers equal rows may come in any order, but they form one chain.
+    untied = previous_values(df, ["entity"], "ts", [], {"earlier": "id"}, max_group_rows=30).where("entity = 'hot'").collect()
+    follows = {r["earlier"]: r["id"] for r in untied}
+    at, seen = None, []
+    while at in follows:
+        at = follows[at]
+        seen.append(at)
+    assert sorted(seen) == [r[0] for r in rows if r[1] == "hot"]
+
+
 def test_zscore_edges(spark):
     rows = [("flat", 5.0)] * 4 + [("one", 1.0)] + [("g", 1.0)] * 20 + [("g", 100.0), ("g", None), ("g", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
@@ -84,20 +105,27 @@ def test_iqr_edges(spark):
     assert iqr_outliers(df, AnomalySpec("t", "v", (), "iqr", 1.5)).count() == 1
 
 
-@pytest.mark.parametrize("accuracy", [20, 300, 100_000])
-def test_bracketed_quantiles_equal_numpy(spark, accuracy):
-    rng = np.random.default_rng(accuracy)
-    groups = {"hot": rng.pareto(1.0, 3000), "ties": rng.integers(0, 4, 1001).astype(float), "three": np.array([1.0, 2.0, 9.0]), "one": np.array([4.0])}
+@pytest.mark.parametrize("limit", [3, 300])
+def test_narrowed_quantiles_have_the_digits_of_the_built_in(spark, limit):
+    rng = np.random.default_rng(limit)
+    groups = {"hot": rng.pareto(0.3, 3000), "ties": rng.integers(0, 4, 1001).astype(float), "two": np.repeat([1.0, 7.5], [400, 401]),
+              "three": np.array([1.0, 2.0, 9.0]), "one": np.array([4.0]), "same": np.full(700, -2.5),
+              "wide": np.concatenate([10.0 ** rng.integers(-300, 300, 800), -(10.0 ** rng.integers(-300, 300, 700))]), None: rng.normal(size=900)}
     rows = [(g, float(v)) for g, values in groups.items() for v in values]
-    df = spark.createDataFrame(rows, "g string, v double")
-    wanted = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
-    found = grouped_quantiles(df, ["g"], "v", wanted, exact_in_one_pass=False, accuracy=accuracy).collect()
-    assert len(found) == 4
-    for row in found:
-        expected = np.quantile(groups[row["g"]], list(wanted.values()))
-        assert [row[n] for n in wanted] == pytest.approx(expected.tolist())
-    whole = grouped_quantiles(df, [], "v", wanted, exact_in_one_pass=False, accuracy=accuracy).first()
-    assert [whole[n] for n in wanted] == pytest.approx(np.quantile([v for _, v in rows], [0.25, 0.5, 0.75]).tolist())
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    wanted = {"q0": 0.0, "q1": 0.25, "q2": 0.7123}
+    builtin = [F.percentile("v", q).alias(n) for n, q in wanted.items()]
+    assert sorted(map(str, grouped_quantiles(df, ["g"], "v", wanted, gathered_rows=limit).collect())) == sorted(
+        map(str, df.groupBy("g").agg(*builtin).collect()))
+    assert grouped_quantiles(df, [], "v", wanted, gathered_rows=limit).collect() == df.agg(*builtin).collect()
+
+
+def test_quantiles_of_orders_have_the_digits_of_the_built_in(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    wanted = {"q1": 0.25, "q3": 0.75}
+    builtin = [F.percentile("o_totalprice", q).alias(n) for n, q in wanted.items()]
+    found = grouped_quantiles(orders, ["o_custkey"], "o_totalprice", wanted, gathered_rows=5)
+    assert sorted(found.collect()) == sorted(orders.groupBy("o_custkey").agg(*builtin).collect())
 
 
 def test_reconcile_edges(spark):
@@ -141,6 +169,15 @@ def test_rule_sql_is_a_query_only(spark):
     "SELECT id FROM {{t}} WHERE EXISTS (SELECT 1 FROM parquet.`FILE`)",
     "WITH f AS (SELECT count(*) AS n FROM parquet.`FILE`) SELECT id FROM {{t}} JOIN f ON id < n",
     "SELECT t.id FROM {{t}} t JOIN foreign_view f ON t.id = f.id",
+    "SELECT * FROM parquet.`FILE` AS {{t}}",
+    "SELECT * FROM (SELECT java_method('java.lang.System', 'getProperty', 'java.version') AS v) AS {{t}}",
+    "SELECT * FROM (SELECT 1 AS id) AS {{t}}",
+    "SELECT * FROM foreign_view AS {{t}}",
+    "WITH {{t}} AS (SELECT * FROM foreign_view) SELECT * FROM {{t}}",
+    "SELECT /* {{t}} */ 1 AS id",
+    "SELECT 1 AS {{t}}",
+    "SELECT id FROM VALUES (1), (2) AS {{t}}(id)",
+    "SELECT id FROM {{t}} UNION ALL SELECT r_regionkey FROM parquet.`FILE` AS {{t}}",
 ])
 def test_rule_sql_reads_its_sources_only(spark, sf_dir, text):
     spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey AS id").createOrReplaceTempView("foreign_view")
