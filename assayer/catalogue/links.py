@@ -12,6 +12,7 @@ from ..operators.lineage import declared_edges, impact_paths, lineage_edges
 from ..operators.profile import profile_table
 from ..operators.relationships import candidate_pairs, infer_relationships
 from ..operators.roles import attribute_roles, infer_column_roles
+from ..operators.evidence import verify_evidence
 from ..plans.run import analyze_business_logic
 from ..specs import RelationshipSpec
 from .registry import query, table
@@ -226,22 +227,60 @@ def q_samples(spark, sf_dir):
     return samples.join(found.select("hypothesis_id", "context"), "hypothesis_id").select("context", "row_id", "rank")
 
 
+def _investigated(spark, sf_dir):
+    """The hypotheses' selections run on documents and labels again."""
+    found, _ = _hypotheses(spark, sf_dir)
+    sources = {name: table(spark, sf_dir, name) for name in ("documents", "labels")}
+    return found, hyp.investigate_hypotheses(found, sources, run_id="RUN-CATALOGUE", minimum_confidence=0.93)
+
+
 @query("investigate_hypotheses", f"WITH {MINORITY_SQL}{_MERGED_SQL} SELECT context, attribute, confidence, "
        "mismatch_rows AS reproduced_rows, CASE WHEN confidence < 0.93 THEN 'BELOW_MATERIALITY_THRESHOLD' ELSE 'PROMOTED_TO_FINDING' END AS investigation, "
        "first_id AS object_id, CASE WHEN confidence >= 0.93 THEN concat('FND-', upper(substr(sha256(concat("
        "'BUSINESS_SEMANTIC_CONSTRAINT|semantic_target_mismatch|', first_id)), 1, 16))) END AS finding_id FROM h")
 def q_investigate(spark, sf_dir):
-    found, minority = _hypotheses(spark, sf_dir)
-    return hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93).select(
+    return _investigated(spark, sf_dir)[1].hypotheses.select(
         "context", "attribute", "confidence", "reproduced_rows", "investigation", "object_id", "finding_id"
     )
 
 
+_EVEN_SQL = (
+    "(SELECT count(*) FROM (SELECT unnest(string_split(h.ids, ',')) AS id) u WHERE id::BIGINT % 2 = 0)"
+)
+
+
+@query("rerun_hypotheses", f"WITH {MINORITY_SQL}{_MERGED_SQL}, x AS (SELECT *, {_EVEN_SQL} AS n FROM h) SELECT context, attribute, "
+       "CASE WHEN confidence < 0.8 THEN 0 ELSE n END AS reproduced_rows, "
+       "CASE WHEN confidence < 0.8 THEN 'BELOW_MATERIALITY_THRESHOLD' WHEN n = 0 THEN 'NOT_REPRODUCED' ELSE 'PROMOTED_TO_FINDING' END AS investigation FROM x "
+       "UNION ALL SELECT context, attribute, 0, CASE WHEN confidence < 0.8 THEN 'BELOW_MATERIALITY_THRESHOLD' ELSE 'ERROR' END FROM x")
+def q_rerun(spark, sf_dir):
+    """The selections of all hypotheses, run once where the odd labels are gone and once where a source lacks its key."""
+    found, _ = _hypotheses(spark, sf_dir)
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    changed = hyp.investigate_hypotheses(found, {"documents": documents, "labels": labels.where("doc_id % 2 = 0")}, run_id="RUN-CATALOGUE")
+    broken = hyp.investigate_hypotheses(found, {"documents": documents, "labels": labels.drop("doc_id")}, run_id="RUN-CATALOGUE")
+    columns = ["context", "attribute", "reproduced_rows", "investigation"]
+    return changed.hypotheses.select(*columns).unionAll(broken.hypotheses.select(*columns))
+
+
+@query("hypothesis_evidence", f"WITH {MINORITY_SQL}{_MERGED_SQL} SELECT context, first_id AS object_id, 'documents,labels' AS source_ids, "
+       "mismatch_rows AS reproduced_rows, true AS verified FROM h WHERE confidence >= 0.93")
+def q_hypothesis_evidence(spark, sf_dir):
+    """The stored record behind each promoted hypothesis, and whether its checksum and id follow from its content."""
+    investigation = _investigated(spark, sf_dir)[1]
+    wrong = verify_evidence(investigation.evidence).select("evidence_id", F.lit(False).alias("right"))
+    return investigation.evidence.join(wrong, "evidence_id", "left").select(
+        F.get_json_object("query", "$.context").alias("context"), "object_id", F.array_join("source_ids", ",").alias("source_ids"),
+        F.get_json_object("result", "$.reproduced_rows").cast("long").alias("reproduced_rows"),
+        F.coalesce("right", F.lit(True)).alias("verified"),
+    )
+
+
 @query("hypothesis_coverage", f"WITH {MINORITY_SQL}{_MERGED_SQL} SELECT context, CASE WHEN confidence < 0.93 THEN 'MISSING_FINDING' "
        "WHEN mismatch_rows > 3 THEN 'MISSING_REVIEW' ELSE 'REQUIRES_VALIDATION' END AS verdict FROM h WHERE confidence >= 0.8")
 def q_coverage(spark, sf_dir):
-    found, minority = _hypotheses(spark, sf_dir)
-    done = hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93)
+    found, investigation = _investigated(spark, sf_dir)
+    done = investigation.hypotheses
     promoted = done.where("finding_id IS NOT NULL")
     # Findings are told apart by hypothesis here, as two may share an object.
     keyed = promoted.select("hypothesis_id", F.concat_ws(":", "finding_id", "hypothesis_id").alias("finding_id"), "mismatch_rows")
@@ -254,8 +293,8 @@ def q_coverage(spark, sf_dir):
        "'POTENTIAL_RISK' AS status, concat('Untypical value of ', attribute) AS title, concat(mismatch_rows, ' of ', joined_rows, "
        "' comparable routes differ from the dominant value') AS rationale FROM h WHERE confidence < 0.93")
 def q_hypothesis_plan(spark, sf_dir):
-    found, minority = _hypotheses(spark, sf_dir)
-    done = hyp.investigate_hypotheses(found, out.hypothesis_rows(found, minority), minimum_confidence=0.93)
+    found, investigation = _investigated(spark, sf_dir)
+    done = investigation.hypotheses
     return hyp.hypothesis_plan(found, done.where("finding_id IS NOT NULL")).select("priority", "status", "title", "rationale")
 
 

@@ -26,6 +26,11 @@ _CONTENT = (
 )
 
 
+def content_checksum() -> Column:
+    """The checksum of a record's content, from its columns."""
+    return F.expr(f"sha2({_CONTENT}, 256)")
+
+
 def row_object_id(exceptions: DataFrame, column: str | None) -> Column:
     """The named column's text, else 20 hex digits of the row's own hash."""
     own = F.substring(ids.sha256(canonical_json(exceptions, exceptions.columns)), 1, 20)
@@ -69,7 +74,7 @@ def build_evidence(
 
 def verify_evidence(evidence: DataFrame) -> DataFrame:
     """Records whose checksum or id does not follow from their content."""
-    expected = F.expr(f"sha2({_CONTENT}, 256)")
+    expected = content_checksum()
     wrong = ~F.col("checksum").eqNullSafe(F.col("expected_checksum"))
     malformed = ~F.coalesce(F.col("evidence_id").rlike(EVIDENCE_FORMAT), F.lit(False))
     foreign = ~F.col("evidence_id").eqNullSafe(ids.evidence_id(F.col("run_id"), F.col("expected_checksum")))

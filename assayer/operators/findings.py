@@ -10,6 +10,7 @@ from ..functions.values import render
 from ..scale import attach_small, join_on
 from ..specs import SEVERITIES, RuleSpec
 from .evidence import build_evidence
+from .ordering import top_per_group
 
 TEXTS = (
     "check_id", "issue_type", "object_id", "title", "summary", "root_cause", "criterion",
@@ -24,9 +25,12 @@ LOW_CONFIDENCE = 0.75
 
 
 def rule_candidates(
-    exceptions: DataFrame, rule: RuleSpec, run_id: str, object_id_column: str | None = None
+    exceptions: DataFrame, rule: RuleSpec, run_id: str, object_id_column: str | None = None, position: int = 0
 ) -> DataFrame:
-    """One finding candidate with its evidence reference per exception row."""
+    """One finding candidate with its evidence reference per exception row.
+
+    ``position`` is the rule's place in the run; of candidates for one finding the first rule's comes first.
+    """
     texts = rule.finding
     # Evidence and texts come from the same row, column by column: no join is needed.
     rendered = {name: render(getattr(texts, name), exceptions) for name in RENDERED}
@@ -51,7 +55,7 @@ def rule_candidates(
         "confidence",
         F.col("result").alias("facts"),
         "tags",
-        F.expr("xxhash64(evidence_id) AS seq"),
+        F.lit(position).cast("long").alias("seq"),
         F.expr("CAST(NULL AS STRING) AS hypothesis_id"),
         F.expr(
             "struct(evidence_id, checksum, source_name, object_id, description, result AS fields, query, "
@@ -61,20 +65,16 @@ def rule_candidates(
 
 
 def dedupe_findings(candidates: DataFrame) -> DataFrame:
-    """One row per finding: texts of its first candidate, highest confidence.
+    """One row per finding: texts of its first candidate (by rule, then evidence id), highest confidence.
 
-    Only fixed-size state is aggregated; the evidence of a finding stays a table
-    of its own (:func:`finding_evidence`), so a finding with very many
-    exceptions is as cheap as any other.
+    The highest confidence is aggregated over two narrow columns.  The first candidate is a limit of one row per
+    finding, applied before the shuffle, so a finding with very many exceptions sends one row per task; its
+    evidence stays a table of its own (:func:`finding_evidence`).
     """
-    return (
-        candidates.groupBy("finding_id")
-        .agg(
-            F.min_by(F.struct(*TEXTS), F.struct("seq", "title", "summary", "facts")).alias("first"),
-            F.max("confidence").alias("confidence"),
-        )
-        .select("finding_id", "first.*", "confidence")
-    )
+    highest = candidates.groupBy("finding_id").agg(F.max("confidence").alias("confidence"))
+    order = [F.asc("seq"), F.asc("evidence.evidence_id"), F.asc("title"), F.asc("summary")]
+    first = top_per_group(candidates.drop("confidence"), ["finding_id"], order, 1, "place").select("finding_id", *TEXTS)
+    return join_on(first, highest, ["finding_id"])
 
 
 def finding_evidence(candidates: DataFrame) -> DataFrame:

@@ -106,6 +106,28 @@ def minority_rows(mapping: DataFrame, reference: DataFrame, route: RouteSpec) ->
         ~F.col("target_value").eqNullSafe(F.col("expected_value"))
     )
     rows = attach_small(base, deviating, names, null_safe=True)
+    facts = ["arity", "joined_rows", "expected_rows", "expected_value", "share", "target_value"]
+    return rows.select(*CANDIDATE_KEY, *facts, *_identified(base, route))
+
+
+def selected_rows(hypotheses: DataFrame, mapping: DataFrame, reference: DataFrame, route: RouteSpec) -> DataFrame:
+    """Run the hypotheses' selections on the sources once more: the joined rows that each one selects.
+
+    ``hypotheses`` has hypothesis_id, context, attribute and expected_value; a row is selected where its
+    context is the same and its target's attribute is not the expected one.
+    """
+    base = _joined(mapping, reference, route)
+    names = _tuple_columns(route)
+    views = base.groupBy(*names).agg(F.count("*").alias("n")).select(*names, F.inline(_views_of(route)))
+    wanted = hypotheses.select("hypothesis_id", *CANDIDATE_KEY, "expected_value")
+    selected = attach_small(views.drop("arity"), wanted, CANDIDATE_KEY).where(
+        ~F.col("target_value").eqNullSafe(F.col("expected_value")))
+    rows = attach_small(base, selected.drop(*CANDIDATE_KEY), names, null_safe=True)
+    return rows.select("hypothesis_id", "expected_value", "target_value", *_identified(base, route))
+
+
+def _identified(base: DataFrame, route: RouteSpec) -> list[Column]:
+    """Identity, object and sample of a joined row."""
     identity = F.concat_ws(
         "|", *[F.coalesce(text_of(F.col(f"id_{c}")), F.lit("None")) for c in route.id_columns]
     )
@@ -114,23 +136,33 @@ def minority_rows(mapping: DataFrame, reference: DataFrame, route: RouteSpec) ->
         F.when(F.trim(text_of(F.col(f"id_{c}"))) != "", text_of(F.col(f"id_{c}")))
         for c in (*preferred, route.mapping_key)
     ]
-    members = [
-        F.col(name).alias(name.removeprefix("id_"))
-        for name in base.columns
-    ]
-    return rows.select(
-        *CANDIDATE_KEY,
-        "arity",
-        "joined_rows",
-        "expected_rows",
-        "expected_value",
-        "share",
-        "target_value",
+    members = [F.col(name).alias(name.removeprefix("id_")) for name in base.columns]
+    return [
         identity.alias("row_id"),
         F.coalesce(*objects).alias("object_id"),
         text_of(F.col(f"id_{route.mapping_key}")).alias("target_key"),
         F.to_json(F.struct(*members), {"ignoreNullFields": "false"}).alias("sample"),
-    )
+    ]
+
+
+# A hypothesis as data: which sources to join by which keys, and which of the joined rows to select.
+ROUTE_FIELDS = (
+    ("mapping_source", "string"), ("mapping_key", "string"), ("reference_source", "string"), ("reference_key", "string"),
+    ("id_columns", "array<string>"), ("context_columns", "array<string>"), ("target_attributes", "array<string>"),
+    ("context_sizes", "array<int>"),
+)
+PREDICATE_FIELDS = ("context", "attribute", "expected_value")
+SELECTION = "struct<" + ",".join(f"{n}:{t}" for n, t in ROUTE_FIELDS) + "".join(f",{n}:string" for n in PREDICATE_FIELDS) + ">"
+
+
+def _selection(route: RouteSpec, best: Column) -> Column:
+    constants = []
+    for name, kind in ROUTE_FIELDS:
+        value = getattr(route, name)
+        constant = F.array(*[F.lit(v) for v in value]).cast(kind) if kind.startswith("array") else F.lit(value)
+        constants.append(constant.alias(name))
+    predicate = [best[name].alias(name) for name in PREDICATE_FIELDS]
+    return F.to_json(F.struct(*constants, *predicate), {"ignoreNullFields": "false"})
 
 
 def _set_fingerprint(column: Column) -> list[Column]:
@@ -203,6 +235,7 @@ def merge_outlier_candidates(candidates: DataFrame, route: RouteSpec) -> DataFra
         F.lit("OUTLIER").alias("pattern"),
         F.col("best.confidence").alias("confidence"),
         "rows_key",
+        _selection(route, F.col("best")).alias("selection"),
     )
 
 

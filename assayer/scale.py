@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,11 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def union_all(frames: Iterable[DataFrame]) -> DataFrame | None:
+    frames = list(frames)
+    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """Optimizer's upper estimate of the bytes behind ``df`` (None when unknown)."""
     jdf = getattr(df, "_jdf", None)

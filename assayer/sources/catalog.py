@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.documents import chunk_documents, chunk_id, usable_documents
 from ..operators.profile import profile_table
 from ..operators.retrieval import Embedder, embed
+from ..scale import union_all
 from ..specs import ConnectionSpec, SourceSpec, unique_sources
 from .readers import infer_format, read_documents, read_table
 
@@ -46,11 +46,6 @@ class Ingested:
     errors: dict[str, str] = field(default_factory=dict)
 
 
-def union_all(frames: Iterable[DataFrame]) -> DataFrame | None:
-    frames = list(frames)
-    return reduce(lambda a, b: a.unionByName(b), frames) if frames else None
-
-
 def ingest_catalog(
     spark: SparkSession,
     sources: Iterable[SourceSpec],

@@ -17,6 +17,7 @@ from assayer.operators.profile import profile_table
 from assayer.operators.relationships import infer_relationships
 from assayer.operators.retrieval import HashingEmbedder, embed
 from assayer.plans.run import analyze_business_logic, list_data_sources, select_rules
+from assayer.scale import union_all
 from assayer.specs import AnomalySpec, ReconcileSpec, SourceSpec, SqlSpec, TimelineSpec
 
 TEXTS = FindingTemplate("Order {id} over limit", "{v}", "limit", "?", "c", "r", "HIGH", confidence=0.9, tags=("t",))
@@ -169,6 +170,54 @@ def test_untypical_route_is_found_and_promoted(spark):
     assert missing.first()["verdict"] == "MISSING_FINDING" and not hyp.coverage_summary(missing).first()["complete"]
 
 
+def test_selections_run_on_the_sources_as_they_are(spark):
+    sources = _routes(spark)
+    profiles = union_all(profile_table(df, name) for name, df in sources.items())
+    found = analyze_business_logic(spark, sources, profiles, infer_relationships(sources)).hypotheses
+
+    def status(**changed):
+        done = hyp.investigate_hypotheses(found, sources | changed, run_id="R")
+        (row,) = done.hypotheses.collect()
+        assert done.evidence.count() == (row["investigation"] == "PROMOTED_TO_FINDING")
+        assert verify_evidence(done.evidence).isEmpty()
+        return row["investigation"], row["reproduced_rows"], row["error"]
+
+    accounts = sources["account_reference"]
+    assert status() == ("PROMOTED_TO_FINDING", 1, None)
+    mended = accounts.withColumn("asset_class", F.when(F.col("account_id") == "A10", "PHYSICAL").otherwise(F.col("asset_class")))
+    assert status(account_reference=mended) == ("NOT_REPRODUCED", 0, None)
+    worse = accounts.withColumn("asset_class", F.lit("NON_CASH"))
+    assert status(account_reference=worse)[:2] == ("PROMOTED_TO_FINDING", 10)
+    assert status(account_reference=accounts.drop("asset_class"))[0] == "ERROR"
+    failing = accounts.withColumn("asset_class", F.raise_error(F.lit("unreadable")).cast("string"))
+    assert status(account_reference=failing)[0] == "ERROR"
+    lost = hyp.investigate_hypotheses(found, {"routing_rules": sources["routing_rules"]}, run_id="R").hypotheses.first()
+    assert lost["investigation"] == "ERROR" and "account_reference" in lost["error"]
+    low = hyp.investigate_hypotheses(found, sources, run_id="R", minimum_confidence=0.999).hypotheses.first()
+    assert low["investigation"] == "BELOW_MATERIALITY_THRESHOLD" and low["finding_id"] is None
+
+
+def test_every_reference_of_a_run_is_a_stored_record(spark):
+    sources = _routes(spark)
+    rule = RuleSpec("ALL", "sql", ("processed_events",), FindingTemplate("E {event_id}", "s", "i", "r", "c", "k", "LOW"),
+                    sql=SqlSpec("SELECT * FROM {{processed_events}}", "event_id"))
+    chunks = _chunks(spark, "For asset_class PHYSICAL the target must be PHYSICAL.")
+    run = run_full_audit(spark, sources, [rule], run_id="RUN-1", chunks=chunks, make_embedder=HashingEmbedder)
+    assert verify_evidence(run.evidence).isEmpty() and run.evidence.count() == 12
+    stored = run.evidence.select("evidence_id", "checksum")
+    rows = run.finding_evidence.where("NOT constraint_match AND query IS NOT NULL").join(stored, ["evidence_id", "checksum"], "left_anti")
+    assert [r for r in rows.collect() if r["evidence_id"] and r["evidence_id"].startswith("EVD-")] == []
+    assert run.hypotheses.first()["record"]["evidence_id"] in {r["evidence_id"] for r in run.evidence.collect()}
+
+
+def test_first_rule_gives_the_texts(spark):
+    df = spark.createDataFrame([(1, 5.0)] * 5 + [(1, 7.0), (2, 9.0)], "id long, v double")
+    later = fnd.rule_candidates(df, RULE, "R", "id", 1).withColumn("title", F.lit("later"))
+    findings = fnd.dedupe_findings(later.unionByName(fnd.rule_candidates(df, RULE, "R", "id", 0)))
+    assert {r["title"] for r in findings.collect()} == {"Order 1 over limit", "Order 2 over limit"} and findings.count() == 2
+    assert "SortAggregate" not in findings._jdf.queryExecution().toString()
+
+
 def _route(**kwargs):
     return out.RouteSpec("m", "target_id", "r", "ref_id", ("type_a", "type_b"), ("class_x", "class_y"), ("rule_id",), **kwargs)
 
