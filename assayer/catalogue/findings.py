@@ -15,7 +15,7 @@ from ..operators.report import confirmed_findings, report_digest, run_summary, v
 from ..operators.timeline import timeline
 from ..plans.run import count_results, execute_rules, rule_results, run_full_audit
 from ..scale import freeze
-from ..sources.sinks import sink_evidence, sink_run_outputs
+from ..sources.sinks import sink_evidence, sink_run_outputs, stored_evidence
 from ..specs import AnomalySpec, FindingTemplate, RuleSpec, SqlSpec, TimelineSpec
 from .checks import CONTRADICTION, CONTRADICTION_SQL, STEPS, contradictions
 from .registry import query, scratch, table
@@ -113,7 +113,7 @@ def q_sink(spark, sf_dir):
     evidence = _contradiction_evidence(spark, sf_dir)
     sink_evidence(evidence, path)
     sink_evidence(evidence, path)
-    return spark.read.parquet(path).select("evidence_id", "checksum", "run_id")
+    return stored_evidence(spark, path).select("evidence_id", "checksum", "run_id")
 
 
 @query("finding_id", """

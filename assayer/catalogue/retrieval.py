@@ -15,13 +15,15 @@ from ..operators.documents import (
     document_errors,
     extract_html_text,
 )
-from ..operators.grounding import ground_findings, semantic_constraint_match
+from ..operators.grounding import ground_findings, json_leaves, semantic_constraint_match
 from ..operators.relevance import keyword_relevance
 from ..operators.retrieval import HashingEmbedder, embed, latest_vectors, metadata_filter, vector_search, vector_search_batch
 from ..plans.run import search_documents
 from ..scale import freeze
+from ..sources.readers import scan_documents
+from ..sources.vectors import ChunkIndex
 from .findings import RUN, ZSCORE_RULE
-from .registry import query, table
+from .registry import query, scratch, table
 
 # Same windows as the operator: the window ends at the last blank past its middle.
 CHUNK_SQL = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0),
@@ -81,6 +83,29 @@ def q_errors(spark, sf_dir):
     return failed.select("page_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"))
 
 
+@query("scan_documents", HTML_SQL.replace("SELECT page_id, trim(", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'UnicodeDecodeError' END AS kind, CASE WHEN page_id % 10 <> 0 THEN trim(")
+       .replace("chr(160))) AS text FROM t", "chr(160))) END AS text FROM t"))
+def q_scan_documents(spark, sf_dir):
+    """The pages written as one file each; every tenth ends within a letter."""
+    cut = F.concat("html", F.expr("string(unhex('E282'))"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 == 0, cut).otherwise(F.col("html")).alias("value"))
+    path = scratch(spark)
+    pages.repartition("page_id").write.option("lineSep", "\u0020").partitionBy("page_id").text(path)
+    found = scan_documents(spark, path, document_format="html")
+    page = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id")
+    return found.select(page, F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"), "text")
+
+
+@query("json_leaves", """SELECT event_id, concat('b ', event_type, '|', user_id, '|x:"y"\\|true|', event_type, '|', json_extract_string(props, '$.k')) AS leaves FROM events""")
+def q_leaves(spark, sf_dir):
+    """Values of nested objects and lists, whatever their depth."""
+    inner = F.struct(F.concat(F.lit("b "), "event_type").alias("b"), F.array(F.struct(F.col("user_id").alias("u"), F.lit(None).cast("string").alias("n"))).alias("l"))
+    nested = F.struct(F.array(F.array(inner)).alias("a:"), F.array(F.lit('x:"y"\\')).alias("q"), F.struct(F.struct(F.lit(True).alias("t")).alias("s")).alias("s"),
+                      F.create_map(F.lit("k"), F.col("event_type")).alias("m"), F.from_json("props", "k int").alias("p"))
+    text = F.to_json(nested, {"ignoreNullFields": "false"})
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(json_leaves(text), "|").alias("leaves"))
+
+
 @query("detect_changed_documents", "SELECT doc_id, n_chars FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
 def q_changed(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
@@ -194,6 +219,20 @@ def q_upsert(spark, sf_dir):
     return latest_vectors(written, "vec_id", "version").select("vec_id", "label", "version")
 
 
+@query("reindex_chunks", CHUNK_SQL + """SELECT doc_id, chunk_index, start_char, end_char, text, 64 AS dimension,
+CASE WHEN doc_id % 10 = 0 OR doc_id % 17 = 3 THEN 2 ELSE 1 END::BIGINT AS generation FROM c""")
+def q_reindex(spark, sf_dir):
+    """An index of an earlier state, brought up to the documents: a tenth changed, some new, some gone."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    earlier = documents.where("doc_id % 17 <> 3").withColumn(
+        "text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Earlier words. "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    gone = documents.where("doc_id % 13 = 5").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index = ChunkIndex(spark, scratch(spark), buckets=16)
+    index.reindex(earlier.unionAll(gone), HashingEmbedder)
+    index.reindex(documents, HashingEmbedder)
+    return index.read().select("doc_id", "chunk_index", "start_char", "end_char", "text", F.size("embedding").alias("dimension"), "generation")
+
+
 def embedded_chunks(spark, sf_dir):
     chunks = chunk_documents(table(spark, sf_dir, "documents"), "doc_id")
     chunks = chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"))).withColumn("source_id", F.col("doc_id").cast("string"))

@@ -70,11 +70,26 @@ def grounding_queries(findings: DataFrame, request: str) -> DataFrame:
     )
 
 
+# A JSON text's tokens: strings, with the colon where they are keys, and bare values.
+TOKEN_PATTERN = r'("(?:[^"\\]|\\.)*+"\s*:?|[^\s,:{}\[\]"]++)'
+
+
+def json_leaves(text: Column) -> Column:
+    """The texts of all values of a JSON text, at any depth, in their order; keys and null are left out.
+
+    A text that is not an object or a list is its own only value.  The tokens are cut out in one scan and
+    read as one flat list, so depth costs nothing.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN))
+    values = F.filter(tokens, lambda t: ~F.endswith(t, F.lit(":")) & (t != "null"))
+    leaves = F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")
+    nested = F.ltrim(text).startswith("{") | F.ltrim(text).startswith("[")
+    return F.when(nested, F.coalesce(leaves, F.array(text))).when(text.isNotNull(), F.array(text))
+
+
 def _json_values(column: Column, path: str) -> Column:
-    """Leaf texts of a JSON object or scalar at ``path`` of a JSON text."""
-    raw = F.get_json_object(column, path)
-    entries = F.map_values(F.from_json(raw, "map<string,string>"))
-    return F.when(raw.startswith("{"), F.coalesce(entries, F.array(raw))).otherwise(F.array(raw))
+    """Leaf texts of the JSON value at ``path`` of a JSON text; what is empty in itself (false, 0) says nothing."""
+    return F.filter(json_leaves(F.get_json_object(column, path)), lambda v: ~v.rlike(r"^(false|-?0+([.]0+)?)$"))
 
 
 def ground_findings(

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.documents import chunk_documents, chunk_id, usable_documents
+from ..operators.documents import chunk_documents, chunk_id, document_errors, usable_documents
 from ..operators.profile import profile_table
 from ..operators.retrieval import Embedder, embed
 from ..scale import union_all
@@ -43,6 +43,7 @@ class Ingested:
     frames: dict[str, DataFrame] = field(default_factory=dict)
     profiles: DataFrame | None = None
     chunks: DataFrame | None = None
+    document_errors: DataFrame | None = None
     errors: dict[str, str] = field(default_factory=dict)
 
 
@@ -59,11 +60,11 @@ def ingest_catalog(
 ) -> Ingested:
     """Register and profile every enabled table, chunk and embed every document.
 
-    The loop is over sources; each one only adds to lazy plans.  A source that
-    cannot be read is recorded and skipped.
+    The loop is over sources.  A source that cannot be read is recorded and skipped; a document that cannot be read is a
+    row of ``document_errors``, and the others of its source go on.  Chunks keep their document's metadata.
     """
     result = Ingested()
-    profiles, chunks = [], []
+    profiles, chunks, failed = [], [], []
     for source in unique_sources(sources):
         if not source.enabled:
             continue
@@ -85,18 +86,20 @@ def ingest_catalog(
                     )
                 )
             else:
-                documents = usable_documents(read_documents(spark, source))
-                # The key carries id and path; both travel with the chunk.
-                keyed = documents.withColumn("document", F.to_json(F.struct("source_id", "path")))
+                # Read, decoded and written once: what can't be read at run time is a row here.
+                documents = read_documents(spark, source)
+                failed.append(document_errors(documents, "path").select(F.lit(source.source_id).alias("source_id"), "path", "error"))
+                # The key carries id, path and metadata; all travel with the chunk.
+                keyed = usable_documents(documents).withColumn("document", F.to_json(F.struct("source_id", "path", "metadata")))
                 parts = chunk_documents(keyed, "document", size=chunk_size, overlap=chunk_overlap)
-                identified = parts.select(
-                    F.get_json_object("document", "$.source_id").alias("source_id"),
-                    F.get_json_object("document", "$.path").alias("path"),
-                    *[c for c in parts.columns if c != "document"],
+                described = F.from_json("document", "source_id string, path string, metadata map<string,string>")
+                identified = parts.withColumn("d", described).select(
+                    "d.source_id", "d.path", *[c for c in parts.columns if c != "document"], "d.metadata",
                 ).withColumn("chunk_id", chunk_id(F.concat_ws(":", "source_id", "path")))
                 chunks.append(embed(identified, "text", make_embedder))
         except Exception as error:  # noqa: BLE001 - one bad source must not stop the rest
             result.errors[source.source_id] = f"{type(error).__name__}: {error}"
     result.profiles = union_all(profiles)
     result.chunks = union_all(chunks)
+    result.document_errors = union_all(failed)
     return result

@@ -6,11 +6,13 @@ import codecs
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import nan_to_null
 from ..operators.documents import extract_html_text, tidy_text
+from ..scale import join_on, spread, stored
 from ..specs import ConnectionSpec, SourceSpec
 
 # File extensions and what they hold.
@@ -154,17 +156,48 @@ def scan_jdbc(spark: SparkSession, spec: SourceSpec, connections: Mapping[str, C
     return spark.read.format("jdbc").options(**jdbc_options(spec, connections, **kwargs)).load()
 
 
+def decoded(content: Column, encoding: str) -> Column:
+    """Struct of ``text`` and ``error``: bytes that are not in the encoding give an error, not a failed job."""
+    name = codecs.lookup(encoding).name
+
+    @F.pandas_udf("text string, error string")
+    def decode(bodies: pd.Series) -> pd.DataFrame:
+        rows = []
+        for body in bodies:
+            try:
+                text = None if body is None else bytes(body).decode(name).removeprefix("\ufeff")
+                rows.append((text, None if body is not None else "TypeError: no content"))
+            except UnicodeError as error:
+                rows.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return decode(content)
+
+
 def scan_documents(
     spark: SparkSession, path: str, *, document_format: str = "text", encoding: str = "utf-8"
 ) -> DataFrame:
-    """Whole files: ``path``, ``length``, ``modificationTime``, ``text``, ``error``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    body = F.decode("content", charset(encoding))
+    """Whole files: ``path``, ``length``, ``modificationTime``, ``text``, ``error``.
+
+    Every file has a row, but for empty ones, which the file source leaves out.  One whose bytes are not in the encoding, whose page can't be parsed, or that vanished
+    or could not be read to its end keeps NULL as text and says why in ``error``.  The files are read
+    once, here; what was read is written down, and later steps read that.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    state = ["path", "length", "modificationTime"]
+    listed = reader.load(path).select(*state)
+    bodies = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
+    files = spread(bodies).select(*state, decoded(F.col("content"), encoding).alias("d"))
+    texts = files.select(*state, F.col("d.text").alias("html"), F.col("d.error").alias("undecoded"))
     if document_format == "html":
-        return extract_html_text(files.select("path", "length", "modificationTime", body.alias("html")))
-    return files.select(
-        "path", "length", "modificationTime", tidy_text(body).alias("text"), F.lit(None).cast("string").alias("error")
-    )
+        texts = extract_html_text(texts)
+    else:
+        texts = texts.select(*state, "undecoded", tidy_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("error"))
+    read = stored(texts.select(*state, F.when(F.col("undecoded").isNull(), F.col("text")).alias("text"),
+                               F.coalesce("undecoded", "error").alias("error")))
+    lost = join_on(listed, read.select("path"), ["path"], "left_anti").select(
+        *state, F.lit(None).cast("string").alias("text"), F.lit("OSError: the file could not be read").alias("error"))
+    return read.unionByName(lost)
 
 
 def read_table(
@@ -208,6 +241,6 @@ def read_documents(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     return docs.withColumns(
         {
             "source_id": F.lit(spec.source_id),
-            "metadata": F.map_concat(literal, F.create_map(F.lit("location"), F.col("path"))),
+            "metadata": F.map_concat(F.map_filter(literal, lambda k, _: k != "location"), F.create_map(F.lit("location"), F.col("path"))),
         }
     )
