@@ -95,7 +95,7 @@ def q_iqr(spark, sf_dir):
 @query("anomaly_iqr_bracketed", IQR_SQL)
 def q_iqr_bracketed(spark, sf_dir):
     """The form used at scale: brackets that narrow to the wanted ranks."""
-    found = iqr_outliers(table(spark, sf_dir, "events"), IQR, gathered_rows=50)
+    found = iqr_outliers(table(spark, sf_dir, "events"), IQR, gathered_rows=500)
     return _rounded(found, "event_id", "event_type", "value", numbers=("q1", "q3", "anomaly_score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import quoted
-from ..scale import HOT_GROUP_ROWS, checked_broadcast, freeze, join_on, stored
+from ..scale import HOT_GROUP_ROWS, checked_broadcast, join_on, stored
 
 # Rounds of narrowing stop where a bracket holds at most this many rows.
 GATHERED_ROWS = 1_000_000
@@ -36,7 +36,7 @@ def previous_values(
     runs per range, and the first row of a range takes its values from the last row of the range before.
     """
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = freeze(groups.where(F.col("__rows") > max_group_rows))
+    hot = stored(groups.where(F.col("__rows") > max_group_rows))
     total = hot.agg(F.sum("__rows")).first()[0]
     if total is None:
         return _lag(df, keys, time, tie_breakers, values)
@@ -107,7 +107,7 @@ def grouped_quantiles(
     """
     keys = list(groups)
     data = df.select(*keys, F.col(quoted(value)).cast("double").alias("__v")).where("__v IS NOT NULL")
-    counts = freeze(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    counts = stored(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
                     .where(F.col("__n") > gathered_rows))
     builtin = [F.percentile("__v", q).alias(name) for name, q in quantiles.items()]
     if counts.isEmpty():
@@ -156,7 +156,7 @@ def _selected(data: DataFrame, counts: DataFrame, keys: list[str], quantiles: di
             rank.alias(target.rank), F.col("__min").alias(target.low), F.col("__max").alias(target.high),
             F.lit(0).cast("long").alias(target.below), F.col("__n").alias(target.inside))])
     while True:
-        state = freeze(state)
+        state = stored(state)
         open_ = state.agg(*[F.count_if(t.open(limit)) for t in targets]).first()
         still = [t for t, n in zip(targets, open_) if n]
         if not still:
@@ -189,10 +189,10 @@ def _narrowed(data: DataFrame, state: DataFrame, keys: list[str], targets: list[
             place = F.greatest(F.lit(1), F.least(F.lit(CELLS + 1), cell + 1 + shift))
             cuts.append(F.try_element_at(f"__grid{t.number}", place).alias(f"__{name}{t.number}"))
     if keys:
-        bounds = freeze(join_on(state, sketch, keys, null_safe=True).select(*state.columns, *cuts))
+        bounds = stored(join_on(state, sketch, keys, null_safe=True).select(*state.columns, *cuts))
     else:
         one = state.select(F.struct("*").alias("s")).scalar()
-        bounds = freeze(sketch.withColumn("__s", one).select("__s.*", *sketch.columns).select(*state.columns, *cuts))
+        bounds = stored(sketch.withColumn("__s", one).select("__s.*", *sketch.columns).select(*state.columns, *cuts))
     rows, v, counted = _with_state(data, bounds, keys), F.col("__v"), []
     for t in targets:
         left, middle, right = (F.col(f"__{name}{t.number}") for name in ("left", "middle", "right"))

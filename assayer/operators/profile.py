@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,40 +42,35 @@ def _nested(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.ArrayType, T.StructType))
 
 
-def distinct_counts(df: DataFrame, names: Sequence[str], *, one_scan: bool = False) -> DataFrame:
-    """Exact number of distinct non-NULL values per column: rows of (name, n).
+# Columns that share one scan; wider tables take one more scan for each further batch.
+COLUMN_BATCH = 48
 
-    Columnar sources are counted column by column: each branch reads, combines
-    and shuffles one narrow typed column, and together they read the table once.
-    With ``one_scan`` (text formats) every row is parsed once and its cells are
-    grouped as (column, text).
-    """
-    fields = {f.name: f for f in df.schema.fields}
-    if one_scan:
-        cells = F.array(
-            *[F.struct(F.lit(n).alias("name"), _cell_text(fields[n]).alias("value")) for n in names]
-        )
-        return (
-            df.select(F.inline(cells))
-            .where("value IS NOT NULL")
-            .groupBy("name", "value")
-            .agg(F.lit(1).alias("one"))
-            .groupBy("name")
-            .agg(F.count("*").alias("n"))
-        )
-    result = None
-    for name in names:
-        values = df.select(_comparable(fields[name]).alias("v")).where("v IS NOT NULL").distinct()
-        part = values.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        result = part if result is None else result.unionByName(part)
-    return result
 
+def distinct_counts(df: DataFrame, names: Sequence[str], *, rows: bool = False) -> DataFrame:
+    """Exact number of distinct non-NULL values per column: rows of (name, n); of whole rows as name "" with ``rows``.
 
-def _cell_text(field: T.StructField) -> Column:
+    A row becomes one (column, 128-bit digest of the typed value) cell for each column, and equal cells are combined before the one
+    shuffle; scans and exchanges do not grow with the columns, but by batches of ``COLUMN_BATCH``.
+    """
+    fields = {f.name: f for f in df.schema.fields}
+    digests = [_value_digest(fields[n]) for n in names] + ([row_digest(df)] if rows else [])
+    cells = [F.struct(F.lit(i).alias("place"), a.alias("d0"), b.alias("d1")) for i, (a, b) in enumerate(digests)]
+    shown = F.array(*[F.lit(n) for n in (*names, "")])
+    parts = []
+    for start in range(0, len(cells), COLUMN_BATCH):
+        exploded = df.select(F.inline(F.array(*cells[start:start + COLUMN_BATCH]))).where("d0 IS NOT NULL")
+        parts.append(exploded.distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n")))
+    return reduce(DataFrame.unionAll, parts).select(F.get(shown, "place").alias("name"), "n")
+
+
+def _value_digest(field: T.StructField) -> list[Column]:
+    """Two differently seeded hashes of a value, NULL for a missing one."""
     column = _comparable(field)
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         column = column + F.lit(0.0)  # -0.0 and 0.0 are one value
-    return F.to_json(column) if _nested(field.dataType) and not _holds_map(field.dataType) else column.cast("string")
+    if isinstance(field.dataType, T.VariantType) or (_nested(field.dataType) and not _holds_map(field.dataType)):
+        column = F.to_json(column)
+    return [F.when(column.isNotNull(), F.xxhash64(F.lit(seed), column)) for seed in (1, 2)]
 
 
 def row_digest(df: DataFrame) -> list[Column]:
@@ -107,13 +103,11 @@ def profile_table(
     expected_fields: Sequence[str] = (),
     primary_key: Sequence[str] = (),
     approx: bool = False,
-    one_scan: bool = False,
 ) -> DataFrame:
     """One row per column, with the table's own counts repeated on each row.
 
     Counts, NULLs and bounds come from one pass without a shuffle of rows.
-    Distinct values are exact (:func:`distinct_counts`); duplicate rows are
-    found by digest.  ``approx=True`` replaces both by mergeable sketches in
+    Distinct values and duplicate rows are counted by digest in one more (:func:`distinct_counts`).  ``approx=True`` replaces both by mergeable sketches in
     that same pass, for tables too wide or large for exact distinct counts.
     """
     fields = df.schema.fields
@@ -131,9 +125,7 @@ def profile_table(
             aggregates += [F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}")]
     totals = df.agg(*aggregates)
     if not approx:
-        rows = df.select(*row_digest(df)).distinct().agg(F.count("*").alias("n"))
-        counts = distinct_counts(df, [f.name for f in fields], one_scan=one_scan)
-        totals = _with_counts(totals, counts.unionByName(rows.select(F.lit("").alias("name"), "n")), fields)
+        totals = _with_counts(totals, distinct_counts(df, [f.name for f in fields], rows=True), fields)
     if keyed:
         extra = check_primary_key(df, primary_key).select("duplicate_count").scalar()
     else:
