@@ -11,9 +11,12 @@ templates.  Everything runs as DataFrame operations and Spark's own ML stages.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import xxhash
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -57,7 +60,8 @@ UNKNOWN = "unknown"
 CUE = (r"(?i)licen[cs]|lizenz|copyright|permission|redistribut|public domain|rights reserved|GPL(?:\b|v?[23])|\bCC0\b|\bCC[ -]BY\b|\bSPDX\b"
        r"|\bApache[ -]2|under (?:the )?(?:MIT|BSD|ISC)\b")
 # Words of a window, between the starts of two windows, and around a window in which templates are looked for.
-WINDOW, STEP, AROUND = 16, 8, 16
+STEP, AROUND = 8, 16
+WINDOW = 2 * STEP
 NARROW, NARROW_STEP, NARROW_AROUND = 8, 4, 4
 PARAGRAPH = r"\r?\n[ \t\r\f]*\n\s*"
 # N-grams in so many training rows at least are features.
@@ -68,6 +72,8 @@ NAMED_VARIANTS = 6
 SAMPLE_ROWS = 400
 DRAWN_ROWS = 8 * SAMPLE_ROWS
 CONFIRMING_SHARE = 0.6
+# Slots (a power of two) of the table of words' bounds; words that share one take the greater bound.
+WORD_SLOTS = 1 << 15
 # Without a cue word or a confirmed family, ``none`` must be less probable than this in licence language.
 NONE_AT_MOST = 0.1
 TEMPERATURES = [0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0]
@@ -109,6 +115,34 @@ class LicenceModel:
         return scored.withColumn("family", family)
 
 
+    def word_bounds(self) -> tuple[list[float], float]:
+        """How much a word can speak for some licence and against ``none``, by its hash, and how much a window needs.
+
+        The most that a word adds to a family's lead over ``none`` is counted for it, and that of a pair for the
+        word of it that adds more by itself, or half for each where neither adds anything.  The sum over a window's words
+        is therefore at least the lead of any family, less the lead of the intercepts: a window below it is ``none``.
+        """
+        weights = self.regression.coefficientMatrix.toArray()
+        intercepts = self.regression.interceptVector.toArray()
+        lead = np.maximum((weights[1:] - weights[0]).max(axis=0), 0.0)
+        known = dict(zip(self.vectorizer.vocabulary, lead.tolist()))
+        alone = {gram: x for gram, x in known.items() if x > 0 and " " not in gram}
+        paired: tuple[dict[str, float], dict[str, float]] = ({}, {})
+        for gram, x in known.items():
+            if x > 0 and " " in gram:
+                both = gram.split(" ")
+                first, second = (alone.get(w, 0.0) for w in both)
+                shares = (0.5, 0.5) if first == second == 0 else (float(first > second), float(first <= second))
+                for side, word, share in zip(paired, both, shares):
+                    side[word] = max(side.get(word, 0.0), x * share)
+        needed = float(-(intercepts[1:] - intercepts[0]).max())
+        table = [0.0] * WORD_SLOTS
+        for word in alone.keys() | paired[0].keys() | paired[1].keys():
+            slot = xxhash.xxh64_intdigest(word.encode(), 42) % WORD_SLOTS
+            table[slot] = max(table[slot], alone.get(word, 0.0) + paired[0].get(word, 0.0) + paired[1].get(word, 0.0))
+        return table, needed - 1e-6
+
+
 def _softmax(raw: Column, temperature: float) -> Column:
     top = F.array_max(raw)
     powers = F.transform(raw, lambda x: F.exp((x - top) / temperature))
@@ -177,15 +211,35 @@ def train(docs: DataFrame) -> LicenceModel:
     return LicenceModel(vectorizer, fitted, families, temperature, threshold)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, cue, around, at): every window of every paragraph, as the words around it and where among them it starts.
+def windows(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """(doc_id, cue, around, at): windows of every paragraph, as the words around them and where among them they start.
 
-    ``cue`` says that its paragraph has a word of licence language.
+    ``cue`` says that its paragraph has a word of licence language.  A window of another paragraph whose words can't lift any
+    family above ``none`` has the family ``none`` (see :meth:`LicenceModel.word_bounds`) and is left out: the
+    regression would say the same.  One lookup per word of the paragraph decides that for all windows that share it.
+    A paragraph's words lie in one row.
     """
+    table, needed = model.word_bounds()
+    bounds = F.split(F.lit(",".join(f"{math.ceil(x * 1000) / 1000:g}" for x in table)), ",").cast("array<double>")
+
+    def most(word: Column) -> Column:
+        return F.get(bounds, F.xxhash64(word).bitwiseAND(F.lit(WORD_SLOTS - 1)).cast("int"))
+
     paragraphs = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", PARAGRAPH)).alias("paragraph"))
     tokens = paragraphs.select("doc_id", F.col("paragraph").rlike(CUE).alias("cue"), words(F.col("paragraph")).alias("words"))
+    # Not deterministic by name only, so that the words are not cut out again for each use.
+    tokens = tokens.withColumn("words", F.when(F.spark_partition_id() >= 0, F.col("words"))).where(F.size("words") > 0)
+    blocks = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STEP)), lambda i: F.aggregate(
+        F.slice("words", i + 1, STEP), F.lit(0.0), lambda total, word: total + most(word)))
+    weighed = tokens.withColumn("most", F.when(F.spark_partition_id() >= 0, blocks))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - STEP - 1), F.lit(STEP))
-    return tokens.where(F.size("words") > 0).select("doc_id", "cue", F.explode(F.transform(starts, lambda i: F.struct(
+
+    def able(i: Column) -> Column:
+        """A window is two blocks."""
+        block = F.floor(i / STEP).cast("int")
+        return F.col("cue") | (F.get("most", block) + F.coalesce(F.get("most", block + 1), F.lit(0.0)) > needed)
+
+    return weighed.select("doc_id", "cue", F.explode(F.transform(F.filter(starts, able), lambda i: F.struct(
         F.slice("words", F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i, F.lit(AROUND)) + WINDOW + AROUND).alias("around"),
         F.least(i, F.lit(AROUND)).alias("at")))).alias("w")).select("doc_id", "cue", "w.*")
 
@@ -220,7 +274,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFra
     """
     docs = docs.select("doc_id", "text")
     model = model or train(docs)
-    seen = model.scored(windows(docs).withColumn("tokens", F.slice("around", F.col("at") + 1, WINDOW)))
+    seen = model.scored(windows(docs, model).withColumn("tokens", F.slice("around", F.col("at") + 1, WINDOW)))
     found = seen.where((F.col("family") != NONE) | (F.col("cue") & F.concat_ws(" ", "tokens").rlike(CUE)))
     units = model.scored(found.select("doc_id", F.explode(_narrower()).alias("u")).select("doc_id", "u.*"))
     calibrated = _softmax(F.col("raw"), model.temperature)
