@@ -3,7 +3,7 @@
 The index is a Parquet table bucketed and sorted by the SHA-256 of the text with
 all ASCII white space deleted.  A new batch is reduced to one row per digest,
 meets the index in a sort-merge anti-join that moves only the batch (the index
-already lies in its buckets), and what is new is appended.  Texts never move.
+already lies in its buckets), and what is new is appended.  ``add`` moves digests and ids, no texts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import stored
+from ..sources.versions import Conflict, Versions
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -26,12 +27,17 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """Digests of all texts seen so far, in a folder that outlives the session.
 
-    ``path`` must be in storage that all executors share.  ``buckets`` is fixed when
-    the folder is first written; about one bucket per GB of digests (10^7 texts) keeps a
+    ``path`` must be in storage that all executors share.  ``buckets`` and ``id_type`` are fixed when
+    the folder is first written and kept beside the data: reopened with another number of buckets, the index keeps its
+    own; with another type of ids it raises.  About one bucket per GB of digests (10^7 texts) keeps a
     merge task small.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64, id_type: str = "bigint"):
+        layout = self._layout(Versions(spark, path), {"buckets": buckets, "id_type": id_type})
+        if layout["id_type"] != id_type:
+            raise ValueError(f"the index below {path} has ids of type {layout['id_type']}, not {id_type}")
+        buckets = layout["buckets"]
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
@@ -39,6 +45,18 @@ class DigestIndex:
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @staticmethod
+    def _layout(versions: Versions, wanted: dict) -> dict:
+        """What the folder was first written with; ``wanted`` where it is new."""
+        number, layout = versions.current()
+        if number:
+            return layout
+        try:
+            versions.publish(0, wanted)
+            return wanted
+        except Conflict:
+            return versions.current()[1]
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 

@@ -68,8 +68,22 @@ def test_exact_dedup(spark, docs, empty):
     assert not any(r.kept for r in later) and index.rows().count() == len(groups)
     assert index.add(empty, "none").count() == 0
     assert keep_first_copies(docs, DigestIndex(spark, scratch_path(spark)), "x").count() == len(groups)
-    reopened = DigestIndex(spark, index.path, buckets=4)
-    assert reopened.rows().count() == len(groups)
+    for buckets in (4, 16, 1):
+        reopened = DigestIndex(spark, index.path, buckets=buckets)
+        assert reopened.buckets == 4 and reopened.rows().count() == len(groups)
+        assert not any(r.kept for r in reopened.add(docs, f"with {buckets}").collect())
+    with pytest.raises(ValueError):
+        DigestIndex(spark, index.path, id_type="string")
+
+
+def test_a_reopened_index_knows_all_texts(spark):
+    texts = spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    path = scratch_path(spark)
+    assert DigestIndex(spark, path, buckets=4).add(texts, "one").where("kept").count() == 200
+    more = texts.unionAll(texts.selectExpr("doc_id + 1000", "concat('new ', text)"))
+    again = DigestIndex(spark, path, buckets=16).add(more, "two").collect()
+    assert {r.doc_id for r in again if r.kept} == set(range(1000, 1200))
+    assert all(r.keep_id == r.doc_id and r.group_size == (2 if r.doc_id < 1000 else 1) for r in again)
 
 
 def test_quality(docs, empty):
