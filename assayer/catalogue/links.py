@@ -250,7 +250,7 @@ _EVEN_SQL = (
 
 
 @query("rerun_hypotheses", f"WITH {MINORITY_SQL}{_MERGED_SQL}, x AS (SELECT *, {_EVEN_SQL} AS n FROM h) SELECT context, attribute, "
-       "CASE WHEN confidence < 0.8 THEN 0 ELSE n END AS reproduced_rows, "
+       "n AS reproduced_rows, "
        "CASE WHEN confidence < 0.8 THEN 'BELOW_MATERIALITY_THRESHOLD' WHEN n = 0 THEN 'NOT_REPRODUCED' ELSE 'PROMOTED_TO_FINDING' END AS investigation FROM x "
        "UNION ALL SELECT context, attribute, 0, CASE WHEN confidence < 0.8 THEN 'BELOW_MATERIALITY_THRESHOLD' ELSE 'ERROR' END FROM x")
 def q_rerun(spark, sf_dir):

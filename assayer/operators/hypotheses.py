@@ -36,7 +36,7 @@ class Investigation:
 def investigate_hypotheses(
     hypotheses: DataFrame, sources: Mapping[str, DataFrame], *, run_id: str, minimum_confidence: float = 0.8
 ) -> Investigation:
-    """Run the selection of every material hypothesis on the sources again and say what became of it.
+    """Run the selection of every hypothesis on the sources again and say what became of it.
 
     A hypothesis carries its selection as data (sources, keys and predicate, see
     :data:`~assayer.operators.outliers.SELECTION`); nothing found before is used.  The status is
@@ -50,7 +50,7 @@ def investigate_hypotheses(
     asked = hypotheses.select(
         "hypothesis_id", "confidence", F.from_json("selection", out.SELECTION).alias("s"),
     ).withColumn("route", F.to_json(F.struct(*[F.col(f"s.{name}") for name, _ in out.ROUTE_FIELDS])))
-    asked = freeze(asked.where(F.col("confidence") >= minimum_confidence))
+    asked = freeze(asked)
     found, errors = [], []
     for row in asked.select("route").distinct().orderBy("route").collect():
         try:

@@ -6,7 +6,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -20,6 +19,8 @@ from ..scale import freeze, measured_bytes
 from .ordering import top_per_group
 
 EMBED_BATCH = 16
+# Words whose codes an embedder remembers.
+KNOWN_WORDS = 1 << 16
 # Query vectors shipped to every task, and rows of one block of the blocked form.
 MAX_SHIPPED_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4096
@@ -31,7 +32,6 @@ class Embedder(Protocol):
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
-@lru_cache(maxsize=1 << 16)
 def _word_code(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big")
 
@@ -44,12 +44,21 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
+        self._codes: dict[str, int] = {}
+
+    def _code(self, word: str) -> int:
+        code = self._codes.get(word)
+        if code is None:
+            if len(self._codes) >= KNOWN_WORDS:
+                self._codes.clear()
+            code = self._codes[word] = _word_code(word)
+        return code
 
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
         result = np.zeros((len(texts), self.dimension))
         for row, text in zip(result, texts):
             for word, times in Counter(re.findall(r"\w+", text.lower())).items():
-                code = _word_code(word)
+                code = self._code(word)
                 row[code % self.dimension] += times if code & (1 << 31) else -times
             norm = np.linalg.norm(row)
             if norm:
