@@ -296,6 +296,77 @@ def test_html_template_text_is_left_out(spark):
     assert got == {**{i: f"story {i}" for i in range(6)}, 6: ""}
 
 
+def test_html_names_count_as_a_whole():
+    page = """<article><div class="header"><h1 id="search-algorithms">Search algorithms</h1></div><section id="related-work" aria-label="form of
+    the tree">Related <math><mi>x</mi></math></section><div class="social-history">Past</div><div class="share-buttons">Share</div><div class=adSlot2>Buy
+    </div><p title="class=ad" data-id="comments">Kept</p><div id="comments">Me too</div></article><div class=related><article>No</article></div>"""
+    assert html_extraction.main_text(page) == "Search algorithms\nRelated x\nPast\nKept\nNo"
+    assert html_extraction.main_text('<p>a<!-->b<!-- x --!>c<a href="x"">d</a> e') == "abcd e"
+
+
+def test_html_of_any_depth_is_read_in_linear_time():
+    for page in ("<div>" * 80_000, "<div>" * 40_000 + "</p>" * 40_000, "<a " * 100_000 + '"', "<b =\"" * 60_000, "<!" * 100_000, "<i>" * 50_000 + "</i>" * 50_000):
+        assert html_extraction.main_text(f"kept{page}").startswith("kept")
+
+
+def brute_main_texts(pages):
+    """Templates by comparing whole occurrence vectors of the different pages of a host."""
+    hosts = defaultdict(set)
+    for _, host, page in pages:
+        hosts[host].add(page or "")
+    known = {}
+    for host, different in hosts.items():
+        vectors, places = defaultdict(dict), defaultdict(list)
+        for page in different:
+            for order, (kind, text, place, _, _) in enumerate(html_extraction.page_tokens(page)):
+                if kind == "<" or kind == "t" and text.strip():
+                    token = (kind, place, text.strip() if kind == "t" else "")
+                    if page not in vectors[token]:
+                        places[token].append(order)
+                    vectors[token][page] = vectors[token].get(page, 0) + 1
+        template = [t for t, v in vectors.items() if len(v) >= 3 and 10 * len(v) >= 9 * len(different)]
+        template.sort(key=lambda t: sum(places[t]) / len(places[t]))
+        spans = defaultdict(list)
+        for order, token in enumerate(template):
+            spans[frozenset(vectors[token].items())].append(order)
+        cuts = [1 for a in spans.values() for b in spans.values() if a[0] < b[0] <= a[-1] < b[-1]]
+        assert not cuts  # the classes of these pages nest
+        known[host] = {t: len(vectors[t]) for t in template}
+    texts = {}
+    for page_id, host, page in pages:
+        found = defaultdict(list)
+        block = defaultdict(str)
+        for kind, text, place, outside, main in [*html_extraction.page_tokens(page or ""), ("|", "", 0, False, False)]:
+            if kind == "|":
+                for key, value in block.items():
+                    if value.split():
+                        found[key].append(" ".join(value.split()))
+                block.clear()
+            elif kind == "t" and not outside:
+                block[main, False] += text
+                if known[host].get((kind, place, text.strip()), 0) < (8 if main else 1) or not text.strip():
+                    block[main, True] += text
+        texts[page_id] = "\n".join(found[True, True] or found[True, False] or found[False, True] or found[False, False])
+    return texts
+
+
+def test_html_templates_against_brute_force(spark):
+    whole = "<html><body><div>Site</div><article><h1>T{0}</h1><div class=x1>Share this on our channels</div><p>Story {0}</p></article><div>End</div></body></html>"
+    bare = "<body><div>Slogan</div><p>Story {0}</p><ul><li>a{0}</ul><div>Made with care</div>"
+    rows = [(i, "http://eight.example/", whole.format(i)) for i in range(9)]
+    rows += [(20 + i, "http://few.example/", whole.format(i)) for i in range(4)]
+    rows += [(30 + i, "http://copies.example/", whole.format(0)) for i in range(12)]
+    rows += [(50 + i, "http://bare.example/", bare.format(i)) for i in range(5)] + [(60, "http://bare.example/", bare.format(0))] * 2
+    rows += [(70 + i, "http://lone.example/", "<div><p>Whole unique story</p></div>") for i in range(4)]
+    rows += [(80, None, None), (81, None, ""), (82, "", "<p>x")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit("t"))
+    got = {r.page_id: r for r in html_extraction.extract_main_text(table.repartition(5)).collect()}
+    texts = brute_main_texts([(i, url, page) for i, url, page in rows])
+    assert {i: r.text for i, r in got.items()} == texts and all(r.n_chars == len(r.text) for r in got.values())
+    assert texts[0] == "T0\nStory 0" and "Share this" in texts[20] and texts[70] == "Whole unique story" and texts[50] == "Story 0\na0"
+    assert html_extraction.extract_main_text(table.limit(0)).count() == 0
+
+
 def test_licences(spark, sf_dir):
     corpus = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = licenses.train(corpus)
