@@ -1,8 +1,8 @@
 """Removing repeated windows of bytes: suffixes ordered through a fixed depth only.
 
 Suffixes are told apart by their first ``WINDOW`` bytes and no further, in passes over
-ever finer digits; the most significant bits of a digit deal its holders to tasks, and
-equal groups after the last pass are exactly the repeated windows.
+ever finer digits; ranges of a digit deal its holders to tasks, evenly, and
+equal groups after the last pass are the repeated windows.  Digits are hashes, not the bytes themselves.
 
 * A window's first digit is its anchor: the ``GRAM``-byte string in it with the least
   hash.  Equal windows have equal anchors, and some 15 neighbouring windows share one,
@@ -36,7 +36,10 @@ GRAM = 20
 SLICE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
-FACTOR = 0x9E3779B97F4A7C15
+FACTORS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+# Bytes sent of an anchor's digits (anchor, context, context) and of a window's two hashes.
+ANCHOR_SIZES = [5, 8, 8]
+WINDOW_SIZES = [8, 8]
 KEY_SCHEMA = "part long, unit long, n long, keys binary"
 
 
@@ -77,36 +80,63 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def _anchor_part(digits: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each anchor digit: parts are ranges of digits that hold about as many anchors each.
+
+    An anchor is the least of its window's hashes, so small digits are the frequent ones.  A string whose hash
+    exceeds a share u of all hashes is an anchor with probability q**(w-1) * (1 + (w-1)*u), where q = 1-u and w strings
+    make a window; this is that density's distribution function.  Products alone are used, which are the
+    same on every machine, of 24 bits, whose steps are well above the rounding errors: the parts never overlap.
+    """
+    w = WINDOW - GRAM + 1
+    q = 1.0 - (digits >> U64(16)).astype(np.float64) / (1 << 24)
+    power, square, n = np.ones_like(q), q, w
+    while n:
+        if n & 1:
+            power = power * square
+        square, n = square * square, n >> 1
+    share = (w + 1) / 2 * (1 - power) - (w - 1) / 2 * (1 - power * q)
+    return np.clip((share * parts).astype(np.int64), 0, parts - 1)
+
+
+def _window_part(digits: np.ndarray, parts: int) -> np.ndarray:
+    """Hashes of whole windows are spread evenly: ranges of their most significant bits."""
+    return ((digits >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
 class Unit:
-    """One unit's documents, and the digits of its windows."""
+    """One unit's documents, and the digits of its windows.
+
+    Contexts and windows are known by two independent 64-bit hashes: a false equality among 10**13 of them has a chance below 10**-12.
+    """
 
     def __init__(self, ids: bytes, nulls: bytes, ends: bytes, data: bytes):
         self.ids, self.nulls = np.frombuffer(ids, np.int64), np.frombuffer(nulls, np.uint8)
         self.ends, self.data = np.frombuffer(ends, np.int64), np.frombuffer(data, np.uint8)
-        letters = np.random.default_rng(50).integers(0, 1 << 64, 256, dtype=np.uint64)
+        letters = np.random.default_rng(50).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
         n = min(len(self.data), SLICE + WINDOW) + 1
-        self.up = np.cumprod(np.r_[U64(1), np.full(n, FACTOR, np.uint64)])
-        self.down = np.cumprod(np.r_[U64(1), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)])
+        self.up = [np.cumprod(np.r_[U64(1), np.full(n, f, np.uint64)]) for f in FACTORS]
+        self.down = [np.cumprod(np.r_[U64(1), np.full(n, pow(f, -1, 1 << 64), np.uint64)]) for f in FACTORS]
         self.letters = letters
 
-    def _slices(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Start, and prefix sums from which ``_hash`` gives the hash of any substring."""
+    def _slices(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Start, and prefix sums from which ``_hashes`` gives the two hashes of any substring."""
         for start in range(0, len(self.data), SLICE):
             part = self.data[start:start + SLICE + WINDOW - 1]
-            yield start, np.r_[U64(0), np.cumsum(self.letters[part] * self.down[:len(part)])]
+            yield start, [np.r_[U64(0), np.cumsum(l[part] * d[:len(part)])] for l, d in zip(self.letters, self.down)]
 
-    def _hash(self, sums: np.ndarray, at: np.ndarray, length) -> np.ndarray:
-        return (sums[at + length] - sums[at]) * self.up[at]
+    def _hashes(self, sums: list[np.ndarray], at: np.ndarray, length) -> list[np.ndarray]:
+        return [(s[at + length] - s[at]) * up[at] for s, up in zip(sums, self.up)]
 
     def anchors(self) -> tuple[np.ndarray, ...]:
-        """Runs of windows with one anchor: first window, number of windows, document, anchor's digit, context's digit."""
+        """Runs of windows with one anchor: first window, number of windows, document, anchor's digit, context's two hashes."""
         found = []
         width = WINDOW - GRAM + 1
         for start, sums in self._slices():
-            n = len(sums) - 1 - WINDOW + 1
+            n = len(sums[0]) - 1 - WINDOW + 1
             if n <= 0:
                 continue
-            gram = _mix((sums[GRAM:] - sums[:-GRAM]) * self.up[:len(sums) - GRAM])
+            gram = _mix((sums[0][GRAM:] - sums[0][:-GRAM]) * self.up[0][:len(sums[0]) - GRAM])
             low = (gram & ~U64(0x3FFFFF)) | np.arange(len(gram), dtype=np.uint64)
             span = 1
             while 2 * span <= width:
@@ -121,19 +151,20 @@ class Unit:
             anchor, doc = (low[windows] & U64(0x3FFFFF)).astype(np.int64), doc[windows]
             new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
             first, count = windows[new], np.diff(np.r_[new, len(windows)])
-            context = _mix(self._hash(sums, first, count + WINDOW - 1) + count.astype(np.uint64))
-            found.append((first + start, count, doc[new], gram[anchor[new]] >> U64(24), context))
+            contexts = [_mix(h + count.astype(np.uint64)) for h in self._hashes(sums, first, count + WINDOW - 1)]
+            found.append((first + start, count, doc[new], gram[anchor[new]] >> U64(24), *contexts))
         if not found:
             none = np.zeros(0, np.int64)
-            return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+            return none, none, none, *[none.astype(np.uint64)] * 3
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """The digits of the windows that start at the sorted positions ``at``."""
-        out = np.zeros(len(at), np.uint64)
+    def windows(self, at: np.ndarray) -> list[np.ndarray]:
+        """The two hashes of the windows that start at the sorted positions ``at``."""
+        out = [np.zeros(len(at), np.uint64) for _ in FACTORS]
         for start, sums in self._slices():
             a, b = np.searchsorted(at, [start, start + SLICE])
-            out[a:b] = _mix(self._hash(sums, at[a:b] - start, WINDOW))
+            for hashes, found in zip(out, self._hashes(sums, at[a:b] - start, WINDOW)):
+                hashes[a:b] = _mix(found)
         return out
 
     def documents(self, at: np.ndarray) -> np.ndarray:
@@ -163,10 +194,9 @@ def _numbers(raw: memoryview, n: int, size: int, kind) -> tuple[np.ndarray, memo
     return out.reshape(-1).view(kind), raw[n * size:]
 
 
-def _deal(unit: int, digits: list[np.ndarray], sizes: list[int], ids: np.ndarray, parts: int) -> Iterator[tuple]:
-    """Cut sorted digits by their most significant bits."""
-    top = digits[0] >> U64(8 * sizes[0] - 32)
-    cuts = np.searchsorted(top * U64(parts) >> U64(32), np.arange(parts + 1, dtype=np.uint64))
+def _deal(unit: int, digits: list[np.ndarray], sizes: list[int], ids: np.ndarray, parts: int, part_of) -> Iterator[tuple]:
+    """Cut sorted digits into the parts, which are ranges of the first digit."""
+    cuts = np.searchsorted(part_of(digits[0], parts), np.arange(parts + 1))
     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if a < b:
             yield part, unit, int(b - a), b"".join([*(_planes(d[a:b], s) for d, s in zip(digits, sizes)), _planes(ids[a:b])])
@@ -199,16 +229,16 @@ def _send_anchors(parts: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 unit = _unit_of(row)
-                _, _, doc, anchor, context = unit.anchors()
+                _, _, doc, *digits = unit.anchors()
                 ids = unit.ids[doc]
-                _, firsts, _ = _distinct([anchor, context], ids)
-                yield _rows(list(_deal(row["unit"], [anchor[firsts], context[firsts]], [5, 8], ids[firsts], parts)), _KEYS)
+                _, firsts, _ = _distinct(digits, ids)
+                yield _rows(list(_deal(row["unit"], [d[firsts] for d in digits], ANCHOR_SIZES, ids[firsts], parts, _anchor_part)), _KEYS)
 
     return run
 
 
-def _judge(sizes: list[int]):
-    """For each sent digit: is it in a document with a smaller id; do documents share its first digit otherwise."""
+def _judge(sizes: list[int], anchors: bool):
+    """For each sent digit: is it in a document with a smaller id; of anchors also: do documents share its first digit otherwise."""
 
     def run(table: pa.Table) -> pa.Table:
         columns: list[list[np.ndarray]] = [[] for _ in range(len(sizes) + 1)]
@@ -221,7 +251,7 @@ def _judge(sizes: list[int]):
         *digits, ids = (np.concatenate(c) for c in columns)
         order, firsts, which = _distinct(digits, ids)
         bits = [ids[firsts][which] < ids]
-        if len(sizes) > 1:
+        if anchors:
             start = np.flatnonzero(np.r_[True, digits[0][order[1:]] != digits[0][order[:-1]]])
             group = np.empty(len(order), np.int64)
             group[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(order)]))
@@ -237,9 +267,9 @@ def _judge(sizes: list[int]):
 
 def _open_windows(unit: Unit, answers: list[dict] | None) -> tuple[np.ndarray, ...]:
     """After the first two digits: runs that are repeats as a whole, and the windows still open with their digits."""
-    first, count, doc, anchor, context = unit.anchors()
+    first, count, doc, *digits = unit.anchors()
     ids = unit.ids[doc]
-    _, firsts, which = _distinct([anchor, context], ids)
+    _, firsts, which = _distinct(digits, ids)
     smaller, shared = _answer(answers, 2)
     done = smaller[which] | (ids > ids[firsts][which])
     still = shared[which] & ~done
@@ -253,9 +283,9 @@ def _send_windows(parts: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                _, _, _, digit, ids = _open_windows(_unit_of(row), row["answers"])
-                _, firsts, _ = _distinct([digit], ids)
-                yield _rows(list(_deal(row["unit"], [digit[firsts]], [8], ids[firsts], parts)), _KEYS)
+                _, _, _, digits, ids = _open_windows(_unit_of(row), row["answers"])
+                _, firsts, _ = _distinct(digits, ids)
+                yield _rows(list(_deal(row["unit"], [d[firsts] for d in digits], WINDOW_SIZES, ids[firsts], parts, _window_part)), _KEYS)
 
     return run
 
@@ -265,8 +295,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             unit = _unit_of(row)
-            first, count, at, digit, ids = _open_windows(unit, row["answers"])
-            _, firsts, which = _distinct([digit], ids)
+            first, count, at, digits, ids = _open_windows(unit, row["answers"])
+            _, firsts, which = _distinct(digits, ids)
             hit = at[_answer(row["answers2"], 1)[0][which] | (ids > ids[firsts][which])]
             marks = np.zeros(len(unit.data) + 1, np.int32)
             np.add.at(marks, np.r_[first, hit], 1)
@@ -310,13 +340,13 @@ def cut_repeats(docs: DataFrame, digests: bool = False, unit_bytes: int = 1 << 2
     units = spark.table(name)
     parts = max(1, -(-(units.agg(F.sum("n_bytes")).first()[0] or 0) // part_bytes))
 
-    def judged(keys: DataFrame, sizes: list[int], answer: str) -> DataFrame:
-        bits = keys.groupBy("part").applyInArrow(_judge(sizes), "unit long, part long, n long, bits binary")
+    def judged(keys: DataFrame, sizes: list[int], answer: str, anchors: bool) -> DataFrame:
+        bits = keys.groupBy("part").applyInArrow(_judge(sizes, anchors), "unit long, part long, n long, bits binary")
         return stored(bits.groupBy("unit").agg(F.collect_list(F.struct("part", "n", "bits")).alias(answer)))
 
-    first = judged(units.mapInArrow(_send_anchors(parts), KEY_SCHEMA), [5, 8], "answers")
+    first = judged(units.mapInArrow(_send_anchors(parts), KEY_SCHEMA), ANCHOR_SIZES, "answers", True)
     answered = units.join(first.hint("shuffle_hash"), "unit", "left")
-    second = judged(answered.mapInArrow(_send_windows(parts), KEY_SCHEMA), [8], "answers2")
+    second = judged(answered.mapInArrow(_send_windows(parts), KEY_SCHEMA), WINDOW_SIZES, "answers2", False)
     answered = answered.join(second.hint("shuffle_hash"), "unit", "left")
     if digests:
         return answered.mapInArrow(_digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -242,6 +242,19 @@ def test_suffix_dedup(docs, empty, sizes):
     assert suffix_dedup.cut_repeats(empty).count() == 0
 
 
+def test_suffix_digits_are_dealt_evenly():
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, 1 << 20, dtype=np.uint8).tobytes()
+    unit = suffix_dedup.Unit(np.array([1]).tobytes(), b"\0", np.array([len(data)]).tobytes(), data)
+    _, _, _, anchor, *_ = unit.anchors()
+    sizes = np.bincount(suffix_dedup._anchor_part(np.unique(anchor), 100), minlength=100)
+    assert sizes.max() < 1.3 * sizes.mean() and sizes.min() > 0.7 * sizes.mean()
+    digits = np.sort(rng.integers(0, 1 << 40, 1 << 20, dtype=np.uint64))
+    for parts in (1, 7, 1000, 1 << 20):
+        dealt = suffix_dedup._anchor_part(digits, parts)
+        assert (np.diff(dealt) >= 0).all() and dealt.min() >= 0 and dealt.max() < parts
+
+
 def test_long_texts_in_slices(spark, monkeypatch):
     text = " ".join(f"w{i * 7919 % 10007}" for i in range(4000))
     table = spark.createDataFrame([(1, text), (2, "new " + text[100:9000] + " end")], "doc_id long, text string")
