@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.anomaly import iqr_outliers, zscore_outliers
-from ..operators.applicability import value_frequencies, vocabulary_coverage
+from ..operators.applicability import rule_applicability, value_frequencies
 from ..operators.reconcile import reconcile
 from ..operators.rules import bounded_result, in_vocabulary, null_safe_neq, rule_contradiction, rule_sql
 from ..operators.timeline import timeline
-from ..specs import AnomalySpec, ReconcileSpec, RelationshipSpec, SqlSpec, TimelineSpec
+from ..specs import AnomalySpec, FindingTemplate, ReconcileSpec, RelationshipSpec, RuleSpec, SqlSpec, TimelineSpec
 from .registry import query, table
 
 STEPS = ("signup", "view", "click", "purchase")
@@ -272,7 +272,15 @@ def q_bounded(spark, sf_dir):
 
 
 @query("rule_applicability", """
-SELECT count(*) AS total_rows, count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) AS matched_rows,
+WITH v AS (SELECT event_type AS value, count(*) AS n, event_type IN ('signup', 'view', 'click', 'purchase') AS mapped FROM events
+  WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, value LIMIT 50)
+SELECT 'EVENT_ORDER' AS rule_id, 'timeline' AS rule_kind, 'events' AS source_id, 'event_type' AS column_name,
+       (SELECT concat('[', string_agg(concat('{"value":"', value, '","rows_count":', n, ',"mapped":', mapped, '}'), ',' ORDER BY n DESC, value), ']') FROM v) AS observed_values,
+       'signup,view,click,purchase' AS expected_values,
+       CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) = 0 THEN 'No observed value is in the vocabulary.'
+            WHEN count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) < count(*) THEN 'Some observed values are not in the vocabulary.'
+            ELSE 'The vocabulary covers the observed values.' END AS reason,
+       count(*) AS total_rows, count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) AS matched_rows,
        round(count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase'))::DOUBLE / count(*), 6) AS row_coverage,
        CASE WHEN count(*) > 0 AND count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) = 0 THEN 'INCOMPATIBLE'
             WHEN count(*) FILTER (WHERE event_type IN ('signup', 'view', 'click', 'purchase')) < count(*) THEN 'PARTIAL'
@@ -280,7 +288,10 @@ SELECT count(*) AS total_rows, count(*) FILTER (WHERE event_type IN ('signup', '
 FROM events
 """)
 def q_applicability(spark, sf_dir):
-    return vocabulary_coverage(table(spark, sf_dir, "events"), "event_type", STEPS)
+    texts = FindingTemplate("Out of order", "Out of order", "order", "Not established", "In order", "Wrong figures", "LOW")
+    rule = RuleSpec("EVENT_ORDER", "timeline", ("events",), texts, timeline=TIMELINE)
+    fit = rule_applicability(table(spark, sf_dir, "events"), rule)
+    return fit.withColumn("expected_values", F.array_join("expected_values", ","))
 
 
 @query("value_frequencies", """

@@ -11,7 +11,7 @@ from ..operators import findings as fnd
 from ..operators.anomaly import iqr_outliers, zscore_outliers
 from ..operators.applicability import rule_applicability
 from ..operators.evidence import build_evidence, verify_evidence
-from ..operators.report import confirmed_findings, report_digest, run_summary, verdict_counts
+from ..operators.report import confirmed_findings, report_digest, run_summary, urgent_counts, verdict_counts
 from ..operators.timeline import timeline
 from ..plans.run import count_results, execute_rules, rule_results, run_full_audit
 from ..scale import freeze
@@ -201,24 +201,27 @@ def q_review(spark, sf_dir):
     )
 
 
-@query("audit_plan", f"""WITH {_REVIEW_SQL} SELECT plan_id, priority, status, title, finding_id FROM pl
-UNION ALL SELECT 'PLAN-BLOCKED-001', 'HIGH', 'BLOCKED_CHECK', 'A check could not be run', NULL""")
+@query("audit_plan", f"""WITH {_REVIEW_SQL} SELECT plan_id, priority, status, title, finding_id, 'events.parquet' AS source_locations,
+  'Run the query of the evidence again and compare the source row.' AS action, 3::BIGINT AS n_steps FROM pl
+UNION ALL SELECT 'PLAN-BLOCKED-001', 'HIGH', 'BLOCKED_CHECK', 'A check could not be run', NULL, '', 'Mend the source or the rule and run the audit again.', 1""")
 def q_plan(spark, sf_dir):
     findings, _, reviews = reviewed(spark, sf_dir)
     errors = spark.createDataFrame([(1, "x: no such source")], "position int, message string")
     return fnd.ordered_plan(fnd.audit_plan(findings, reviews, errors)).select(
-        "plan_id", "priority", "status", "title", "finding_id"
+        "plan_id", "priority", "status", "title", "finding_id", F.array_join("source_locations", ",").alias("source_locations"),
+        F.element_at("next_steps", 1).alias("action"), F.size("next_steps").cast("long").alias("n_steps"),
     )
 
 
 @query("report_digest", f"""WITH {_REVIEW_SQL},
 b AS (SELECT *, rtrim(regexp_replace(replace(title, object_id, ''), '[\\s:-]+$', '')) AS bare FROM pl)
-SELECT priority, status, bare AS title, count(*) AS cases, array_to_string(list(object_id ORDER BY plan_id)[1:3], ', ') AS examples
+SELECT priority, status, bare AS title, count(*) AS cases, min(plan_id) AS first_plan_id,
+  'Run the query of the evidence again and compare the source row.' AS action, array_to_string(list(object_id ORDER BY plan_id)[1:3], ', ') AS examples
 FROM b GROUP BY priority, status, bare""")
 def q_digest(spark, sf_dir):
     findings, _, reviews = reviewed(spark, sf_dir)
     digest = report_digest(fnd.audit_plan(findings, reviews), findings)
-    return digest.select("priority", "status", "title", "cases", "examples")
+    return digest.select("priority", "status", "title", "action", "cases", "first_plan_id", "examples")
 
 
 @query("verdict_counts", f"""WITH {_REVIEW_SQL} SELECT count(*) AS signals, count(*) FILTER (WHERE verdict = 'CONFIRMED') AS confirmed,
@@ -233,6 +236,13 @@ def q_confirmed(spark, sf_dir):
     return confirmed_findings(findings, reviews).select("finding_id", "severity", "confidence")
 
 
+@query("urgent_counts", f"""WITH {_REVIEW_SQL} SELECT count(*) AS confirmed,
+  count(*) FILTER (WHERE severity IN ('CRITICAL', 'HIGH')) AS high_or_critical FROM rv WHERE verdict = 'CONFIRMED'""")
+def q_urgent(spark, sf_dir):
+    findings, _, reviews = reviewed(spark, sf_dir)
+    return urgent_counts(findings, reviews)
+
+
 def _rule_rows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     z = zscore_outliers(events, ZSCORE_RULE.anomaly).select(F.lit("ZSCORE").alias("rule_id"))

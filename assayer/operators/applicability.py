@@ -42,14 +42,18 @@ def vocabulary_coverage(df: DataFrame, column: str, expected) -> DataFrame:
 
 
 def rule_applicability(df: DataFrame, rule: RuleSpec) -> DataFrame:
-    """One row for a timeline rule: coverage figures and the top observed values."""
+    """One row for a timeline rule: coverage figures and the top observed values, as JSON."""
     if rule.kind != "timeline":
         raise ValueError("vocabularies belong to timeline rules")
     spec = rule.timeline
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("rows_count")).alias("order"), "value", "rows_count", "mapped")))
     observed = value_frequencies(df, spec.event_field, spec.expected_order).agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct(
-            (-F.col("rows_count")).alias("order"), "value", "rows_count", "mapped"
-        )))).alias("v")
+        F.to_json(F.transform(ranked, lambda v: F.struct(v["value"], v["rows_count"], v["mapped"]))).alias("v")
+    )
+    reason = (
+        F.when(F.col("status") == "INCOMPATIBLE", "No observed value is in the vocabulary.")
+        .when(F.col("status") == "PARTIAL", "Some observed values are not in the vocabulary.")
+        .otherwise("The vocabulary covers the observed values.")
     )
     return vocabulary_coverage(df, spec.event_field, spec.expected_order).select(
         F.lit(rule.rule_id).alias("rule_id"),
@@ -62,4 +66,5 @@ def rule_applicability(df: DataFrame, rule: RuleSpec) -> DataFrame:
         "row_coverage",
         F.array(*[F.lit(v) for v in spec.expected_order]).alias("expected_values"),
         observed.scalar().alias("observed_values"),
+        reason.alias("reason"),
     )

@@ -211,12 +211,30 @@ def severity_rank(column: Column) -> Column:
     return rank
 
 
+# What to do about an item, most urgent first.
+FINDING_STEPS = (
+    "Run the query of the evidence again and compare the source row.",
+    "Hold the fact against the criterion and its document.",
+    "Establish the root cause on its own; the deviation does not prove it.",
+)
+ROUTE_STEPS = (
+    "Run the reproduction query and compare the untypical route.",
+    "Look for a permitted exception in the policy or the code.",
+    "Follow the same object through linked operations and measure the effect.",
+)
+BLOCKED_STEPS = ("Mend the source or the rule and run the audit again.",)
+
+
+def steps(texts: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(t) for t in texts])
+
+
 def audit_plan(findings: DataFrame, reviews: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """One item per finding that was not rejected and one per failed check.
+    """One item per finding that was not rejected and one per failed check, with where to look and what to do.
 
     ``errors`` has position (1-based) and message.
     """
-    kept = reviews.where("verdict <> 'REJECTED'").select("finding_id", "verdict", "rationale", "sources")
+    kept = reviews.where("verdict <> 'REJECTED'").select("finding_id", "verdict", "rationale", "sources", "source_locations")
     items = join_on(findings, kept, ["finding_id"]).select(
         ids.plan_id(F.col("finding_id")).alias("plan_id"),
         F.col("severity").alias("priority"),
@@ -225,6 +243,8 @@ def audit_plan(findings: DataFrame, reviews: DataFrame, errors: DataFrame | None
         "rationale",
         "finding_id",
         "sources",
+        "source_locations",
+        F.when(F.array_contains("tags", "semantic_constraint"), steps(ROUTE_STEPS)).otherwise(steps(FINDING_STEPS)).alias("next_steps"),
     )
     if errors is not None:
         blocked = errors.select(
@@ -235,6 +255,8 @@ def audit_plan(findings: DataFrame, reviews: DataFrame, errors: DataFrame | None
             F.col("message").alias("rationale"),
             F.lit(None).cast("string").alias("finding_id"),
             F.array().cast("array<string>").alias("sources"),
+            F.array().cast("array<string>").alias("source_locations"),
+            steps(BLOCKED_STEPS).alias("next_steps"),
         )
         items = items.unionByName(blocked)
     return items

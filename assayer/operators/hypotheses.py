@@ -14,6 +14,7 @@ from ..functions.values import text_of
 from ..scale import freeze, join_on, union_all
 from . import outliers as out
 from .evidence import EVIDENCE_COLUMNS, content_checksum
+from .findings import ROUTE_STEPS, steps
 
 CHECK_ID = "BUSINESS_SEMANTIC_CONSTRAINT"
 ISSUE_TYPE = "semantic_target_mismatch"
@@ -211,4 +212,6 @@ def hypothesis_plan(hypotheses: DataFrame, promoted: DataFrame) -> DataFrame:
         ).alias("rationale"),
         F.lit(None).cast("string").alias("finding_id"),
         F.array("mapping_source", "reference_source").alias("sources"),
+        F.array().cast("array<string>").alias("source_locations"),
+        steps(ROUTE_STEPS).alias("next_steps"),
     )

@@ -28,11 +28,11 @@ def confirmed_findings(findings: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def report_digest(plan: DataFrame, findings: DataFrame, examples: int = 3) -> DataFrame:
-    """Plan items grouped by (priority, status, title, rationale).
+    """Plan items grouped by (priority, status, title, rationale, action), most urgent first.
 
-    The object id is taken out of the title, so similar cases fall together.
-    Each group has its size and its first few object ids; only those few leave
-    each map task.
+    The action is an item's first step, or else its rationale.  The object id is taken out of the title, so
+    similar cases fall together.  Each group has its size, its first item and its first few object ids; only
+    those few leave each map task.
     """
     objects = findings.select("finding_id", "object_id")
     bare = F.rtrim(
@@ -44,10 +44,11 @@ def report_digest(plan: DataFrame, findings: DataFrame, examples: int = 3) -> Da
         )
     )
     items = join_on(plan, objects, ["finding_id"], "left").select(
-        "priority", "status", bare.alias("title"), "rationale", "plan_id", "object_id"
+        "priority", "status", bare.alias("title"), "rationale",
+        F.coalesce(F.try_element_at("next_steps", F.lit(1)), "rationale").alias("action"), "plan_id", "object_id",
     )
-    groups = ["priority", "status", "title", "rationale"]
-    counts = items.groupBy(*groups).agg(F.count("*").alias("cases"))
+    groups = ["priority", "status", "title", "rationale", "action"]
+    counts = items.groupBy(*groups).agg(F.count("*").alias("cases"), F.min("plan_id").alias("first_plan_id"))
     first = (
         top_per_group(items, groups, [F.asc("plan_id")], examples)
         .groupBy(*groups)
@@ -57,7 +58,16 @@ def report_digest(plan: DataFrame, findings: DataFrame, examples: int = 3) -> Da
             ).alias("examples")
         )
     )
-    return attach_small(counts, first, groups, "left", null_safe=True)
+    digest = attach_small(counts, first, groups, "left", null_safe=True)
+    return digest.orderBy(severity_rank(F.col("priority")), "first_plan_id")
+
+
+def urgent_counts(findings: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Confirmed findings, and those of them that are high or critical."""
+    kept = reviews.where("verdict = 'CONFIRMED'").select("finding_id")
+    return join_on(findings.select("finding_id", "severity"), kept, ["finding_id"], "left_semi").agg(
+        F.count("*").alias("confirmed"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("high_or_critical")
+    )
 
 
 def run_summary(

@@ -15,6 +15,7 @@ from assayer.operators.grounding import ground_findings, semantic_constraint_mat
 from assayer.operators.lineage import declared_edges, impact_paths, lineage_edges
 from assayer.operators.profile import profile_table
 from assayer.operators.relationships import infer_relationships
+from assayer.operators.report import report_digest
 from assayer.operators.retrieval import HashingEmbedder, embed
 from assayer.plans.run import analyze_business_logic, list_data_sources, select_rules
 from assayer.scale import union_all
@@ -88,7 +89,12 @@ def test_review_and_plan(spark):
     reviews = fnd.review_findings(sure, _reference(spark), locations=places)
     row = reviews.first()
     assert (row["verdict"], row["source_locations"], row["sources"]) == ("CONFIRMED", ["/data/ledger.csv"], ["ledger"])
-    assert fnd.audit_plan(sure, reviews).first()["status"] == "CONFIRMED_ISSUE"
+    item = fnd.audit_plan(sure, reviews).first()
+    assert (item["status"], item["next_steps"], item["source_locations"]) == ("CONFIRMED_ISSUE", list(fnd.FINDING_STEPS), ["/data/ledger.csv"])
+    semantic = sure.withColumn("tags", F.array(F.lit("semantic_constraint")))
+    assert fnd.audit_plan(semantic, reviews).first()["next_steps"] == list(fnd.ROUTE_STEPS)
+    both = fnd.audit_plan(sure, reviews).unionByName(fnd.audit_plan(semantic, reviews))
+    assert [(r["action"], r["cases"]) for r in report_digest(both, sure).orderBy("action").collect()] == [(s[0], 1) for s in (fnd.FINDING_STEPS, fnd.ROUTE_STEPS)]
     weak = _finding(spark, 0.6)
     reviews = fnd.review_findings(weak, _reference(spark))
     assert reviews.first()["verdict"] == "REQUIRES_VALIDATION"
@@ -320,6 +326,8 @@ def test_run_isolates_errors_and_reports_status(spark):
     cut = results["CUT"]
     assert cut["truncated"] and cut["findings_count"] == 1 and cut["evaluated_rows"] > 1
     assert results["LIMIT"]["findings_count"] == 3 and not results["LIMIT"]["truncated"]
+    fit = run.tables()["applicability"].first()
+    assert (fit["status"], fit["observed_values"]) == ("INCOMPATIBLE", '[{"value":"unknown","rows_count":6,"mapped":false}]')
     assert run.status == "COMPLETED_WITH_ERRORS"
     plan = run.plan.collect()
     assert [p["status"] for p in plan].count("BLOCKED_CHECK") == 3  # two failed rules and one without its source
