@@ -1,6 +1,6 @@
 """The registered queries with their reference SQL, by topic."""
 
-from . import checks, findings, links, retrieval, tables
+from . import audits, checks, findings, links, retrieval, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "checks", "findings", "links", "retrieval", "tables"]
+__all__ = ["ORACLES", "QUERIES", "audits", "checks", "findings", "links", "retrieval", "tables"]
