@@ -32,7 +32,7 @@ def previous_values(
     Rows are ordered by time (NULL last), then by the tie-breakers.  Group sizes are counted first
     (column-pruned and combined before the shuffle).  Groups of at most ``max_group_rows`` are one
     window.  The rows of larger ones are dealt by ranges of (keys, time, tie-breakers, row), so the
-    rows of a group, of a second or without a time lie in as many tasks as they need; the window then
+    rows of a group, of a second or without a time lie in as many ranges as they need; the window then
     runs per range, and the first row of a range takes its values from the last row of the range before.
     """
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
@@ -42,9 +42,8 @@ def previous_values(
         return _lag(df, keys, time, tie_breakers, values)
     large = checked_broadcast(hot.drop("__rows"))
     usual = _lag(join_on(df, large, keys, "left_anti", null_safe=True), keys, time, tie_breakers, values)
-    ranges = max(2, -(-2 * total // max_group_rows))
     crowded = join_on(df, large, keys, "left_semi", null_safe=True)
-    return usual.unionByName(_lag_over_ranges(crowded, keys, time, tie_breakers, values, ranges))
+    return usual.unionByName(_lag_over_ranges(crowded, keys, time, tie_breakers, values, total, max(1, max_group_rows // 2)))
 
 
 def _row_order(time: str, tie_breakers: Sequence[str]) -> list[Column]:
@@ -56,16 +55,23 @@ def _lag(df, keys, time, tie_breakers, values) -> DataFrame:
     return df.withColumns({new: F.lag(old).over(window) for new, old in values.items()})
 
 
-def _lag_over_ranges(rows, keys, time, tie_breakers, values, ranges: int) -> DataFrame:
+def _lag_over_ranges(rows, keys, time, tie_breakers, values, total: int, range_rows: int) -> DataFrame:
     """Windows over contiguous ranges of one order; the last row of each is carried into the next.
 
+    Tasks sort their share of the order and cut it after every ``range_rows`` rows, so the number of tasks
+    follows the rows and not the number of ranges, however short the ranges are.
+
     Rows that tie in everything are told apart by a number of their own, so no set of equal rows has to
     stay together.  The ranges are written down: their bounds are drawn once, and every later reader sees them.
     """
     names, order = list(values), _row_order(time, tie_breakers)
-    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(
-        ranges, *[F.col(quoted(k)) for k in keys], *order, F.col("__row"))
-    ranged = stored(dealt.withColumn("__range", F.spark_partition_id()))
+    shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(max(2, -(-total // range_rows)), max(shuffled, -(-2 * total // HOT_GROUP_ROWS)))
+    place = [*[F.col(quoted(k)) for k in keys], *order, F.col("__row")]
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(tasks, *place)
+    # The id holds the task above 33 bits, and the place in its order in these; a range is known by the id of its first row.
+    placed = dealt.sortWithinPartitions(*place).withColumn("__at", F.monotonically_increasing_id())
+    ranged = stored(placed.withColumn("__range", F.expr(f"__at - (__at & {(1 << 33) - 1}) % {range_rows}")).drop("__at"))
     window = Window.partitionBy(*keys, "__range").orderBy(*order, "__row")
     within = ranged.withColumns({
         "__opens": F.lag(F.lit(1)).over(window).isNull(),

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from assayer.operators import ordering
 from assayer.operators.anomaly import anomaly, iqr_outliers, zscore_outliers
 from assayer.operators.ordering import grouped_quantiles, previous_values, top_per_group
 from assayer.operators.reconcile import reconcile
@@ -25,6 +26,17 @@ def _events(spark, rows):
     )
 
 
+def test_short_ranges_do_not_make_as_many_tasks(spark, monkeypatch):
+    tasks, write = [], ordering.stored
+    monkeypatch.setattr(ordering, "stored", lambda df: tasks.append(df.rdd.getNumPartitions()) or write(df))
+    rows = spark.range(2000).selectExpr("id % 3 AS entity", "id * 7 % 2000 AS at", "id AS kind")
+    found = previous_values(rows, ["entity"], "at", [], {"before": "kind"}, max_group_rows=4)
+    expected = rows.selectExpr("*", "lag(kind) OVER (PARTITION BY entity ORDER BY at) AS before")
+    assert sorted(found.collect(), key=str) == sorted(expected.collect(), key=str)
+    # 1000 ranges: cut within at most as many tasks as a shuffle has
+    assert max(tasks) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_timeline_rules(spark):
     rows = [
         ("x", 0, "A"), ("x", 10, "A"), ("x", 20, "?"), ("x", 30, "B"), ("x", 130, "C"), ("x", 231, "C"),
