@@ -8,7 +8,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ from ..scale import join_on, spread
 # Elements whose text is never shown.
 _HIDDEN = ("script", "style", "template")
 _VERBATIM = ("pre", "textarea")
+# Rows whose texts a Python worker holds as objects at a time.
+PART_ROWS = 64
 BLANK = re.compile("[ \n]")
 
 
@@ -72,24 +74,39 @@ def html_text(html: str) -> str:
     return "\n".join(parser.nodes)
 
 
+def parts(batch):
+    """An Arrow array or batch in slices of a few rows, so that only their texts are Python objects at a time."""
+    return (batch.slice(start, PART_ROWS) for start in range(0, len(batch), PART_ROWS))
+
+
+def texts_or_errors(rows: list[tuple[str | None, str | None]]) -> pa.StructArray:
+    texts, errors = zip(*rows)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["text", "error"])
+
+
 def tidy_text(column: Column) -> Column:
     """Three or more newlines become two; outer white space goes."""
     return F.regexp_replace(F.regexp_replace(column, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
-def parsed_html(html: Column) -> Column:
-    """Struct of ``text`` and ``error``, parsed in Arrow batches; errors are never fatal."""
-
-    @F.pandas_udf("text string, error string")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+def parse_pages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for part in parts(batch):
             rows = []
-            for page in batch:
+            for page in part.to_pylist():
                 try:
                     rows.append((html_text(page), None))
                 except Exception as error:  # noqa: BLE001 - recorded with the page
                     rows.append((None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["text", "error"], dtype=object)
+            yield texts_or_errors(rows)
+
+
+def parsed_html(html: Column) -> Column:
+    """Struct of ``text`` and ``error``, parsed in short Arrow batches; errors are never fatal."""
+
+    @F.arrow_udf("text string, error string")
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from parse_pages(batches)
 
     return parse(html)
 
@@ -135,6 +152,29 @@ def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]
         start = max(start + 1, end - overlap)
 
 
+def chunked(size: int, overlap: int):
+    """Rows (key, text) to the rows of their chunks, a few documents at a time."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                rows = [
+                    (row, number, start, end, fragment)
+                    for row, body in enumerate(part.column("text").to_pylist())
+                    if body
+                    for number, (start, end, fragment) in enumerate(windows(body, size, overlap))
+                ]
+                if not rows:
+                    continue
+                row, number, start, end, fragment = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int32()) for c in (number, start, end)),
+                     pa.array(fragment, pa.string())],
+                    names=["key", "chunk_index", "start_char", "end_char", "text"])
+
+    return split
+
+
 def chunk_documents(
     documents: DataFrame, key: str, text: str = "text", *, size: int = 1200, overlap: int = 200
 ) -> DataFrame:
@@ -146,19 +186,9 @@ def chunk_documents(
         raise ValueError("need size > overlap >= 0")
     fields = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (name, number, start, end, fragment)
-                for name, body in zip(batch["key"], batch["text"])
-                if body
-                for number, (start, end, fragment) in enumerate(windows(body, size, overlap))
-            ]
-            yield pd.DataFrame(rows, columns=["key", "chunk_index", "start_char", "end_char", "text"])
-
     key_type = fields.schema["key"].dataType.simpleString()
-    chunks = spread(fields).mapInPandas(
-        split, f"key {key_type}, chunk_index int, start_char int, end_char int, text string"
+    chunks = spread(fields).mapInArrow(
+        chunked(size, overlap), f"key {key_type}, chunk_index int, start_char int, end_char int, text string"
     )
     return chunks.withColumnRenamed("key", key)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import codecs
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import nan_to_null
-from ..operators.documents import extract_html_text, tidy_text
+from ..operators.documents import extract_html_text, parts, texts_or_errors, tidy_text
 from ..scale import join_on, spread, stored
 from ..specs import ConnectionSpec, SourceSpec
 
@@ -160,16 +160,18 @@ def decoded(content: Column, encoding: str) -> Column:
     """Struct of ``text`` and ``error``: bytes that are not in the encoding give an error, not a failed job."""
     name = codecs.lookup(encoding).name
 
-    @F.pandas_udf("text string, error string")
-    def decode(bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for body in bodies:
-            try:
-                text = None if body is None else bytes(body).decode(name).removeprefix("\ufeff")
-                rows.append((text, None if body is not None else "TypeError: no content"))
-            except UnicodeError as error:
-                rows.append((None, f"{type(error).__name__}: {error}"))
-        return pd.DataFrame(rows, columns=["text", "error"])
+    @F.arrow_udf("text string, error string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for part in parts(batch):
+                rows = []
+                for body in part.to_pylist():
+                    try:
+                        text = None if body is None else body.decode(name).removeprefix("\ufeff")
+                        rows.append((text, None if body is not None else "TypeError: no content"))
+                    except UnicodeError as error:
+                        rows.append((None, f"{type(error).__name__}: {error}"))
+                yield texts_or_errors(rows)
 
     return decode(content)
 
