@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,15 +70,13 @@ def embed(
 ) -> DataFrame:
     """Add unit vectors; the embedder is built once per Python worker stream."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = make_embedder()
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            out: list[list[float]] = []
-            for i in range(0, len(texts), EMBED_BATCH):
-                out.extend(embedder.embed_documents(texts[i : i + EMBED_BATCH]))
-            yield pd.Series(out)
+            for start in range(0, len(batch), EMBED_BATCH):
+                texts = [text or "" for text in batch.slice(start, EMBED_BATCH).to_pylist()]
+                yield pa.array(embedder.embed_documents(texts), pa.list_(pa.float32()))
 
     return df.withColumn(output, vectors(F.col(f"`{text}`")))
 

@@ -1,6 +1,7 @@
 """Chunks, HTML text, search, relevance."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,12 +9,15 @@ from pyspark.sql import functions as F
 
 from assayer import search_documents
 from assayer.operators.documents import (
+    PART_ROWS,
     chunk_documents,
     chunk_id,
+    chunked,
     corpus_fingerprint,
     detect_changed_documents,
     extract_html_text,
     html_text,
+    parse_pages,
     removed_documents,
     usable_documents,
     windows,
@@ -161,3 +165,49 @@ def test_vector_keys_of_other_types(spark):
     wanted = spark.sql("SELECT 1.50BD AS price, array(0f, 2f) AS embedding")
     found = vector_search_batch(rows, wanted, 1, index_key="day", query_key="price").collect()
     assert [(str(r["price"]), str(r["day"]), r["rank"]) for r in found] == [("1.50", "2024-01-02", 1)]
+
+
+def _wide_embedder():
+    class Wide:
+        """Wide vectors that hold the most MB of Python objects so far, from the embedder's making on."""
+
+        dimension = 4000
+
+        def __init__(self):
+            import tracemalloc
+
+            tracemalloc.start()
+
+        def embed_documents(self, texts):
+            import tracemalloc
+
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+            return [[peak] * self.dimension for _ in texts]
+
+    return Wide
+
+
+def test_embed_holds_few_vectors_of_a_batch(spark):
+    rows = embed(spark.range(0, 3000, 1, 1).selectExpr("string(id) AS text"), "text", _wide_embedder())
+    found = rows.selectExpr("max(embedding[0]) AS mb", "count_if(size(embedding) = 4000) AS n").first()
+    assert found["n"] == 3000 and found["mb"] < 20  # 3000 lists of 4000 take 96 MB
+
+
+def _pages(n):
+    return pa.array([f"<p>{i} &amp; {'x' * 100}</p>" if i % 5 else None for i in range(n)])
+
+
+def test_pages_are_parsed_in_short_batches():
+    out = list(parse_pages([_pages(1000), _pages(0), _pages(3)]))
+    assert max(map(len, out)) <= PART_ROWS
+    assert [r["text"] for part in out for r in part.to_pylist()] == [
+        html_text(page) if page else None for n in (1000, 3) for page in _pages(n).to_pylist()]
+
+
+def test_documents_are_cut_in_short_batches():
+    texts = [None if i % 7 == 0 else "some words " * i for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(300)), "text": texts})
+    out = list(chunked(50, 10)([batch]))
+    assert len(out) >= 300 // PART_ROWS
+    found = [(r["key"], r["start_char"], r["end_char"], r["text"]) for part in out for r in part.to_pylist()]
+    assert found == [(i, *w) for i, text in enumerate(texts) if text for w in windows(text, 50, 10)]
