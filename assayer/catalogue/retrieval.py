@@ -25,6 +25,9 @@ from ..sources.vectors import ChunkIndex
 from .findings import RUN, ZSCORE_RULE
 from .registry import query, scratch, table
 
+# Folders that the files of pages are dealt to.
+PAGE_SHARDS = 256
+
 # Same windows as the operator: the window ends at the last blank past its middle.
 CHUNK_SQL = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0),
 w AS (
@@ -86,11 +89,17 @@ def q_errors(spark, sf_dir):
 @query("scan_documents", HTML_SQL.replace("SELECT page_id, trim(", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'UnicodeDecodeError' END AS kind, CASE WHEN page_id % 10 <> 0 THEN trim(")
        .replace("chr(160))) AS text FROM t", "chr(160))) END AS text FROM t"))
 def q_scan_documents(spark, sf_dir):
-    """The pages written as one file each; every tenth ends within a letter."""
+    """The pages written as one file each; every tenth ends within a letter.
+
+    The files lie in folders by shard, each written by one task: the listing is dealt by shards, and a shard is
+    moved into place as a whole.
+    """
     cut = F.concat("html", F.expr("string(unhex('E282'))"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 == 0, cut).otherwise(F.col("html")).alias("value"))
     path = scratch(spark)
-    pages.repartition("page_id").write.option("lineSep", "\u0020").partitionBy("page_id").text(path)
+    shard = F.pmod(F.xxhash64("page_id"), F.lit(PAGE_SHARDS)).alias("shard")
+    sharded = pages.select("*", shard).repartitionByRange(PAGE_SHARDS, "shard")
+    sharded.write.option("lineSep", "\u0020").partitionBy("shard", "page_id").text(path)
     found = scan_documents(spark, path, document_format="html")
     page = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id")
     return found.select(page, F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"), "text")
