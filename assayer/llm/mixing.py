@@ -10,6 +10,7 @@ documents then meet by (source, block).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from ..scale import stored
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 CELLS = 1024
+# Characters of passages in a batch that is sent on.
+CUT_CHARS = 1 << 20
 SEED = 17
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -174,21 +177,37 @@ class Mix:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], text_at: int, chars_at: int) -> Iterator[pa.RecordBatch]:
-    """Each passage of a row as a row of its own; the passages are the last column."""
+    """Each passage of a row as a row of its own; the passages are the last column.
+
+    Only the other columns are repeated for a row's passages, and what was cut is sent on
+    before more than ``CUT_CHARS`` of it lie here.
+    """
     word = re.compile(WORDS)
     for batch in batches:
-        rows, texts = [], []
-        for i, (text, takes) in enumerate(zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())):
-            spans = [m.span() for m in word.finditer(text)]
-            for take in takes:
-                whole = take["low"] == 0 and take["high"] == len(spans)
+        columns = batch.columns[:-1]
+        rows, texts, chars = [], [], 0
+
+        def passages() -> pa.RecordBatch:
+            place = pa.array(rows, pa.int64())
+            out = [pa.array(texts, pa.string()) if i == text_at else pa.array(map(len, texts), pa.int64()) if i == chars_at
+                   else column.take(place) for i, column in enumerate(columns)]
+            return pa.RecordBatch.from_arrays(out, names=[f"c{i}" for i in range(len(out))])
+
+        for i, (text, takes) in enumerate(zip(batch.column(text_at), batch.column(batch.num_columns - 1))):
+            text = text.as_py()
+            # The starts and ends of the words, in turn.
+            spans = array("q", (at for found in word.finditer(text) for at in found.span()))
+            for take in takes.as_py():
+                whole = take["low"] == 0 and 2 * take["high"] == len(spans)
+                passage = text if whole else text[spans[2 * take["low"]]:spans[2 * take["high"] - 1]]
                 rows.append(i)
-                texts.append(text if whole else text[spans[take["low"]][0]:spans[take["high"] - 1][1]])
-        out = pa.Table.from_batches([batch]).take(pa.array(rows, pa.int64())).columns[:-1]
-        out[text_at] = pa.chunked_array([pa.array(texts, pa.string())])
-        if chars_at >= 0:
-            out[chars_at] = pa.chunked_array([pa.array(map(len, texts), pa.int64())])
-        yield from pa.Table.from_arrays(out, names=[f"c{i}" for i in range(len(out))]).to_batches()
+                texts.append(passage)
+                chars += len(passage)
+                if chars >= CUT_CHARS:
+                    yield passages()
+                    rows, texts, chars = [], [], 0
+        if rows:
+            yield passages()
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import oracle
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -37,6 +38,19 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_mix_sends_passages_on_in_small_batches():
+    text = "".join(f"w{i} " for i in range(20_000))
+    takes = [{"shard": 0, "slot": s, "low": 500 * (s % 40), "high": 500 * (s % 40) + 500} for s in range(2000)]
+    kind = pa.list_(pa.struct([("shard", pa.int64()), ("slot", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8]), pa.array([text, "a b"]), pa.array([takes, [dict(takes[0], high=2)]], kind)], names=["doc_id", "text", "takes"])
+    out = list(mixing._cut([batch], 1, -1))
+    assert max(part.nbytes for part in out) < 2 * mixing.CUT_CHARS
+    rows = [tuple(r.values()) for part in out for r in part.to_pylist()]
+    split = text.split()
+    assert rows == [(7, " ".join(split[t["low"]:t["high"]])) for t in takes] + [(8, "a b")]
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
