@@ -19,7 +19,7 @@ from ..operators.grounding import ground_findings, json_leaves, semantic_constra
 from ..operators.relevance import keyword_relevance
 from ..operators.retrieval import HashingEmbedder, embed, latest_vectors, metadata_filter, vector_search, vector_search_batch
 from ..plans.run import search_documents
-from ..scale import freeze
+from ..scale import freeze, stored
 from ..sources.readers import scan_documents
 from ..sources.vectors import ChunkIndex
 from .findings import RUN, ZSCORE_RULE
@@ -250,7 +250,7 @@ def embedded_chunks(spark, sf_dir):
 
 def chunk_index(spark, sf_dir):
     """The embedded chunks as a written table, which is what searches read."""
-    return freeze(embedded_chunks(spark, sf_dir))
+    return stored(embedded_chunks(spark, sf_dir))
 
 
 # Sums of signed words per place of the vectors, as the hashing embedder makes them.

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from array import array
-from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,7 +17,6 @@ _HIDDEN = ("script", "style", "template")
 _VERBATIM = ("pre", "textarea")
 # Rows whose texts a Python worker holds as objects at a time.
 PART_ROWS = 64
-BLANK = re.compile("[ \n]")
 
 
 class _TextNodes(HTMLParser):
@@ -138,11 +134,11 @@ def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int, str]
 
     A window ends at the last blank or line feed of its second half, if there is one.
     """
-    blanks = array("q", (found.start() for found in BLANK.finditer(text)))
 
     def reach(start: int) -> int:
-        last = blanks[max(bisect_left(blanks, start + size) - 1, 0)] if blanks else -1
-        return last if start + size // 2 < last < start + size else start + size
+        half, full = start + size // 2 + 1, start + size
+        last = max(text.rfind(" ", half, full), text.rfind("\n", half, full))
+        return full if last < 0 else last
 
     start, end = 0, 0
     while end < len(text):

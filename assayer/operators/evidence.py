@@ -77,7 +77,8 @@ def verify_evidence(evidence: DataFrame) -> DataFrame:
     expected = content_checksum()
     wrong = ~F.col("checksum").eqNullSafe(F.col("expected_checksum"))
     malformed = ~F.coalesce(F.col("evidence_id").rlike(EVIDENCE_FORMAT), F.lit(False))
-    foreign = ~F.col("evidence_id").eqNullSafe(ids.evidence_id(F.col("run_id"), F.col("expected_checksum")))
+    # Asked only where the checksum is the expected one, so the content is hashed once.
+    foreign = ~F.col("evidence_id").eqNullSafe(ids.evidence_id(F.col("run_id"), F.col("checksum")))
     return (
         evidence.withColumn("expected_checksum", expected)
         .where(wrong | malformed | foreign)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import sha256
-from ..scale import attach_small
+from ..scale import attach_small, stored
 from .retrieval import Embedder, embed, vector_search_batch
 
 # Wording that makes a sentence normative.
@@ -119,15 +119,27 @@ def ground_findings(
                 F.col("chunk_text"), _json_values(F.col("facts"), "$.expected"), _json_values(F.col("facts"), "$.context")
             ),
         )
+        .select(
+            "group_id",
+            sha256(F.concat_ws(":", "chunk_id", "chunk_text")).alias("checksum"),
+            F.col("source_id").alias("source_name"),
+            F.col("chunk_id").cast("string").alias("object_id"),
+            F.col("chunk_text").alias("description"),
+            F.to_json(F.struct(F.round("score", 6).alias("score"), "rank")).alias("fields"),
+            "query",
+            "constraint_match",
+        )
     )
+    # Written, so that a match is searched and hashed once and not for each of its findings.
+    found = stored(found)
     references = attach_small(findings.select("finding_id", _group().alias("group_id")), found, ["group_id"]).select(
         "finding_id",
         F.lit(None).cast("string").alias("evidence_id"),
-        sha256(F.concat_ws(":", "chunk_id", "chunk_text")).alias("checksum"),
-        F.col("source_id").alias("source_name"),
-        F.col("chunk_id").cast("string").alias("object_id"),
-        F.col("chunk_text").alias("description"),
-        F.to_json(F.struct(F.round("score", 6).alias("score"), "rank")).alias("fields"),
+        "checksum",
+        "source_name",
+        "object_id",
+        "description",
+        "fields",
         "query",
         "constraint_match",
     )

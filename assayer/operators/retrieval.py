@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -18,8 +18,8 @@ from ..scale import freeze, measured_bytes
 from .ordering import top_per_group
 
 EMBED_BATCH = 16
-# Words whose codes an embedder remembers.
-KNOWN_WORDS = 1 << 16
+# Words whose places an embedder remembers, some 100 bytes each.
+KNOWN_WORDS = 1 << 18
 # Query vectors shipped to every task, and rows of one block of the blocked form.
 MAX_SHIPPED_BYTES = 32 * 1024 * 1024
 BLOCK_ROWS = 4096
@@ -31,8 +31,13 @@ class Embedder(Protocol):
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
 
 
-def _word_code(word: str) -> int:
-    return int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4], "big")
+# What ASCII characters become where words are looked for: letters in lower case, anything between words a blank.
+ASCII_WORDS = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(128)))
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of word characters in lower case."""
+    return text.translate(ASCII_WORDS).split() if text.isascii() else re.findall(r"\w+", text.lower())
 
 
 class HashingEmbedder:
@@ -43,26 +48,29 @@ class HashingEmbedder:
 
     def __init__(self, dimension: int = 64) -> None:
         self.dimension = dimension
-        self._codes: dict[str, int] = {}
-
-    def _code(self, word: str) -> int:
-        code = self._codes.get(word)
-        if code is None:
-            if len(self._codes) >= KNOWN_WORDS:
-                self._codes.clear()
-            code = self._codes[word] = _word_code(word)
-        return code
+        # A word's place, behind those of all others if its sign is positive.
+        self._places: dict[str, int] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self._places)
+        if len(self._places) + len(new) > KNOWN_WORDS:
+            self._places.clear()
+            new = words
+        digests = b"".join([hashlib.md5(word.encode(), usedforsecurity=False).digest() for word in new])
+        codes = np.frombuffer(digests, ">u4")[::4].astype(np.int64)
+        self._places.update(zip(new, (codes % self.dimension + (codes >> 31) * self.dimension).tolist()))
 
     def embed_documents(self, texts: Sequence[str]) -> list[list[float]]:
-        result = np.zeros((len(texts), self.dimension))
-        for row, text in zip(result, texts):
-            for word, times in Counter(re.findall(r"\w+", text.lower())).items():
-                code = self._code(word)
-                row[code % self.dimension] += times if code & (1 << 31) else -times
-            norm = np.linalg.norm(row)
-            if norm:
-                row /= norm
-        return result.tolist()
+        found = [words_of(text) for text in texts]
+        lengths = [len(words) for words in found]
+        self._learn(set().union(*found))
+        places = np.fromiter(map(self._places.__getitem__, chain.from_iterable(found)), np.int64, sum(lengths))
+        width = 2 * self.dimension
+        places += np.repeat(np.arange(len(texts)) * width, lengths)
+        counts = np.bincount(places, minlength=len(texts) * width).reshape(len(texts), 2, self.dimension)
+        result = (counts[:, 1] - counts[:, 0]).astype(float)
+        norms = np.sqrt((result * result).sum(axis=1, keepdims=True))
+        return np.divide(result, norms, out=result, where=norms > 0).tolist()
 
 
 def embed(

@@ -1,5 +1,9 @@
 """Chunks, HTML text, search, relevance."""
 
+import hashlib
+import re
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -22,6 +26,7 @@ from assayer.operators.documents import (
     usable_documents,
     windows,
 )
+from assayer.operators import retrieval
 from assayer.operators.relevance import keyword_relevance
 from assayer.operators.retrieval import HashingEmbedder, cosine, embed, metadata_filter, vector_search, vector_search_batch
 
@@ -211,3 +216,42 @@ def test_documents_are_cut_in_short_batches():
     assert len(out) >= 300 // PART_ROWS
     found = [(r["key"], r["start_char"], r["end_char"], r["text"]) for part in out for r in part.to_pylist()]
     assert found == [(i, *w) for i, text in enumerate(texts) if text for w in windows(text, 50, 10)]
+
+
+def _counted_one_by_one(text, dimension):
+    row = np.zeros(dimension)
+    for word in re.findall(r"\w+", text.lower()):
+        code = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+        row[code % dimension] += 1 if code >> 31 else -1
+    return (row / (np.linalg.norm(row) or 1)).tolist()
+
+
+@pytest.mark.parametrize("known", [3, 1 << 18])
+def test_vectors_count_every_word(monkeypatch, known):
+    monkeypatch.setattr(retrieval, "KNOWN_WORDS", known)
+    texts = ["", "a b a", "Été, ΑΣ ſ İx K² ½ x_y-z 一二", "x\x1cy\x85z\u00a0w", "a b c d e f g A B", " . ", "the THE the"]
+    embedder = HashingEmbedder(5)
+    assert [embedder.embed_documents([t])[0] for t in texts] == embedder.embed_documents(texts) == [_counted_one_by_one(t, 5) for t in texts]
+    assert embedder.embed_documents([]) == []
+
+
+def test_a_word_is_hashed_once_for_a_batch(monkeypatch):
+    hashed = []
+    monkeypatch.setattr(retrieval, "KNOWN_WORDS", 8)
+    monkeypatch.setattr(retrieval.hashlib, "md5", lambda word, **kwargs: hashed.append(word) or md5(word))
+    HashingEmbedder().embed_documents(["a b c d e f g h i j", "j i h g f e d c b a"] * 3)
+    assert sorted(hashed) == sorted({w.encode() for w in "abcdefghij"})
+
+
+@given(st.text(alphabet="ab \n\t\u00a0", max_size=60), st.integers(1, 12), st.data())
+@settings(max_examples=300, deadline=None)
+def test_windows_end_at_the_last_blank_of_their_second_half(text, size, data):
+    overlap = data.draw(st.integers(0, size - 1))
+    expected, start, end = [], 0, 0
+    while end < len(text):
+        blanks = [i for i in range(start + size // 2 + 1, start + size) if text[i:i + 1] in (" ", "\n")]
+        end = len(text) if start + size >= len(text) else max(blanks, default=start + size)
+        if text[start:end].strip():
+            expected.append((start, end, text[start:end].strip()))
+        start = max(start + 1, end - overlap)
+    assert list(windows(text, size, overlap)) == expected
