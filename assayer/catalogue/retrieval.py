@@ -20,13 +20,14 @@ from ..operators.relevance import keyword_relevance
 from ..operators.retrieval import HashingEmbedder, embed, latest_vectors, metadata_filter, vector_search, vector_search_batch
 from ..plans.run import search_documents
 from ..scale import freeze
+from ..sources import batches
 from ..sources.readers import scan_documents
 from ..sources.vectors import ChunkIndex
 from .findings import RUN, ZSCORE_RULE
 from .registry import query, scratch, table
 
-# Folders that the files of pages are dealt to.
-PAGE_SHARDS = 256
+# Folders that the files of pages are dealt to, at least, and pages that a folder has about, at most.
+PAGE_SHARDS, SHARD_PAGES = 256, 500
 
 # Same windows as the operator: the window ends at the last blank past its middle.
 CHUNK_SQL = """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL AND length(text) > 0),
@@ -86,20 +87,38 @@ def q_errors(spark, sf_dir):
     return failed.select("page_id", F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"))
 
 
-@query("scan_documents", HTML_SQL.replace("SELECT page_id, trim(", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'UnicodeDecodeError' END AS kind, CASE WHEN page_id % 10 <> 0 THEN trim(")
-       .replace("chr(160))) AS text FROM t", "chr(160))) END AS text FROM t"))
-def q_scan_documents(spark, sf_dir):
-    """The pages written as one file each; every tenth ends within a letter.
+def write_pages(pages, path):
+    """A file for each page, every tenth cut within a letter.
 
     The files lie in folders by shard, each written by one task: the listing is dealt by shards, and a shard is
-    moved into place as a whole.
+    moved into place as a whole.  A writer reports every folder it made to the driver, so the shards are written
+    some ``FILES_AT_ONCE`` pages at a time, from a table that has them apart.
     """
+    spark, count = pages.sparkSession, pages.count()
+    shards = max(PAGE_SHARDS, -(-count // SHARD_PAGES))
+    at_once = -(-shards // max(1, -(-count // batches.FILES_AT_ONCE)))
+    shard = F.pmod(F.xxhash64("page_id"), F.lit(shards)).cast("int")
+    dealt = pages.select("*", shard.alias("shard"))
+    rounds = [dealt]
+    if at_once < shards:
+        apart = scratch(spark)
+        by_round = dealt.withColumn("round", F.floor(F.col("shard") / at_once).cast("int"))
+        by_round.repartition(F.col("shard")).write.partitionBy("round").parquet(apart)
+        made = sorted(r["round"] for r in spark.read.parquet(apart).select("round").distinct().collect())
+        rounds = [spark.read.schema(dealt.schema).parquet(f"{apart}/round={r}") for r in made]
     cut = F.concat("html", F.expr("string(unhex('E282'))"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 == 0, cut).otherwise(F.col("html")).alias("value"))
+    for some in rounds:
+        value = F.when(F.col("page_id") % 10 == 0, cut).otherwise(F.col("html")).alias("value")
+        by_shard = some.repartitionById(at_once, F.col("shard") % at_once).select("page_id", value, "shard")
+        by_shard.write.mode("append").option("lineSep", "\u0020").partitionBy("shard", "page_id").text(path)
+
+
+@query("scan_documents", HTML_SQL.replace("SELECT page_id, trim(", "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'UnicodeDecodeError' END AS kind, CASE WHEN page_id % 10 <> 0 THEN trim(")
+       .replace("chr(160))) AS text FROM t", "chr(160))) END AS text FROM t"))
+def q_scan_documents(spark, sf_dir):
+    """The pages written as one file each; every tenth ends within a letter."""
     path = scratch(spark)
-    shard = F.pmod(F.xxhash64("page_id"), F.lit(PAGE_SHARDS)).alias("shard")
-    sharded = pages.select("*", shard).repartitionByRange(PAGE_SHARDS, "shard")
-    sharded.write.option("lineSep", "\u0020").partitionBy("shard", "page_id").text(path)
+    write_pages(table(spark, sf_dir, "pages").select("page_id", "html"), path)
     found = scan_documents(spark, path, document_format="html")
     page = F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("long").alias("page_id")
     return found.select(page, F.split_part("error", F.lit(":"), F.lit(1)).alias("kind"), "text")

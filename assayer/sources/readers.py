@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.values import nan_to_null
 from ..operators.documents import extract_html_text, parts, texts_or_errors, tidy_text
-from ..scale import join_on, spread, stored
+from ..scale import join_on, scratch_path, stored
 from ..specs import ConnectionSpec, SourceSpec
+from .batches import FileBatches
 
 # File extensions and what they hold.
 TABLE_FORMATS = {"csv": "csv", "parquet": "parquet", "json": "json"}
@@ -182,24 +183,28 @@ def scan_documents(
     """Whole files: ``path``, ``length``, ``modificationTime``, ``text``, ``error``.
 
     Every file has a row, but for empty ones, which the file source leaves out.  One whose bytes are not in the encoding, whose page can't be parsed, or that vanished
-    or could not be read to its end keeps NULL as text and says why in ``error``.  The files are read
-    once, here; what was read is written down, and later steps read that.
+    or could not be read to its end keeps NULL as text and says why in ``error``.  The files are listed and read
+    once, here, a batch at a time, so the driver never holds the states of all; what was read is written down, and later steps read that.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     state = ["path", "length", "modificationTime"]
-    listed = reader.load(path).select(*state)
-    bodies = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
-    files = spread(bodies).select(*state, decoded(F.col("content"), encoding).alias("d"))
-    texts = files.select(*state, F.col("d.text").alias("html"), F.col("d.error").alias("undecoded"))
-    if document_format == "html":
-        texts = extract_html_text(texts)
-    else:
-        texts = texts.select(*state, "undecoded", tidy_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("error"))
-    read = stored(texts.select(*state, F.when(F.col("undecoded").isNull(), F.col("text")).alias("text"),
-                               F.coalesce("undecoded", "error").alias("error")))
-    lost = join_on(listed, read.select("path"), ["path"], "left_anti").select(
-        *state, F.lit(None).cast("string").alias("text"), F.lit("OSError: the file could not be read").alias("error"))
-    return read.unionByName(lost)
+    files, target = FileBatches(spark, path), scratch_path(spark)
+    for number, batch in enumerate(files):
+        listed = stored(files.load(batch, ignoreMissingFiles=True).select(*state))
+        bodies = files.load(batch, ignoreCorruptFiles=True, ignoreMissingFiles=True)
+        texts = bodies.select(*state, decoded(F.col("content"), encoding).alias("d")).select(
+            *state, F.col("d.text").alias("html"), F.col("d.error").alias("undecoded"))
+        if document_format == "html":
+            texts = extract_html_text(texts)
+        else:
+            texts = texts.select(*state, "undecoded", tidy_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("error"))
+        texts = texts.select(*state, F.when(F.col("undecoded").isNull(), F.col("text")).alias("text"),
+                             F.coalesce("undecoded", "error").alias("error"))
+        texts.write.parquet(f"{target}/{number}/read")
+        read = spark.read.schema(texts.schema).parquet(f"{target}/{number}/read")
+        lost = join_on(listed, read.select("path"), ["path"], "left_anti").select(
+            *state, F.lit(None).cast("string").alias("text"), F.lit("OSError: the file could not be read").alias("error"))
+        lost.write.parquet(f"{target}/{number}/lost")
+    return spark.read.schema(read.schema).option("recursiveFileLookup", True).parquet(target)
 
 
 def read_table(
