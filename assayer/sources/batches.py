@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from itertools import batched, chain
 from multiprocessing.pool import ThreadPool
@@ -69,14 +70,20 @@ class FileBatches:
             return reader.load(present)
 
     def __iter__(self) -> Iterator[list[str]]:
-        batch, held = [], 0
         with ThreadPool(COUNTING_THREADS) as pool:
-            for path, files in self._parts(pool):
-                if batch and held + files > FILES_AT_ONCE:
-                    yield batch
-                    batch, held = [], 0
-                batch.append(path)
-                held += files
+            for batch in self._gathered(pool):
+                yield batch
+                # Handles of Java objects are cycles; until Python collects them, the JVM keeps the index of the batch.
+                gc.collect()
+
+    def _gathered(self, pool: ThreadPool) -> Iterator[list[str]]:
+        batch, held = [], 0
+        for path, files in self._parts(pool):
+            if batch and held + files > FILES_AT_ONCE:
+                yield batch
+                batch, held = [], 0
+            batch.append(path)
+            held += files
         yield batch
 
     def _parts(self, pool: ThreadPool) -> Iterator[tuple[str, int]]:

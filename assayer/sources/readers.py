@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.values import nan_to_null
 from ..operators.documents import extract_html_text, parts, texts_or_errors, tidy_text
@@ -186,25 +187,31 @@ def scan_documents(
     or could not be read to its end keeps NULL as text and says why in ``error``.  The files are listed and read
     once, here, a batch at a time, so the driver never holds the states of all; what was read is written down, and later steps read that.
     """
-    state = ["path", "length", "modificationTime"]
     files, target = FileBatches(spark, path), scratch_path(spark)
     for number, batch in enumerate(files):
-        listed = stored(files.load(batch, ignoreMissingFiles=True).select(*state))
-        bodies = files.load(batch, ignoreCorruptFiles=True, ignoreMissingFiles=True)
-        texts = bodies.select(*state, decoded(F.col("content"), encoding).alias("d")).select(
-            *state, F.col("d.text").alias("html"), F.col("d.error").alias("undecoded"))
-        if document_format == "html":
-            texts = extract_html_text(texts)
-        else:
-            texts = texts.select(*state, "undecoded", tidy_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("error"))
-        texts = texts.select(*state, F.when(F.col("undecoded").isNull(), F.col("text")).alias("text"),
-                             F.coalesce("undecoded", "error").alias("error"))
-        texts.write.parquet(f"{target}/{number}/read")
-        read = spark.read.schema(texts.schema).parquet(f"{target}/{number}/read")
-        lost = join_on(listed, read.select("path"), ["path"], "left_anti").select(
-            *state, F.lit(None).cast("string").alias("text"), F.lit("OSError: the file could not be read").alias("error"))
-        lost.write.parquet(f"{target}/{number}/lost")
-    return spark.read.schema(read.schema).option("recursiveFileLookup", True).parquet(target)
+        schema = _read_batch(files, batch, f"{target}/{number}", document_format, encoding)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
+
+
+def _read_batch(files: FileBatches, batch: list[str], target: str, document_format: str, encoding: str) -> StructType:
+    """Write the rows of a batch: what was read, and then what was listed and not read."""
+    state = ["path", "length", "modificationTime"]
+    listed = stored(files.load(batch, ignoreMissingFiles=True).select(*state))
+    bodies = files.load(batch, ignoreCorruptFiles=True, ignoreMissingFiles=True)
+    texts = bodies.select(*state, decoded(F.col("content"), encoding).alias("d")).select(
+        *state, F.col("d.text").alias("html"), F.col("d.error").alias("undecoded"))
+    if document_format == "html":
+        texts = extract_html_text(texts)
+    else:
+        texts = texts.select(*state, "undecoded", tidy_text(F.col("html")).alias("text"), F.lit(None).cast("string").alias("error"))
+    texts = texts.select(*state, F.when(F.col("undecoded").isNull(), F.col("text")).alias("text"),
+                         F.coalesce("undecoded", "error").alias("error"))
+    texts.write.parquet(f"{target}/read")
+    read = files.spark.read.schema(texts.schema).parquet(f"{target}/read")
+    lost = join_on(listed, read.select("path"), ["path"], "left_anti").select(
+        *state, F.lit(None).cast("string").alias("text"), F.lit("OSError: the file could not be read").alias("error"))
+    lost.write.parquet(f"{target}/lost")
+    return read.schema
 
 
 def read_table(
